@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, simhash, topk
+from gridloom.llm import exact_dedup, mixing, packing, secrets, simhash, topk, urls
 from gridloom.llm.common import table
 
 
@@ -26,6 +26,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+#: The rules of the query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def _of_place(n: int):
+    return lambda x: x["place"] == n
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["place"] < len(secrets.BASE_RULES))
+    counts = [F.array_size(F.filter("found", _of_place(n))).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(secrets.BASE_RULES)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.described(base), 256).alias("base_sha256"), secrets.described(F.col("found")).alias("spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
@@ -40,11 +60,62 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_top_k": op2_exact_top_k,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
 }
 
+_CHECKS = "\n".join(
+    f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{verdict} {name}/{rest}'"
+    for verdict, name, rest in ((v, *r.split("/", 1)) for v, r in sorted(URL_RULES, key=lambda x: -len(x[1])))
+)
+_SPANS = r"""(SELECT list({{'start': CAST(b AS INTEGER), 'place': {place}, 'kind': '{kind}', 'end': CAST(b + length(m) AS INTEGER)}}) FROM (
+    SELECT m, c, sum(length(gap) + length(m)) OVER (ORDER BY i) - length(m) AS b FROM (
+        SELECT unnest(regexp_extract_all(t, '{pattern}', 0)) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS c,
+            unnest(string_split_regex(t, '{pattern}')[1:len(regexp_extract_all(t, '{pattern}', 0))]) AS gap, generate_subscripts(regexp_extract_all(t, '{pattern}', 0), 1) AS i
+    )) WHERE length(c) >= {least})"""
+_ALL_SPANS = ",\n".join(
+    "coalesce(" + _SPANS.format(place=n, kind=r.kind, pattern=r.pattern.replace("'", "''"), group=r.group, least=r.least) + ", [])"
+    for n, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES)
+)
+
 ORACLES = {
+    "op5_url_filters": rf"""
+        WITH RECURSIVE p AS (
+            SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+                coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+        ), j AS (SELECT *, CASE {_CHECKS} END AS hit FROM p
+        ), s AS (
+            SELECT host, 2 * count(*) FILTER (hit LIKE 'allow%') > count(*) AS trust, 2 * count(*) FILTER (hit LIKE 'block%') > count(*) AS distrust FROM j WHERE host <> '' GROUP BY host
+        ), seeds AS (SELECT 'trust' AS kind, host FROM s WHERE trust UNION ALL SELECT 'distrust', host FROM s WHERE distrust
+        ), l AS (
+            SELECT host AS src, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS dst FROM (
+                SELECT host, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS u FROM p)
+        ), n AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+        ), b AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM n UNION ALL SELECT 'distrust', dst, src, n FROM n
+        ), w AS (
+            SELECT kind, a, b, 0.85 * n / sum(n) OVER (PARTITION BY kind, a) AS w FROM b
+            UNION ALL SELECT kind, '*', host, 0.15 / count(*) OVER (PARTITION BY kind) FROM seeds
+            UNION ALL SELECT DISTINCT kind, '*', '*', 1.0 FROM seeds
+        ), r AS (
+            SELECT 0 AS step, kind, '*' AS host, 1.0::DOUBLE AS score FROM (SELECT DISTINCT kind FROM seeds)
+            UNION ALL SELECT r.step + 1, w.kind, w.b, CAST(sum(w.w * r.score) AS DOUBLE) FROM r JOIN w ON w.kind = r.kind AND w.a = r.host WHERE r.step < 20 GROUP BY ALL
+        ), x AS (
+            SELECT host FROM r WHERE step = 20 AND host <> '*' GROUP BY host
+            HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0)
+        ) SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule, coalesce(split_part(hit, ' ', 1), CASE WHEN host IN (FROM x) THEN 'block' END, 'allow') AS verdict FROM j
+    """,
+    "op6_secret_scans": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+        ), f AS (SELECT doc_id, list_sort(flatten([{_ALL_SPANS}])) AS found FROM d
+        ), g AS (
+            SELECT doc_id, found, list_filter(found, lambda x: x.place < 3) AS base FROM f
+        ) SELECT doc_id, CAST(len(list_filter(found, lambda x: x.place = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(found, lambda x: x.place = 1)) AS BIGINT) AS n_access,
+            CAST(len(list_filter(found, lambda x: x.place = 2)) AS BIGINT) AS n_hex,
+            sha256(coalesce(array_to_string(list_transform(base, lambda x: x.kind || ':' || x.start || ':' || x."end"), ','), '')) AS base_sha256,
+            coalesce(array_to_string(list_transform(found, lambda x: x.kind || ':' || x.start || ':' || x."end"), ','), '') AS spans FROM g
+    """,
     "op2_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
