@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, secrets, simhash, topk, urls
+from gridloom.llm import exact_dedup, html, mixing, packing, secrets, simhash, topk, urls
 from gridloom.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_top_k": op2_exact_top_k,
@@ -64,6 +69,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _CHECKS = "\n".join(
