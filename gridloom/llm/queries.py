@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, html, mixing, packing, secrets, simhash, topk, urls
+from gridloom.llm import exact_dedup, html, mixing, packing, secrets, simhash, topk, toxicity, urls
 from gridloom.llm.common import table
 
 
@@ -46,6 +46,12 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.described(base), 256).alias("base_sha256"), secrets.described(F.col("found")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scores.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extraction": op10_html_extraction,
