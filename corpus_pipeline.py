@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, simhash
+from gridloom.llm import exact_dedup, mixing, packing, quality, simhash
 from gridloom.llm.common import spool, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose perplexity exceeds that of nearly all trusted ones of their language."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
@@ -33,6 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_dedup_stage),
     ("simhash_near_dedup", near_dedup_stage),
     ("mixing", mixing_stage),
