@@ -213,7 +213,7 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAIRS = " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, {'NULL::DOUBLE' if 'duration' in (a, b) else f'round(corr({a}, {b}), 6)'} AS r FROM m" for i, a in enumerate([*VARIABLES, "duration"]) for b in [*VARIABLES, "duration"][i + 1 :]
+    f"SELECT '{a}' AS a, '{b}' AS b, " + ("NULL::DOUBLE AS r" if "duration" in (a, b) else f"round(corr({a}, {b}), 6) AS r FROM m") for i, a in enumerate([*VARIABLES, "duration"]) for b in [*VARIABLES, "duration"][i + 1 :]
 )
 query("eda_corr_matrix", PAIRS)(correlations)
 on_m("eda_factorize", lambda m: features.factorize(m, "status", "event_id").select("event_id", "code"), "SELECT event_id, (dense_rank() OVER (ORDER BY first_id) - 1)::INTEGER AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY status) AS first_id FROM m)")
