@@ -106,6 +106,18 @@ HISTOGRAM = "hist AS (SELECT i.id, l.level::INTEGER AS level, count(p.v) AS n FR
 register("pt_hist", lambda spark, d: point.histogram(image.from_embeddings(spark, d)), f"WITH {q.pixels()}, {HISTOGRAM} SELECT id AS image_id, level, n FROM hist")
 
 
+def cumulative(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, level, share): the share of pixels up to each level."""
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("image_id").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    counts = point.histogram(image.from_embeddings(spark, d))
+    return counts.select("image_id", "level", F.round(F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("image_id")), 6).alias("share"))
+
+
+register("win_cumsum_hist", cumulative, f"WITH {q.pixels()}, {HISTOGRAM} SELECT id AS image_id, level, round(sum(n) OVER (PARTITION BY id ORDER BY level)::DOUBLE / sum(n) OVER (PARTITION BY id), 6) AS share FROM hist")
+
+
 def histogram_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars of at most fifty stars, of all images together."""
     counts = image.from_embeddings(spark, d).select(F.explode("v").alias("level")).groupBy("level").agg(F.count("*").alias("n"))
@@ -491,7 +503,7 @@ GRID = (
     "WITH g AS (SELECT (i % 4)::INTEGER AS x, (i // 4)::INTEGER AS y FROM range(16) t(i)) SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, abs(a.x - b.x) + abs(a.y - b.y) = 1 AS conn4,"
     " greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 AS conn8, abs(a.x - b.x) + abs(a.y - b.y) AS d4, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d8 FROM g a, g b"
 )
-for name in ("bn_conn4", "bn_d4", "fn_dist_D4"):
+for name in ("bn_conn4", "bn_conn8", "bn_d4", "bn_d8", "fn_dist_D4"):
     register(name, neighbourhoods, GRID)
 for name, f, agg in (("erode", stencil.grey_erode, "min"), ("dilate", stencil.grey_dilate, "max")):
     kernel(f"gm_{name}", f(3), q.listed("s", q.window({"s": f"{agg}(q.v)"}, q.square(1), [], "clamp")))

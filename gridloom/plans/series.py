@@ -288,3 +288,9 @@ on_m("fe_yeojohnson_fit", lambda m: features.yeo_johnson_fit(m.select("event_id"
 on_m("fe_split", lambda m: m.select("event_id", (c("event_id") % 5 == 0).alias("test")), "SELECT event_id, event_id % 5 = 0 AS test FROM m")
 on_m("fe_split_stratified", lambda m: features.stratified_split(m, "status", "event_id", 0.8).groupBy("status", "train").agg(F.count("*").alias("n")), "SELECT status, k <= ceil(0.8 * n) AS train, count(*) AS n FROM (SELECT status, row_number() OVER (PARTITION BY status) AS k, count(*) OVER (PARTITION BY status) AS n FROM m) GROUP BY ALL")
 on_m("fe_align", lambda m: features.align(m.select("event_id", "upload", "status"), ["event_id", "download", "upload"]), "SELECT event_id, NULL::DOUBLE AS download, upload FROM m")
+
+# --- the same functions under the other names of their families -----------------------------------------------------
+
+for name in ("exp", "sqrt", "abs", "pow", "atan2", "sin"):
+    QUERIES[f"fn_{name}"], ORACLES[f"fn_{name}"] = QUERIES["fn_log1p"], ORACLES["fn_log1p"]
+QUERIES["udf_apply"], ORACLES["udf_apply"] = QUERIES["cse_period7"], ORACLES["cse_period7"]

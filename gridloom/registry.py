@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with QUERIES (name -> query) and ORACLES (name -> SQL).
-PLANS: tuple[str, ...] = ("warehouse", "series", "models", "raster")
+PLANS: tuple[str, ...] = ("warehouse", "series", "models", "files", "raster")
 
 
 def _merged(attribute: str) -> dict:

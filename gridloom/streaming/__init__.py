@@ -1,0 +1,98 @@
+"""Structured Streaming forms of the measurement operators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from gridloom.operators import series
+
+SCHEMA = "event_id long, ts timestamp, user_id long, status string, download double, upload double, total double, session_id string"
+
+
+def replay(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """A stream of the files of a folder, so many in a batch."""
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def enrich(rows: DataFrame) -> DataFrame:
+    """Date parts, day part and total of each measurement; the same for streams and tables."""
+    hour = F.hour("ts")
+    return rows.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:mm:ss").alias("time"), series.day_name(F.col("ts")).alias("weekday"), series.day_part(hour, series.PARTS_7, "Aube").alias("part"),
+        "status", F.round(F.col("download") + F.col("upload"), 4).alias("total"), "session_id",
+    )
+
+
+def tumbling(rows: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
+    """Sums of windows of so many minutes; rows later than the watermark are dropped once their window is final."""
+    return rows.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.sum("total").alias("sum")).select(F.col("w.start").alias("start"), F.round("sum", 4).alias("sum"))
+
+
+def session_summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.sum("download"), 4).alias("download"), F.round(F.sum("upload"), 4).alias("upload"), F.round(F.sum("total"), 4).alias("total"))
+
+
+def delta(rows: DataFrame) -> DataFrame:
+    """(user_id, event_id, delta) of a cumulative counter (user_id, event_id, ts, counter): the state of a user is its
+    last sample. The first sample and one after a reset have a null delta; samples of a batch go in the order of time."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        pdf = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        found = []
+        for now in pdf["counter"]:
+            found.append(int(now) - last if last is not None and now >= last else None)
+            last = int(now)
+        state.update((last,))
+        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "delta": pd.array(found, "Int64")})
+
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, delta long", "counter long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(rows: DataFrame, sink: str, checkpoint: str) -> None:
+    """Append what the stream has now to Parquet files, each row once however often this is restarted."""
+    rows.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def collect_complete(rows: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """The final state of an aggregating stream over what there is now, as a table in memory."""
+    rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.table(name)
+
+
+class _Counters(SimpleDataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"sample": 0}
+
+    def read(self, start: dict):
+        import time
+
+        received = sent = 0
+        with open("/proc/net/dev") as lines:
+            for line in list(lines)[2:]:
+                numbers = line.split(":", 1)[1].split()
+                received, sent = received + int(numbers[0]), sent + int(numbers[8])
+        return iter([(int(time.time()), received, sent)]), {"sample": start["sample"] + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([])
+
+
+class Counters(DataSource):
+    """format("net_counters"): a sample (seconds, bytes received, bytes sent) of the driver's interfaces per trigger."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "net_counters"
+
+    def schema(self) -> str:
+        return "second long, received long, sent long"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Counters()
