@@ -20,28 +20,49 @@ def normalised(text: str = "text") -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS, "")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, sha256) of every row, dropped ones too.
+def _rank(id_col: str, text_col: str) -> Column:
+    """Code points * 2^65 + (2^63 - id), the latter 0 where the id is null: the row of the largest number stays."""
+    size = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(10,0)") * _whole(_ID_SPAN)
+    return (size + F.coalesce(_whole(_OVER_IDS) - F.col(id_col).cast("long").cast("decimal(20,0)"), _whole(0))).cast("decimal(38,0)")
+
+
+def _keys(norm: Column) -> list[Column]:
+    return [F.unhex(F.md5(norm)).alias("_h128"), F.unhex(F.sha2(norm, 256)).alias("_sha")]
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_h128, _sha, keep_id, group_size): a row for each different normalised text.
 
     Rows group by the MD5 of the normalised text and by its bytes, so texts that merely share the hash stay apart; the
-    grouping combines copies before the shuffle, so a group of any size sends one row from each task. Of a group the
-    row with the most code points stays, then the one with the smallest id. Both are one decimal number, whose maximum
-    a hash aggregate can keep in place: code points * 2^65 + (2^63 - id), the latter 0 where the id is null.
-    Rows that repeat an id as well as a text share a verdict. An empty table gives an empty result.
+    grouping combines copies before the shuffle, so a group of any size sends one row from each task. The rank is one
+    decimal number, whose maximum a hash aggregate can keep in place.
     """
-    rank = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("decimal(10,0)") * _whole(_ID_SPAN)
-    rank = rank + F.coalesce(_whole(_OVER_IDS) - F.col("id").cast("decimal(20,0)"), _whole(0))
-    base = docs.withColumn("id", F.col(id_col).cast("long")).select("id", normalised(text_col).alias("norm"), rank.cast("decimal(38,0)").alias("rank"))
-    hashed = base.withColumn("h128", F.unhex(F.md5("norm")))
-    groups = hashed.groupBy("h128", "norm").agg(F.max("rank").alias("rank"), F.count("*").alias("group_size"))
+    rows = docs.select(normalised(text_col).alias("norm"), _rank(id_col, text_col).alias("rank"))
+    found = rows.withColumn("h128", F.unhex(F.md5("norm"))).groupBy("h128", "norm").agg(F.max("rank").alias("rank"), F.count("*").alias("group_size"))
     low = F.pmod("rank", _whole(_ID_SPAN))
-    kept_id = F.when(low > 0, (_whole(_OVER_IDS) - low).cast("long"))
-    groups = groups.select("h128", F.unhex(F.sha2("norm", 256)).alias("sha"), kept_id.alias("keep_id"), "group_size")
-    rows = hashed.select("id", "h128", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    return rows.join(groups, ["h128", "sha"]).select(
+    return found.select(F.col("h128").alias("_h128"), F.unhex(F.sha2("norm", 256)).alias("_sha"), F.when(low > 0, (_whole(_OVER_IDS) - low).cast("long")).alias("keep_id"), "group_size")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, sha256) of every row, dropped ones too.
+
+    Of equal texts the row with the most code points stays, then the one with the smallest id; null ids come last. Rows
+    that repeat an id as well as a text share a verdict. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_keys(normalised(text_col)))
+    return rows.join(groups(docs, id_col, text_col), ["_h128", "_sha"]).select(
         "id",
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("sha256"),
+        F.lower(F.hex("_sha")).alias("sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: the row that stays, and one of those that repeat it. The join leaves rows dealt
+    out by the hashes, so choosing among repeats shuffles nothing more."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), *_keys(normalised(text_col)), F.col(id_col).cast("long").alias("_id"))
+    kept = rows.join(groups(docs, id_col, text_col), ["_h128", "_sha"]).where(F.col("_id").eqNullSafe(F.col("keep_id")))
+    return kept.dropDuplicates(["_h128", "_sha"]).select(*[F.col(f"_row.`{n}`") for n in names])
