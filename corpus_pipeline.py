@@ -20,9 +20,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; shingles have five words."""
-    found = simhash.near_duplicates(docs, shingle=5, distance=4)
-    dropped = found.where("id <> component").select(F.col("id").alias("doc_id"))
+    """The document with the smallest id of each group stays; texts are linked by shingles of five words, of which they
+    share 0.8 or more."""
+    found = simhash.verified_duplicates(docs, shingle=5, similarity=0.8)
+    dropped = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(dropped, "doc_id", "left_anti")
 
 

@@ -46,49 +46,50 @@ def _word_runs(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(raw: bytes | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a text in UTF-8; 0 without words."""
-    votes, n, tail = np.zeros(64, np.int64), 0, []
-    digest = xxhash.xxh64_intdigest
+def shingles(raw: bytes | None, size: int) -> Iterator[list[int]]:
+    """Hashes of a text's shingles, repeats included, run by run; of a shorter text that of all its words, if any."""
+    tail, digest, some = [], xxhash.xxh64_intdigest, False
+    for words in _word_runs(raw or b""):
+        words = tail + words
+        if hashes := [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(size)))]:
+            some = True
+            yield hashes
+        tail = words[1 - size :] if size > 1 else []
+    if not some and tail:
+        yield [digest(b" ".join(tail), SEED)]
+
+
+def fingerprint(raw: bytes | None, shingle: int = 4, distinct: bool = False) -> int:
+    """The unsigned 64-bit SimHash of a text in UTF-8; 0 without words. distinct: equal shingles vote once."""
+    votes, n = np.zeros(64, np.int64), 0
 
     def add(hashes: list[int]) -> None:
         bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes[:] += bits.sum(axis=0, dtype=np.int64)
 
-    for words in _word_runs(raw or b""):
-        words = tail + words
-        if hashes := [digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))]:
+    runs = shingles(raw, shingle)
+    for hashes in [list({h for run in runs for h in run})] if distinct else runs:
+        if hashes:
             add(hashes)
             n += len(hashes)
-        tail = words[1 - shingle :] if shingle > 1 else []
-    if not n and tail:
-        add([digest(b" ".join(tail), SEED)])
-        n = 1
     return int(sum(1 << int(j) for j in np.flatnonzero(2 * votes > n)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distinct: bool = False) -> DataFrame:
     """(id, fp) of every row, fp the fingerprint as a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_signed(fingerprint(x.as_py(), shingle)) for x in batch.column(1)]
+            found = [_signed(fingerprint(x.as_py(), shingle, distinct)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     return plain.mapInArrow(run, "id long, fp long")
 
 
-def pivot_table(codes: DataFrame) -> DataFrame:
-    """Adds p0 and p1: the distances of fp to the sixteen pivots, a byte each."""
-
-    def packed(pivots: list[int]) -> Column:
-        out = F.lit(0).cast("long")
-        for i, p in enumerate(pivots):
-            out = out.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("long"), 8 * i))
-        return out
-
-    return codes.withColumn("p0", packed(PIVOTS[:8])).withColumn("p1", packed(PIVOTS[8:]))
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The distances of fingerprints to the sixteen pivots, a row each."""
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ np.array(PIVOTS, np.uint64)[None, :]).astype(np.int8)
 
 
 def block_keys(distance: int, blocks: int) -> Column:
@@ -116,22 +117,27 @@ def choose_blocks(distance: int, codes: int) -> int:
     return blocks
 
 
-def links(codes: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect just those which chains of pairs within the
-    distance connect; inside a key only a spanning forest of its pairs is emitted, never all of them.
+#: Runs of so many fingerprints under one key, or fewer, give all their links; longer ones a spanning forest.
+SHORT = 64
+
+
+def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = TILE, short: int | None = SHORT) -> DataFrame:
+    """Edges (a, b, partial) between nodes (node, fp) within the distance. Of a key with at most `short` nodes all of
+    its pairs that link are emitted; of a larger one a spanning forest of them, marked partial, so that the edges are
+    never all pairs of a large family. short None: all pairs of every key.
 
-    A key with more than `tile` fingerprints is dealt out as pairs of tiles, so no task gets it whole.
+    A key with more than `tile` nodes is dealt out as pairs of tiles, so no task gets it whole.
     """
-    blocks = blocks or choose_blocks(distance, codes.count())
+    blocks = blocks or choose_blocks(distance, nodes.count())
     assert comb(blocks, distance) < 1 << 20
-    keyed = pivot_table(codes.select("fp")).select(F.explode(block_keys(distance, blocks)).alias("key"), "fp", "p0", "p1")
+    keyed = nodes.select(F.explode(block_keys(distance, blocks)).alias("key"), "node", "fp")
     hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * F.lit(1 << 20) + F.greatest(own, j))
     dealt = (
         keyed.join(hot, "key", "left")
         .withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(others)))
-        .select("key", "tile", "fp", "p0", "p1")
+        .select("key", "tile", "node", "fp")
         .repartition("key", "tile")
         .sortWithinPartitions("key", "tile")
     )
@@ -139,7 +145,7 @@ def links(codes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
+            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
             rows = rows if rest is None else np.concatenate([rest, rows])
             if not len(rows):
                 continue
@@ -147,15 +153,17 @@ def links(codes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
             cut = last[-1] + 1 if len(last) else 0
             rest = rows[cut:]
             if cut:
-                yield _as_edges(_forest(rows[:cut], distance))
+                yield _as_edges(_forest(rows[:cut], distance, short))
         if rest is not None:
-            yield _as_edges(_forest(rest, distance))
+            yield _as_edges(_forest(rest, distance, short))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    edges = dealt.mapInArrow(run, "a long, b long, partial boolean")
+    return edges.groupBy("a", "b").agg(F.min("partial").alias("partial"))
 
 
-def _as_edges(pairs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
+def _as_edges(pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    a, b, partial = pairs
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(partial)], ["a", "b", "partial"])
 
 
 def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray | int, j: np.ndarray, distance: int) -> np.ndarray:
@@ -165,23 +173,22 @@ def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray | int, j: np.ndarray,
     return kept[np.bitwise_count((one ^ fp[j[kept]]).view(np.uint64)) <= distance]
 
 
-def _forest(rows: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(rows: np.ndarray, distance: int, short: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links inside each run of equal (key, tile): all of a short run's, a spanning forest of a long one's."""
-    fp = np.ascontiguousarray(rows[:, 2])
-    table = np.ascontiguousarray(rows[:, 3:5]).view(np.uint8).astype(np.int8)
+    node, fp = (np.ascontiguousarray(rows[:, i]) for i in (2, 3))
+    table = pivot_table(fp)
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(rows)])
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    short = np.repeat(np.where(sizes <= 32, sizes, 1), sizes)
-    left = np.where(short > 1, np.repeat(starts + sizes, sizes) - np.arange(len(rows)), 1)
-    for step in range(1, 32):
+    most = sizes.max() if short is None else short
+    a, b, partial = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    left = np.where(np.repeat(sizes <= most, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(rows)), 1)
+    for step in range(1, int(left.max())):
         i = np.flatnonzero(left > step)
-        if not len(i):
-            break
         near = _near(fp, table, i, i + step, distance)
-        a.append(fp[i[near]])
-        b.append(fp[i[near] + step])
-    for start, size in zip(starts[sizes > 32], sizes[sizes > 32]):
+        a.append(node[i[near]])
+        b.append(node[i[near] + step])
+        partial.append(np.zeros(len(near), bool))
+    for start, size in zip(starts[sizes > most], sizes[sizes > most]):
         waiting = np.arange(start, start + size)
         while len(waiting):  # breadth first: every row is compared with those that nothing has reached yet
             reached, waiting = [waiting[0]], waiting[1:]
@@ -189,11 +196,12 @@ def _forest(rows: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 x = reached.pop()
                 near = _near(fp, table, int(x), waiting, distance)
                 if len(near):
-                    a.append(np.full(len(near), fp[x]))
-                    b.append(fp[waiting[near]])
+                    a.append(np.full(len(near), node[x]))
+                    b.append(node[waiting[near]])
+                    partial.append(np.ones(len(near), bool))
                     reached.extend(waiting[near])
                     waiting = np.delete(waiting, near)
-    return np.concatenate(a), np.concatenate(b)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(partial)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -204,7 +212,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     coded, _ = spool(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes, _ = spool(coded.groupBy("fp").agg(F.min("id").alias("first")), "codes")
-    parts = connected_components(links(codes, distance))
+    parts = connected_components(links(codes.select(F.col("fp").alias("node"), "fp"), distance, short=8))
     classed = codes.join(parts, codes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
     lowest = classed.groupBy("class").agg(F.min("first").alias("component"))
     return coded.join(classed.join(lowest, "class").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, hashes): the sorted distinct hashes of a text's shingles, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array([h for part in shingles(x.as_py(), size) for h in part], "<u8")).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    return plain.mapInArrow(run, "id long, hashes binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, partial) with the column same: whether the sets' intersection is that share of their union."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(3), batch.column(4)):
+                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.bool_())], ["a", "b", "partial", "same"])
+
+    first, second = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "partial", "ha", "hb")
+    return rows.mapInArrow(run, "a long, b long, partial boolean, same boolean")
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT) -> DataFrame:
+    """(id, component) of the rows that are near copies: texts whose sets of shingles of so many words have that Jaccard
+    similarity; component is the smallest id that a chain of such pairs reaches. Others have no row.
+
+    Candidates come from fingerprints over the distinct words, which an edit moves by a few bits only where one over
+    shingles moves by several for each shingle that it touches; every candidate pair is then verified on whole texts.
+    Of a key with many fingerprints a forest of candidates is verified; the texts that fail there are compared among
+    themselves in a second round, and what fails in that one pair by pair in a third. Null ids take no part; rows that
+    repeat an id are one node and should be brought together before.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    nodes, _ = spool(fingerprints(named, id_col, text_col, 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
+    found, asked = None, nodes
+    for limit in (short, short, None):
+        pairs, _ = spool(links(asked, distance, short=limit).where("a <> b"), "candidates")
+        members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
+        sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
+        judged, _ = spool(_similar(pairs, sets, similarity), "judged")
+        same = judged.where("same").select("a", "b")
+        found = same if found is None else found.union(same)
+        failed = judged.where("partial AND NOT same")
+        if failed.isEmpty():
+            break
+        again = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
+        asked, _ = spool(nodes.join(again, "node", "left_semi").dropDuplicates(["node"]), "again")
+    return connected_components(found).select(F.col("node").alias("id"), "component")

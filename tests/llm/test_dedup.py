@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -78,9 +79,9 @@ def test_links_of_families(spark, tile, blocks):
             codes.add(x ^ sum(1 << int(b) for b in flips))
             x = x if size != 5 else x ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
     codes = sorted(codes)
-    table = spark.createDataFrame([(simhash._signed(c),) for c in codes], "fp long")
-    edges = simhash.links(table, 4, blocks, tile)
-    assert edges.count() < 15 * len(codes) * (1 if tile > 100 else 12)
+    table = spark.createDataFrame([(simhash._signed(c), simhash._signed(c)) for c in codes], "node long, fp long")
+    edges = simhash.links(table, 4, blocks, tile, short=8)
+    assert edges.count() < len(codes) * 4 * math.comb(blocks, 4)
     for e in edges.collect():
         assert bin((e.a ^ e.b) & (1 << 64) - 1).count("1") <= 4
     found = {r.node & (1 << 64) - 1: r.component for r in common.connected_components(edges).collect()}
@@ -108,3 +109,40 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 100 for i in range(100, 161)) and all(found[k] == 1 for k in range(1, 50))
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_all_pairs_of_short_keys(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 1 << 62))
+    codes = sorted({base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for _ in range(40)})
+    table = spark.createDataFrame([(i, simhash._signed(c)) for i, c in enumerate(codes)], "node long, fp long")
+    want = {(i, j) for j in range(len(codes)) for i in range(j) if bin(codes[i] ^ codes[j]).count("1") <= 6}
+    for short in (64, None):
+        assert {(e.a, e.b) for e in simhash.links(table, 6, short=short).collect()} == want
+
+
+@pytest.mark.parametrize("short", [64, 2])
+def test_verified_duplicates(spark, docs, no_docs, short):
+    """Edits of one word in long texts link, other texts of the same words do not."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(400)]
+    rows, n = [], 0
+    for family in range(6):
+        base = list(rng.choice(words, 200))
+        for _ in range(8):
+            text = list(base)
+            text[int(rng.integers(200))] = "edited"
+            rows.append((n, " ".join(text), "x"))
+            n += 1
+        rows.append((n, " ".join(rng.permutation(base)), "x"))
+        n += 1
+    rows += [(900, None, "x"), (901, "", "x"), (None, rows[0][1], "x"), (902, "a b", "x"), (903, "A  b", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short).collect()}
+    sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) for i, t, _ in rows[:n]}
+    for i in sets:
+        same = [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert found.get(i, i) == min(same)
+    assert found[902] == found[903] == 902
+    assert simhash.verified_duplicates(no_docs).count() == 0
+    assert simhash.verified_duplicates(docs.dropDuplicates(["doc_id"])).count() >= 3
