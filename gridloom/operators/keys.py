@@ -13,12 +13,14 @@ def dimension(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.select(*columns).distinct().select(F.row_number().over(order).alias(key), *columns)
 
 
-def sequence(df: DataFrame, order: list[str | Column], key: str, after: int = 0) -> DataFrame:
+def sequence(df: DataFrame, order: list[str | Column], key: str, after: int = 0, keep: bool = False) -> DataFrame:
     """All rows with consecutive keys from after + 1 in a total order.
 
     Rows are dealt out by ranges of the order and numbered within each; the sizes of the ranges, a number for each
-    partition, give the offsets. No task sees all rows.
+    partition, give the offsets. No task sees all rows. keep: hold df, for inputs that cost more to make than to hold,
+    such as the distinct rows of a dimension; finding the ranges reads it once more.
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -78,7 +78,7 @@ def child(name: str, label: str, parent: str, key: str, parent_key: str) -> None
     """A snowflake child: distinct labels with the key of their parent's label."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = sales(spark, d, label, parent).distinct()
+        rows = sales(spark, d, label, parent).distinct().persist()
         above = keys.sequence(rows.select(parent).distinct(), [parent], parent_key)
         return keys.sequence(rows.join(above, parent), [label, parent], key).select(key, label, parent_key)
 
@@ -101,7 +101,7 @@ child("dim_client", "client", "client_type", "client_id", "type_id")
     " JOIN (SELECT row_number() OVER (ORDER BY city) AS city_id, city FROM (SELECT DISTINCT city FROM sales)) USING (city)",
 )
 def dim_lieu(spark: SparkSession, d: str) -> DataFrame:
-    rows = sales(spark, d, "store", "city", "channel").distinct()
+    rows = sales(spark, d, "store", "city", "channel").distinct().persist()
     cities = keys.sequence(rows.select("city").distinct(), ["city"], "city_id")
     return keys.sequence(rows.join(cities, "city"), ["store", "city", "channel"], "place_id").select("place_id", "store", "city_id", "channel")
 
@@ -138,7 +138,7 @@ def fact(spark: SparkSession, d: str, dims: dict[str, list[str]], strict: bool =
     names = list(dict.fromkeys(["ticket", "line", "part_key", "supp_key", "qty", "price", "cost", "rate", "sale_date", *[c for x in dims.values() for c in x]]))
     rows = sales(spark, d, *names)
     for key, natural in dims.items():
-        rows = keys.resolve(rows, keys.sequence(sales(spark, d, *natural).distinct(), natural, key), natural, strict)
+        rows = keys.resolve(rows, keys.sequence(sales(spark, d, *natural).distinct(), natural, key, keep=True), natural, strict)
     return rows
 
 
