@@ -247,29 +247,87 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, partial boolean, same boolean")
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT) -> DataFrame:
+#: Texts of a family that one task compares come from two tiles of this size; shared hashes are counted so many at a time.
+FAMILY_TILE, COLUMNS = 512, 4096
+
+
+def _similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with that similarity, from products of their incidence matrix."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    owner, flat = np.repeat(np.arange(n), sizes), np.concatenate(sets) if n else np.empty(0, np.uint64)
+    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    same = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    edges, waiting = [], np.ones(n, bool)
+    for root in range(n):
+        if waiting[root]:
+            waiting[root], reached = False, [root]
+            while reached:
+                x = reached.pop()
+                for y in np.flatnonzero(same[x] & waiting):
+                    waiting[y] = False
+                    edges.append((x, int(y)))
+                    reached.append(int(y))
+    return edges
+
+
+def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile: int = FAMILY_TILE) -> DataFrame:
+    """Edges (a, b) between similar texts of a family (node, component): all its pairs are compared, in pairs of tiles
+    that carry the texts' sets, and each gives a spanning forest of those that are similar."""
+    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * F.lit(1 << 20) + F.greatest(own, j))
+    dealt = families.join(sizes, "component").select("component", F.explode(others).alias("tile"), "node").repartition("component", "tile")
+    rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition("component", "tile").sortWithinPartitions("component", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, held = None, [], []
+
+        def out() -> pa.RecordBatch:
+            edges = np.array(_similar_forest(held, similarity), np.int64).reshape(-1, 2)
+            ids = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            for c, t, node, hashes in zip(*(batch.column(i) for i in range(4))):
+                now = c.as_py(), t.as_py()
+                if now != key:
+                    if nodes:
+                        yield out()
+                    key, nodes, held = now, [], []
+                nodes.append(node.as_py())
+                held.append(np.frombuffer(hashes.as_py(), "<u8"))
+        if nodes:
+            yield out()
+
+    return rows.select("component", "tile", "node", "hashes").mapInArrow(run, "a long, b long")
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE) -> DataFrame:
     """(id, component) of the rows that are near copies: texts whose sets of shingles of so many words have that Jaccard
     similarity; component is the smallest id that a chain of such pairs reaches. Others have no row.
 
     Candidates come from fingerprints over the distinct words, which an edit moves by a few bits only where one over
-    shingles moves by several for each shingle that it touches; every candidate pair is then verified on whole texts.
-    Of a key with many fingerprints a forest of candidates is verified; the texts that fail there are compared among
-    themselves in a second round, and what fails in that one pair by pair in a third. Null ids take no part; rows that
-    repeat an id are one node and should be brought together before.
+    shingles moves by several for each shingle that it touches; every candidate is then verified on whole texts. Keys
+    with few fingerprints give all their candidate pairs. Larger ones give a forest, whose trees are families: within a
+    family all texts are compared, but only links that hold are emitted. Null ids take no part; rows that repeat an id
+    are one node and should be brought together before.
     """
     named = docs.where(F.col(id_col).isNotNull())
     nodes, _ = spool(fingerprints(named, id_col, text_col, 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
-    found, asked = None, nodes
-    for limit in (short, short, None):
-        pairs, _ = spool(links(asked, distance, short=limit).where("a <> b"), "candidates")
-        members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
-        sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
-        judged, _ = spool(_similar(pairs, sets, similarity), "judged")
-        same = judged.where("same").select("a", "b")
-        found = same if found is None else found.union(same)
-        failed = judged.where("partial AND NOT same")
-        if failed.isEmpty():
-            break
-        again = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
-        asked, _ = spool(nodes.join(again, "node", "left_semi").dropDuplicates(["node"]), "again")
+    pairs, _ = spool(links(nodes, distance, short=short).where("a <> b"), "candidates")
+    members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
+    sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
+    found = _similar(pairs.where("NOT partial"), sets, similarity).where("same").select("a", "b")
+    families, _ = spool(connected_components(pairs.where("partial").select("a", "b")), "families")
+    found = found.union(_family_links(families, sets, similarity, tile))
     return connected_components(found).select(F.col("node").alias("id"), "component")

@@ -121,8 +121,8 @@ def test_all_pairs_of_short_keys(spark):
         assert {(e.a, e.b) for e in simhash.links(table, 6, short=short).collect()} == want
 
 
-@pytest.mark.parametrize("short", [64, 2])
-def test_verified_duplicates(spark, docs, no_docs, short):
+@pytest.mark.parametrize(("short", "tile"), [(64, 512), (2, 512), (2, 4)])
+def test_verified_duplicates(spark, docs, no_docs, short, tile):
     """Edits of one word in long texts link, other texts of the same words do not."""
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(400)]
@@ -138,7 +138,7 @@ def test_verified_duplicates(spark, docs, no_docs, short):
         n += 1
     rows += [(900, None, "x"), (901, "", "x"), (None, rows[0][1], "x"), (902, "a b", "x"), (903, "A  b", "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, node string")
-    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short).collect()}
+    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short, tile=tile).collect()}
     sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) for i, t, _ in rows[:n]}
     for i in sets:
         same = [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
