@@ -122,9 +122,10 @@ SHORT = 64
 
 
 def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = TILE, short: int | None = SHORT) -> DataFrame:
-    """Edges (a, b, partial) between nodes (node, fp) within the distance. Of a key with at most `short` nodes all of
-    its pairs that link are emitted; of a larger one a spanning forest of them, marked partial, so that the edges are
-    never all pairs of a large family. short None: all pairs of every key.
+    """Edges (a, b, whole, partial) between nodes (node, fp) within the distance. Of a key with at most `short` nodes all
+    of its pairs that link are emitted, marked whole; of a larger one a spanning forest of them, marked partial, so that
+    the edges are never all pairs of a large family. A pair found in both ways has both marks, as each forest needs all
+    of its edges. short None: all pairs of every key.
 
     A key with more than `tile` nodes is dealt out as pairs of tiles, so no task gets it whole.
     """
@@ -158,7 +159,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
             yield _as_edges(_forest(rest, distance, short))
 
     edges = dealt.mapInArrow(run, "a long, b long, partial boolean")
-    return edges.groupBy("a", "b").agg(F.min("partial").alias("partial"))
+    return edges.groupBy("a", "b").agg(F.max(~F.col("partial")).alias("whole"), F.max("partial").alias("partial"))
 
 
 def _as_edges(pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -231,20 +232,20 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b, partial) with the column same: whether the sets' intersection is that share of their union."""
+    """pairs (a, b) with the column same: whether the sets' intersection is that share of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
-            for x, y in zip(batch.column(3), batch.column(4)):
+            for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, pa.bool_())], ["a", "b", "partial", "same"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], ["a", "b", "same"])
 
     first, second = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "partial", "ha", "hb")
-    return rows.mapInArrow(run, "a long, b long, partial boolean, same boolean")
+    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb")
+    return rows.mapInArrow(run, "a long, b long, same boolean")
 
 
 #: Texts of a family that one task compares come from two tiles of this size; shared hashes are counted so many at a time.
@@ -327,7 +328,7 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs, _ = spool(links(nodes, distance, short=short).where("a <> b"), "candidates")
     members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
     sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
-    found = _similar(pairs.where("NOT partial"), sets, similarity).where("same").select("a", "b")
+    found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
     families, _ = spool(connected_components(pairs.where("partial").select("a", "b")), "families")
     found = found.union(_family_links(families, sets, similarity, tile))
     return connected_components(found).select(F.col("node").alias("id"), "component")

@@ -121,6 +121,16 @@ def test_all_pairs_of_short_keys(spark):
         assert {(e.a, e.b) for e in simhash.links(table, 6, short=short).collect()} == want
 
 
+def test_forest_keeps_edges_of_short_keys(spark):
+    """x-y and x-w are the forest of a long key; x and y also share short keys. All three are one family."""
+    x, y, w = 0, sum(1 << 8 * b for b in range(2, 7)), sum(2 << 8 * b for b in range(2, 8))
+    table = spark.createDataFrame([(0, x), (1, y), (2, w)], "node long, fp long")
+    edges = simhash.links(table, 6, blocks=8, short=2)
+    assert {(e.a, e.b, e.whole) for e in edges.where("partial").collect()} == {(0, 1, True), (0, 2, False)}
+    families = common.connected_components(edges.where("partial").select("a", "b"))
+    assert {(r.node, r.component) for r in families.collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
 @pytest.mark.parametrize(("short", "tile"), [(64, 512), (2, 512), (2, 4)])
 def test_verified_duplicates(spark, docs, no_docs, short, tile):
     """Edits of one word in long texts link, other texts of the same words do not."""
