@@ -224,7 +224,7 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array([h for part in shingles(x.as_py(), size) for h in part], "<u8")).tobytes() for x in batch.column(1)]
+            sets = [_shingle_set(x.as_py(), size).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
@@ -313,19 +313,130 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
     return rows.select("component", "tile", "node", "hashes").mapInArrow(run, "a long, b long")
 
 
+#: Shingles in HOT of about SAMPLE texts are ordered last and not counted; others are counted in shards of about SHARD.
+SAMPLE, HOT, SHARD = 5000, 50, 1 << 20
+#: The order of the hot shingles, above any count.
+LAST = 1 << 62
+
+
+def _shingle_set(raw: bytes | None, size: int) -> np.ndarray:
+    return np.unique(np.array([h for part in shingles(raw, size) for h in part], "<u8"))
+
+
+def _hot_shingles(plain: DataFrame, size: int, texts: int) -> np.ndarray:
+    """The hashes, sorted, of shingles that many texts of a sample hold: at most its shingles / HOT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x.as_py(), size).view("<i8"))], ["hash"])
+
+    some = plain.where(F.pmod(F.xxhash64("id"), F.lit(max(1, texts // SAMPLE))) == 0).mapInArrow(run, "hash long")
+    found = some.groupBy("hash").count().where(F.col("count") >= HOT).select("hash").collect()
+    return np.sort(np.array([r.hash for r in found], "<i8").view("<u8"))
+
+
+def _ranked_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, n, hash, df) of the shingles that a text of n distinct ones shares with another one, df being the number of
+    texts that hold the shingle, or LAST for hot ones. Hashes move to their counts packed into arrays, by shard; hot
+    ones, which would meet in one task, are not counted and are dealt by text."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    texts, volume = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
+    shards, hot = 1 + volume // (6 * SHARD), _hot_shingles(plain, size, texts)
+
+    def pack(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        flat, sizes = np.concatenate([x for _, x in held]), np.array([len(x) for _, x in held])
+        owner = np.repeat(np.array([i for i, _ in held], "<i8"), sizes)
+        n = np.repeat(sizes, sizes).astype("<i4")
+        shard = ((flat >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        common = np.isin(flat, hot)
+        shard[common] = -1 - owner[common] % shards
+        order = np.argsort(shard, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
+        parts = np.split(order, starts[1:])
+        columns = [pa.array([x[part].tobytes() for part in parts], pa.binary()) for x in (owner, n, flat)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[order[starts]]), *columns], ["shard", "node", "n", "hash"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for i, x in zip(batch.column(0), batch.column(1)):
+                found = _shingle_set(x.as_py(), size)
+                found = found if len(found) else np.zeros(1, "<u8")  # texts without words are alike
+                held.append((i.as_py(), found))
+                total += len(found)
+                if total >= 1 << 20:
+                    yield pack(held)
+                    held, total = [], 0
+        if held:
+            yield pack(held)
+
+    def count(shard: int, held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        node, n, flat = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<i8", "<i4", "<i8")))
+        if shard < 0:
+            df = np.full(len(flat), LAST)
+        else:
+            _, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
+            df = seen[inverse]
+        more = df > 1
+        columns = [pa.array(x[more]) for x in (node, n, flat, df.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["node", "n", "hash", "df"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for shard, *row in zip(*(batch.column(i) for i in range(4))):
+                if shard.as_py() != key:
+                    if held:
+                        yield count(key, held)
+                    key, held = shard.as_py(), []
+                held.append(tuple(x.as_py() for x in row))
+        if held:
+            yield count(key, held)
+
+    dealt = plain.mapInArrow(deal, "shard long, node binary, n binary, hash binary")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(tally, "node long, n int, hash long, df long")
+
+
+def prefix_pairs(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, short: int = SHORT) -> DataFrame:
+    """Candidates (a, b, whole, partial) that hold every pair of texts with the similarity, as links does: pairs under
+    keys of at most `short` texts, stars of longer ones, whose trees are families.
+
+    Of two sets of n and m elements that are so similar, similarity * max(n, m) elements or more are common. So whatever
+    the order of all elements, they share one of the first n - ceil(similarity * n) + 1 of each; the order is by rarity,
+    and shingles of a single text, which come first, need no key.
+    """
+    own = F.sort_array(F.collect_list(F.struct("df", "hash")))
+    lists = _ranked_shingles(docs, id_col, text_col, size).groupBy("node").agg(F.first("n").alias("n"), own.alias("own"))
+    left = (F.size("own") + 1 - F.ceil(similarity * F.col("n") - 1e-9)).cast("int")  # prefix without those of one text
+    lists = lists.withColumn("left", left).where("left > 0")
+    keyed, _ = spool(lists.select(F.explode(F.slice(F.col("own").getField("hash"), 1, F.col("left"))).alias("key"), "node", "n"), "prefixes")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("first")).where("count > 1")
+    known = keyed.join(counts, "key")
+    few = known.where(F.col("count") <= short)
+    first, second = (few.select("key", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    pairs = first.join(second, "key").where(F.col("a") < F.col("b")).where(sized).select("a", "b").distinct()
+    stars = known.where((F.col("count") > short) & (F.col("first") < F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs.select("a", "b", F.lit(True).alias("whole"), F.lit(False).alias("partial")).union(
+        stars.select("a", "b", F.lit(False), F.lit(True))
+    )
+
+
 def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE) -> DataFrame:
     """(id, component) of the rows that are near copies: texts whose sets of shingles of so many words have that Jaccard
     similarity; component is the smallest id that a chain of such pairs reaches. Others have no row.
 
-    Candidates come from fingerprints over the distinct words, which an edit moves by a few bits only where one over
-    shingles moves by several for each shingle that it touches; every candidate is then verified on whole texts. Keys
-    with few fingerprints give all their candidate pairs. Larger ones give a forest, whose trees are families: within a
-    family all texts are compared, but only links that hold are emitted. Null ids take no part; rows that repeat an id
-    are one node and should be brought together before.
+    Candidates come from prefixes of the texts' rarest shingles, which miss no pair with the similarity, and also from
+    fingerprints over the distinct words; every candidate is then verified on whole texts. Keys with few texts give all
+    their candidate pairs. Larger ones give a forest, whose trees are families: within a family all texts are compared,
+    but only links that hold are emitted. Null ids take no part; rows that repeat an id are one node and should be
+    brought together before.
     """
     named = docs.where(F.col(id_col).isNotNull())
     nodes, _ = spool(fingerprints(named, id_col, text_col, 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
-    pairs, _ = spool(links(nodes, distance, short=short).where("a <> b"), "candidates")
+    found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, id_col, text_col, shingle, similarity, short))
+    pairs, _ = spool(found.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.max("partial").alias("partial")), "candidates")
     members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
     sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")

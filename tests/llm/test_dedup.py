@@ -156,3 +156,30 @@ def test_verified_duplicates(spark, docs, no_docs, short, tile):
     assert found[902] == found[903] == 902
     assert simhash.verified_duplicates(no_docs).count() == 0
     assert simhash.verified_duplicates(docs.dropDuplicates(["doc_id"])).count() >= 3
+
+
+@pytest.mark.parametrize(("short", "hot", "shard"), [(64, 50, 1 << 20), (1, 50, 1 << 8), (64, 2, 1 << 8), (1, 2, 1 << 20)])
+def test_cut_and_extended_copies(spark, monkeypatch, short, hot, shard):
+    """Passages cut or appended move many bits of a fingerprint; every pair with the similarity is still found."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)] + "the same line ends each of these texts".split()
+        cut, more = int(rng.integers(90, 128)), [f"m{x}" for x in rng.integers(0, 5000, int(rng.integers(1, 30)))]
+        texts += [words, words[:cut], words[-cut:], words + more][: 4 if k % 2 else 2]
+    sets = [set(zip(*[t[k:] for k in range(5)])) for t in texts]
+    parent = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if x == b else x for x in parent]
+                codes = [simhash.fingerprint(" ".join(texts[x]).encode(), 1, distinct=True) for x in (i, j)]
+                far += (codes[0] ^ codes[1]).bit_count() > 6
+    assert far > 10
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short, tile=16).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == parent
