@@ -25,6 +25,8 @@ from gridloom.llm.urls import url_host
 DECAY = 0.9
 #: Branches go that hold nothing above this importance, if so many pages of the host or more have them.
 LOW, LEAST_PAGES = 0.35, 8
+#: An article or main element raises the importance of what is in it by so much.
+RAISED = 0.15
 #: Elements below this depth count as the one above them.
 DEPTH = 32
 #: Counts that a task gathers before it passes them on.
@@ -52,6 +54,8 @@ NO_ARTICLE_NAMES = frozenset(
     " sidebar aside footer complementary contentinfo cookie cookies consent gdpr notice notices alert disclaimer comment comments disqus respond reply replies"
     " related recommended share sharing social newsletter subscribe signup login search pagination pager popup modal overlay toolbar widget masthead".split()
 )
+#: Inside an article, the id of one of these is a name to link to and declares nothing.
+PASSAGES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption td th".split())
 HEADERS = frozenset(["header", "banner", "masthead"])
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
@@ -63,15 +67,16 @@ class Element:
         self.tag, self.key, self.path, self.out, self.article, self.children = tag, key, path, out, article, []
 
 
-def _named(attributes: str) -> tuple[str, set[str], bool]:
-    """The classes as part of an element's name, the words of class, id and role, and whether it is hidden."""
+def _named(attributes: str, ids: bool = True) -> tuple[str, set[str], bool]:
+    """The classes as part of an element's name, the words of class, role and, if asked, id, and whether it is hidden."""
     classes, words, hidden = "", set(), False
     for what, a, b, c in _NAMES.findall(attributes):
         what, value = what.lower(), (a or b or c).lower()
         if what == "hidden" or what == "aria-hidden" and value == "true":
             hidden = True
         elif what != "aria-hidden":
-            words.update(_WORDS.split(value))
+            if ids or what != "id":
+                words.update(_WORDS.split(value))
             if what == "class":
                 classes = " ".join(sorted(_DIGITS.sub("0", value).split()))
     return classes, words, hidden
@@ -117,8 +122,8 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
         attributes = token[4]
         if tag not in BLOCK and not ("class" in attributes or "id" in attributes or "hidden" in attributes or tag in NO_ARTICLE_TAGS):
             continue
-        classes, words, hidden = _named(attributes) if attributes.strip(" /") else ("", (), False)
         inside = stack[-1].article
+        classes, words, hidden = _named(attributes, not (inside and tag in PASSAGES)) if attributes.strip(" /") else ("", (), False)
         out = hidden or tag in NO_ARTICLE_TAGS or bool(words and not NO_ARTICLE_NAMES.isdisjoint(words)) or (not inside and (tag in HEADERS or "header" in words))
         if tag not in BLOCK and not out:
             continue
@@ -155,17 +160,20 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     return blocks, every
 
 
-def main_text(html: str, low: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks of the article, joined by line feeds.
+def main_text(html: str, low: set[int] | frozenset[int] = frozenset(), lowest: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks of the main text, joined by line feeds.
 
-    Branches that declare themselves no article go. With an article or main element, its blocks are the article, as the
-    page says so itself; without one, every block that lies in no branch of low importance and is no list item of links.
+    Branches that declare themselves no article go, and so do those of low importance: elements of `low`, or inside
+    article and main elements, which raise it, those of `lowest`. Of what then stays, list items of links outside articles
+    go; the rest outside goes only if the articles hold at least as much text, so a page of teasers keeps its story.
     """
     blocks, _ = parse(html)
-    kept = [x for x in blocks if not x[0].out]
-    if any(e.article for e, _, _ in kept):
-        return "\n".join(t for e, t, _ in kept if e.article)
-    return "\n".join(t for e, t, linked in kept if low.isdisjoint(e.path) and not (linked and e.tag == "li"))
+    kept = [x for x in blocks if not x[0].out and (lowest if x[0].article else low).isdisjoint(x[0].path)]
+    kept = [x for x in kept if x[0].article or not (x[2] and x[0].tag == "li")]
+    inside = sum(len(t) for e, t, _ in kept if e.article)
+    if 2 * inside >= sum(len(t) for _, t, _ in kept):
+        kept = [x for x in kept if x[0].article]
+    return "\n".join(t for _, t, _ in kept)
 
 
 def _features(html: str) -> set[tuple[int, str, int]]:
@@ -242,20 +250,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
     tree = style_tree(rows.select("host", "html"))
     low = tree.where((F.col("highest") < LOW) & (F.col("pages") >= LEAST_PAGES))
-    low, _ = spool(low.groupBy("host").agg(F.collect_list("element").alias("low")), "low")
+    least = F.when(F.col("highest") + RAISED < LOW, F.col("element"))
+    low, _ = spool(low.groupBy("host").agg(F.collect_list("element").alias("low"), F.collect_list(least).alias("lowest")), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str | None, frozenset[int]] = {}
+        sets: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            for html, host, few in zip(batch.column(2), batch.column(3), batch.column(4)):
+            for html, host, low, lowest in zip(*(batch.column(i) for i in range(2, 6))):
                 host = host.as_py()
                 if host not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[host] = frozenset(few.as_py() or ())
-                texts.append(main_text(html.as_py() or "", sets[host]))
+                    sets[host] = frozenset(low.as_py() or ()), frozenset(lowest.as_py() or ())
+                texts.append(main_text(html.as_py() or "", *sets[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.join(low, "host", "left").select("id", "url", "html", "host", "low").mapInArrow(run, f"id {kind['id']}, url string, text string")
+    return rows.join(low, "host", "left").select("id", "url", "html", "host", "low", "lowest").mapInArrow(run, f"id {kind['id']}, url string, text string")

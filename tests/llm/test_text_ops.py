@@ -114,6 +114,20 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert html.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_style_tree_decides_in_articles(spark):
+    """What a site repeats goes from articles too; a page whose articles are teasers keeps its story."""
+    rows = []
+    for i in range(30):
+        body = "".join(f"<p id=comment-{k}>story {i} part {k} {i * k}</p>" for k in range(2 + i % 7))
+        rows.append((f"http://site.org/{i}", f"<article><div class=q><p>Support our work</p></div><h2 id=related-{i}>Head {i}</h2>{body}</article><div class=low><p>All rights</p></div>"))
+        rows.append((f"http://plain.org/{i}", f"<div class=page>{re.sub(' id=[^>]*', '', body)}</div><article class=tease><p>t{i}</p></article>"))
+    found = {r.id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    for i in range(30):
+        story = "\n".join(f"story {i} part {k} {i * k}" for k in range(2 + i % 7))
+        assert found[2 * i] == f"Head {i}\n{story}"
+        assert found[2 * i + 1] == f"{story}\nt{i}"
+
+
 def test_deep_and_long_pages():
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert html.main_text("<p>" + "x " * 200_000).count("x") == 200_000
