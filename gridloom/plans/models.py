@@ -168,11 +168,11 @@ query("ml_svc")(linear_svc)
 
 def pair_models(spark: SparkSession, d: str, classes: list[int]) -> DataFrame:
     train, _ = split(vectors(spark, d).where(F.col("label").isin(classes)))
-    return learners.one_vs_one(train.drop("test"), classes, most=300)
+    return learners.one_vs_one(train.drop("test"), classes)
 
 
 def support(spark: SparkSession, d: str) -> DataFrame:
-    return pair_models(spark, d, CLASSES[:4]).select("c1", "c2", F.size("sv").alias("support_vectors"))
+    return pair_models(spark, d, CLASSES).select("c1", "c2", F.size("sv").alias("support_vectors"))
 
 
 query("ml_smo")(lambda spark, d: pair_models(spark, d, [0, 1]).select("c1", "c2", F.size("sv").alias("support_vectors"), F.round("b", 3).alias("b")))
@@ -191,7 +191,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("ml_decision")(decisions)
-query("ml_ovo")(lambda spark, d: learners.vote(split(vectors(spark, d).where("label < 4"))[1], pair_models(spark, d, CLASSES[:4])))
+query("ml_ovo")(lambda spark, d: learners.vote(split(vectors(spark, d).where(F.col("label").isin(CLASSES)))[1], pair_models(spark, d, CLASSES)))
 query("ml_ovo_votes", " SELECT id, first(c ORDER BY k DESC, c)::INTEGER AS predicted FROM (SELECT id, c, count(*) AS k FROM (SELECT id, CASE WHEN (id + a + b) % 2 = 0 THEN a ELSE b END AS c FROM v, range(4) s(a), range(4) t(b) WHERE a < b) GROUP BY id, c) GROUP BY id")(
     lambda spark, d: vectors(spark, d).select("id", F.explode(F.array(*[F.when((F.col("id") + a + b) % 2 == 0, a).otherwise(b) for a in range(4) for b in range(a + 1, 4)])).alias("c"))
     .groupBy("id", "c").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("c", F.struct("k", (-F.col("c")).alias("l"))).alias("predicted"))

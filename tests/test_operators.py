@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridloom import functions as gf
 from gridloom import streaming
 from gridloom.operators import features, keys, learners, metrics, neighbours, series
+from gridloom.plans import models
 from gridloom.sources import delimited
 
 
@@ -158,3 +159,20 @@ def test_sniffed_files(spark):
     found = delimited.sniffed(files, ["date", "x", "y"])
     assert rows(found.select("date", "path")) == [("2024-01-01", "a.csv"), ("2024-01-02", "a.csv"), ("2024-02-01", "b.csv"), ("2024-02-02", "b.csv")]
     assert rows(delimited.cleaned(found, ["x", "y"]).select("date", "x", "y")) == [("2024-01-01", 1.0, 2.0), ("2024-02-02", 7.0, 8.0)]
+
+
+def test_pair_models_of_all_classes(spark):
+    """All 45 pairs of ten classes have a model, and every test row a prediction."""
+    rng = np.random.default_rng(1)
+    held = [(i, [float(v) for v in rng.normal(i // 40, 0.1, 4)], i // 40, i % 5 == 0) for i in range(400)]
+    held = spark.createDataFrame(held, "id long, x array<double>, label int, test boolean")
+    patch = pytest.MonkeyPatch()
+    patch.setattr(models, "vectors", lambda spark, d: held)
+    try:
+        assert models.QUERIES["ev_sv_count"](spark, "").count() == 45
+        assert models.QUERIES["topk_pairs"](spark, "").count() == 15
+        test = models.split(held)[1]
+        found = {r.id: r.predicted for r in models.QUERIES["ml_ovo"](spark, "").collect()}
+        assert set(found) == {r.id for r in test.collect()} and set(found.values()) == set(range(10))
+    finally:
+        patch.undo()
