@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -9,73 +10,91 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import spool
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a length are dealt to so many blocks to be numbered.
-BLOCKS = 1024
-#: Entries of a worker's table of tokenized chunks.
+#: Entries of a worker's table of tokenized words.
 CACHE = 300_000
+#: Runs of white space or of other characters that are left to `tokenizers`, whose matching needs no stack for them.
+LONG = re.compile(r"\s{256}|\S{2048}")
 
 
 class Tokenizer:
-    """Ids as little-endian unsigned 32-bit bytes, of the vocabulary that `tokenizers` reads from byte_bpe_50k.json.
+    """Ids as little-endian unsigned 32-bit bytes, those that `tokenizers` gives for a file such as byte_bpe_50k.json.
 
-    The same vocabulary as ranks gives the same ids faster. No token crosses a single space between two other
-    characters, so a text is cut there and the chunks, most of which recur, are looked up; other texts are done whole.
+    The same vocabulary as ranks gives the same ids faster. Added tokens of the file stand for their own ids, as there.
+    No token crosses a single space between two other characters, so a text is cut there and the words, most of which
+    recur, are looked up; other texts are done whole, and those with very long runs by `tokenizers` itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import base64
 
         import tiktoken
+        from tokenizers import Tokenizer as Plain
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.plain = Plain.from_file(json_path)
+        self.plain.encode_special_tokens = True  # texts come here without added tokens
+        self.added = {t.content: struct.pack("<I", i) for i, t in self.plain.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> bytes:
+        if self.cut and len(parts := self.cut.split(text)) > 1:
+            return b"".join(self.added.get(x) or self.segment(x) for x in parts if x)
+        return self.segment(text)
+
     def whole(self, text: str) -> bytes:
-        ids = self.encoder.encode_ordinary(text)
+        if len(text) >= 256 and LONG.search(text):
+            ids = self.plain.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.encoder.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, text: str) -> bytes:
+    def segment(self, text: str) -> bytes:
+        """Ids of a text without added tokens. known holds words that a space comes before and that neither start nor
+        end with white space, so a text of which it has all words is cut as it may be."""
         head, *rest = text.split(" ")
-        if not rest:
-            return self.whole(text)
-        chunks = [head, *[" " + x for x in rest]]
-        if not head or head[-1].isspace() or any(len(x) < 2 or x[1].isspace() or x[-1].isspace() for x in chunks[1:]):
+        if not rest or not head or head[-1].isspace():
             return self.whole(text)
         known = self.known
         try:
-            return b"".join([known[x] for x in chunks])
+            return self.whole(head) + b"".join(map(known.__getitem__, rest))
         except KeyError:
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in rest):
+                return self.whole(text)
             if len(known) > CACHE:
                 known.clear()
-            for x in chunks:
+            for x in rest:
                 if x not in known:
-                    known[x] = self.whole(x)
-            return b"".join([known[x] for x in chunks])
+                    known[x] = self.whole(" " + x)
+            return self.whole(head) + b"".join(map(known.__getitem__, rest))
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """(id, piece, start, length, crc) of every document: its ids and the end id, in pieces of the capacity.
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str, str] | None = None) -> DataFrame:
+    """(id, piece, start, length, crc, task, place) of every document: its ids and the end id, in pieces of the capacity.
 
-    Only documents longer than the capacity are cut; their first piece takes the remainder, the others are full.
-    vocabulary: the path of a file of ranks and the pattern; without it, those of the public byte_bpe_50k.
+    Only documents longer than the capacity are cut; their first piece takes the remainder, the others are full. place
+    numbers the pieces of a length that one task made, from 0; the two hold for one write of the table.
+    vocabulary: the paths of the tokenizer's file and of its ranks, and the pattern; without it, the public byte_bpe_50k.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary:
-            path, pattern = vocabulary
+            json_path, ranks_path, pattern = vocabulary
         else:
             import public_tokenizers
 
-            path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-        tokenizer, end = Tokenizer(str(path), pattern), struct.pack("<I", end_id)
+            json_path, ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        tokenizer, end = Tokenizer(str(json_path), str(ranks_path), pattern), struct.pack("<I", end_id)
+        task, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -84,14 +103,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 at, piece = 0, 0
                 size = n % capacity or capacity
                 while at < n:
-                    rows.append((doc, piece, at, size, crc32(ids[4 * at : 4 * (at + size)])))
+                    rows.append((doc, piece, at, size, crc32(ids[4 * at : 4 * (at + size)]), task, made[size]))
+                    made[size] += 1
                     at, piece, size = at + size, piece + 1, capacity
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "crc"])
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "crc", "task", "place"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, piece int, start long, length long, crc long")
+    return plain.mapInArrow(run, "id long, piece int, start long, length long, crc long, task int, place long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -156,28 +176,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str, str] | None = None) -> DataFrame:
     """(id, piece, start, length, crc, sequence, offset) of every piece; sequences are full to the capacity or have the
     rest empty, and offsets leave no gap.
 
     The counts per length, at most `capacity` numbers, go to the driver, which plans the bins; the slots, at most a few
-    per length and step of the plan, come back as a broadcast table. Pieces get their rank among those of their length
-    from counts per (length, block) and prefix sums. Null texts are empty documents: the end id alone.
+    per length and step of the plan, come back as a broadcast table. A piece's rank among those of its length is its
+    place in the task that made it, after the counts of the tasks before: the window has a row for each task and length,
+    and no task orders the pieces of a length. Null texts are empty documents: the end id alone. Null and repeated ids
+    and repeated rows are documents like any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cut, _ = spool(pieces(docs, id_col, text_col, capacity, end_id, vocabulary), "pieces")
-    block = F.pmod(F.xxhash64("id", "piece"), F.lit(BLOCKS)).cast("int")
-    rows = cut.withColumn("block", block)
-    blocks = rows.groupBy("length", "block").agg(F.count("*").alias("n"))
-    by_block = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks, _ = spool(blocks.withColumn("before", F.coalesce(F.sum("n").over(by_block), F.lit(0))), "blocks")
-    counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks, _ = spool(cut.groupBy("length", "task").agg(F.count("*").alias("n")).withColumn("before", before), "tasks")
+    counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = plan(counts, capacity)
     assert len(slots) <= 8 * capacity * capacity
     lows = {n: np.array([s[1:] for s in slots if s[0] == n], np.int64) for n in counts}
-    place = F.row_number().over(Window.partitionBy("length", "block").orderBy("id", "piece", "start"))
-    ranked = rows.withColumn("place", place).join(blocks.select("length", "block", "before"), ["length", "block"])
-    ranked = ranked.select("id", "piece", "start", "length", "crc", (F.col("before") + F.col("place") - 1).alias("rank"))
+    ranked = cut.join(tasks.select("length", "task", "before"), ["length", "task"])
+    ranked = ranked.select("id", "piece", "start", "length", "crc", (F.col("before") + F.col("place")).alias("rank"))
     shared = spark.sparkContext.broadcast(lows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,8 +86,7 @@ def tokens():
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    reference.encode_special_tokens = True
-    own = packing.Tokenizer(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    own = packing.Tokenizer(*(str(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken")), public_tokenizers.PATTERN)
     return own, reference
 
 
@@ -99,6 +98,43 @@ def test_tokens_equal_those_of_tokenizers(tokens, text):
     assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" * 1_000_000, "a " + "\n" * 5000 + " b", "hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b ", "<|endoftext", "x  y", " x y", "x y ", "né" * 3000 + " b c"])
+def test_long_runs_and_added_tokens(tokens, text):
+    own, reference = tokens
+    ids = reference.encode(text, add_special_tokens=False).ids
+    assert own.ids(text) == own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying all places for each size, largest first."""
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= sizes[k]
+                place(k + 1, rest)
+        place(k + 1, [*rooms, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=10))
+@settings(max_examples=200, deadline=None)
+def test_plan_against_exhaustive_search(sizes):
+    counts = {n: sizes.count(n) for n in sizes}
+    bins = max(first + -(-(b - a) // row) for _, a, b, first, row, _ in packing.plan(counts, 12))
+    assert bins <= fewest(sorted(sizes, reverse=True), 12) + 1
+
+
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_plan(counts):
