@@ -18,7 +18,7 @@ from gridloom.llm.common import spool
 
 CAPACITY, END_ID = 1024, 2
 #: Entries of a worker's table of tokenized words.
-CACHE = 300_000
+CACHE = 500_000
 #: Runs of white space or of other characters that are left to `tokenizers`, whose matching needs no stack for them.
 LONG = re.compile(r"\s{256}|\S{2048}")
 
@@ -33,18 +33,18 @@ class Tokenizer:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import base64
+        import json
 
         import tiktoken
-        from tokenizers import Tokenizer as Plain
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = Plain.from_file(json_path)
-        self.plain.encode_special_tokens = True  # texts come here without added tokens
-        self.added = {t.content: struct.pack("<I", i) for i, t in self.plain.get_added_tokens_decoder().items()}
+        self.json_path, self.plain = json_path, None
+        with open(json_path, encoding="utf-8") as file:
+            self.added = {t["content"]: struct.pack("<I", t["id"]) for t in json.load(file)["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        self.words = Words(self)
 
     def ids(self, text: str) -> bytes:
         if self.cut and len(parts := self.cut.split(text)) > 1:
@@ -53,29 +53,47 @@ class Tokenizer:
 
     def whole(self, text: str) -> bytes:
         if len(text) >= 256 and LONG.search(text):
-            ids = self.plain.encode(text, add_special_tokens=False).ids
+            ids = self.by_tokenizers(text)
         else:
             ids = self.encoder.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack("<%dI" % len(ids), *ids)
+
+    def by_tokenizers(self, text: str) -> list[int]:
+        if self.plain is None:
+            from tokenizers import Tokenizer as Plain
+
+            self.plain = Plain.from_file(self.json_path)
+            self.plain.encode_special_tokens = True  # added tokens have been cut out before
+        return self.plain.encode(text, add_special_tokens=False).ids
 
     def segment(self, text: str) -> bytes:
-        """Ids of a text without added tokens. known holds words that a space comes before and that neither start nor
-        end with white space, so a text of which it has all words is cut as it may be."""
+        """Ids of a text without added tokens."""
         head, *rest = text.split(" ")
         if not rest or not head or head[-1].isspace():
             return self.whole(text)
-        known = self.known
+        if len(self.words) > CACHE:
+            self.words.clear()
         try:
-            return self.whole(head) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in rest):
-                return self.whole(text)
-            if len(known) > CACHE:
-                known.clear()
-            for x in rest:
-                if x not in known:
-                    known[x] = self.whole(" " + x)
-            return self.whole(head) + b"".join(map(known.__getitem__, rest))
+            return self.whole(head) + b"".join(map(self.words.__getitem__, rest))
+        except Joined:
+            return self.whole(text)
+
+
+class Joined(Exception):
+    """A word that a token may join to its neighbours."""
+
+
+class Words(dict):
+    """Word -> ids of the word after a space, for words that neither start nor end with white space."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Joined
+        self[word] = ids = self.tokenizer.whole(" " + word)
+        return ids
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str, str] | None = None) -> DataFrame:
