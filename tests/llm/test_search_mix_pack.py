@@ -11,24 +11,33 @@ from hypothesis import strategies as st
 from gridloom.llm import mixing, packing, topk
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("query_rows", "shard_rows", "groups", "fan"), [(3, 16, (2, 5), 2), (1024, 8192, None, 16), (1, 1, (1, 300), 7)])
+def test_top_k(spark, query_rows, shard_rows, groups, fan):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 7]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan"), 0.0, 0.0, 0.0]), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, [1.0, 2.0]), (306, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (5, rows[5][1]), (400, [1e14, 1e9, 0.0, 3.0])]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan"), 0.0, 0.0, 0.0]), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, [1.0, 2.0]), (306, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (5, rows[5][1]), (400, [1e14, 1e9, 0.0, 3.0]), (450, []), (451, []), (500, [1e6, -2e6, 0.5, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, ids string")
     found = defaultdict(list)
-    for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=5, query_rows=3, shard_rows=16, groups=3).collect():
+    for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=5, query_rows=query_rows, shard_rows=shard_rows, groups=groups, fan=fan).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     asked = [g for g in good if g[0] % 50 == 0]
     for q, a in asked:
         scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(b) == len(a))[:5]
         if all(-s < 2**63 for s, _ in scores):
             assert sorted(found[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert found[450] == [(1, 451, 0)]
     empty = df.limit(0)
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_groups_grow_with_the_tables():
+    assert topk._groups(0, 0, 0, 8) == (1, 1)
+    assert topk._groups(1 << 20, 1 << 24, 7, 8) == (1, 7)
+    small, large = (topk._groups(n << 30, n << 36, n << 14, 8) for n in (1, 10))
+    assert large[0] == 10 * small[0] and large[1] == 10 * small[1]
+
+
 def test_two_vectors_of_a_length(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0"), k=5).collect()] == [(0, 1, 1, 256 * 512)]
