@@ -2,8 +2,9 @@
 
 Pages are read into their elements twice. The first pass merges the pages of a host: every element, named by the tags and
 classes on the way to it, gets the counts of its presentation styles (the sequence of its children) and of the blocks of
-text below it. Entropies of these counts give its importance. The second pass removes the branches of low importance
-from each page, with those that their tags or classes declare to be no article.
+text below it. Entropies of these counts, and what tags and names declare, give its importance. The second pass removes
+the branches of low importance from each page. Nothing else removes one: on every page the tree decides, with an article
+or without, and names are one of its features.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from gridloom.llm.urls import url_host
 
 #: Weight of an element's own presentation against what lies below it: DECAY ** (number of its styles).
 DECAY = 0.9
-#: Branches go that hold nothing above this importance, if so many pages of the host or more have them.
-LOW, LEAST_PAGES = 0.35, 8
-#: An article or main element raises the importance of what is in it by so much.
-RAISED = 0.15
-#: Elements below this depth count as the one above them.
+#: Branches go that hold nothing of this importance. A site of few pages tells little: SMOOTH pages are added to the scale.
+LOW, SMOOTH = 0.35, 4
+#: Importance that an element loses, with all below it, by what it declares (a name in passing; to be no article), what
+#: lists of links lose outside articles, and what article and main elements add to all that is in them.
+DECLARED, LINKED, RAISED = (0.0, 0.3, 1.0), 0.7, 0.15
+#: Elements below this depth count as the one above them; their text stays with it.
 DEPTH = 32
 #: Counts that a task gathers before it passes them on.
 GATHERED = 200_000
 
-_RAW = "script|style|noscript|template|iframe|svg|object|canvas|math|title|textarea"
+_RAW = "script|style|noscript|template|iframe|svg|title|textarea"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
@@ -47,44 +49,66 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Tags and parts of class names, ids and roles that declare a branch to be no part of the article.
+#: Tags and words of class names, ids and roles that declare a branch to be no part of the article, and words that say
+#: no more beside them.
 NO_ARTICLE_TAGS = frozenset("head nav footer aside form menu button select option label fieldset dialog".split())
 NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs nav navbar navigation menu"
     " sidebar aside footer complementary contentinfo cookie cookies consent gdpr notice notices alert disclaimer comment comments disqus respond reply replies"
     " related recommended share sharing social newsletter subscribe signup login search pagination pager popup modal overlay toolbar widget masthead".split()
 )
-#: Inside an article, the id of one of these is a name to link to and declares nothing.
+FILLERS = frozenset("area bar block box button buttons container content form inner left links list main outer panel posts right section site slot thread top bottom unit wrap wrapper".split())
+#: What holds the text itself; inside an article, its names declare nothing but a name in passing, and its ids nothing.
 PASSAGES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption td th".split())
+WHOLE = frozenset(["html", "body", "main", "article"])
 HEADERS = frozenset(["header", "banner", "masthead"])
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
 
 class Element:
-    __slots__ = ("tag", "key", "path", "out", "article", "children")
+    """An element of a page; key names it in its site's tree, path holds the keys from the root to it, declared (0, 1, 2)
+    is what it or one around it declares."""
 
-    def __init__(self, tag: str, key: int, path: tuple[int, ...], out: bool, article: bool):
-        self.tag, self.key, self.path, self.out, self.article, self.children = tag, key, path, out, article, []
+    __slots__ = ("tag", "key", "path", "declared", "hidden", "article", "children")
 
+    def __init__(self, tag: str, key: int, path: tuple[int, ...], declared: int, hidden: bool, article: bool):
+        self.tag, self.key, self.path, self.declared, self.hidden, self.article, self.children = tag, key, path, declared, hidden, article, []
 
-def _named(attributes: str, ids: bool = True) -> tuple[str, set[str], bool]:
-    """The classes as part of an element's name, the words of class, role and, if asked, id, and whether it is hidden."""
-    classes, words, hidden = "", set(), False
-    for what, a, b, c in _NAMES.findall(attributes):
+
+def _attributes(text: str) -> tuple[str, str, str, bool]:
+    """class, id and role in lower case, and whether the element is hidden."""
+    found, hidden = {"class": "", "id": "", "role": ""}, False
+    for what, a, b, c in _NAMES.findall(text):
         what, value = what.lower(), (a or b or c).lower()
         if what == "hidden" or what == "aria-hidden" and value == "true":
             hidden = True
         elif what != "aria-hidden":
-            if ids or what != "id":
-                words.update(_WORDS.split(value))
-            if what == "class":
-                classes = " ".join(sorted(_DIGITS.sub("0", value).split()))
-    return classes, words, hidden
+            found[what] = value
+    return found["class"], found["id"], found["role"], hidden
+
+
+def _declared(tag: str, classes: str, name: str, role: str, inside: bool) -> int:
+    """2 for an element whose tag, or a whole class, role or id of it, says that it is no article; 1 if a word of them
+    does. Inside an article ids count only if they say so wholly, and passages are not declared more than in passing."""
+    if tag in NO_ARTICLE_TAGS or (not inside and tag in HEADERS):
+        return 2
+    if tag in WHOLE:
+        return 0
+    names = NO_ARTICLE_NAMES if inside else NO_ARTICLE_NAMES | HEADERS
+    most = 0
+    for token, is_id in [*((x, False) for x in (*classes.split(), role)), (name, True)]:
+        words = {w for w in _WORDS.split(token) if w}
+        if not names.isdisjoint(words):
+            if words <= names | FILLERS:
+                most = max(most, 1 if inside and tag in PASSAGES else 2) if not (is_id and inside and tag in PASSAGES) else most
+            elif not (is_id and inside):
+                most = max(most, 1)
+    return most
 
 
 def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     """Blocks of text in page order, each with its innermost element and whether all of it is links, and all elements."""
-    root = Element("", 0, (0,), False, False)
+    root = Element("", 0, (0,), 0, False, False)
     stack, every, blocks, text = [root], [root], [], []
     at, link, linked = 0, False, True
 
@@ -120,12 +144,12 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
                 del stack[depth:]
             continue
         attributes = token[4]
-        if tag not in BLOCK and not ("class" in attributes or "id" in attributes or "hidden" in attributes or tag in NO_ARTICLE_TAGS):
+        if tag not in BLOCK and not ("class" in attributes or "id" in attributes or "role" in attributes or tag in NO_ARTICLE_TAGS):
             continue
-        inside = stack[-1].article
-        classes, words, hidden = _named(attributes, not (inside and tag in PASSAGES)) if attributes.strip(" /") else ("", (), False)
-        out = hidden or tag in NO_ARTICLE_TAGS or bool(words and not NO_ARTICLE_NAMES.isdisjoint(words)) or (not inside and (tag in HEADERS or "header" in words))
-        if tag not in BLOCK and not out:
+        around, inside = stack[-1], stack[-1].article
+        classes, name, role, hidden = _attributes(attributes) if attributes.strip(" /") else ("", "", "", False)
+        own = _declared(tag, classes, name, role, inside)
+        if tag not in BLOCK and not hidden and own < 2:
             continue
         flush()
         if tag in BLOCK:
@@ -145,12 +169,13 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
                     break
         parent = stack[-1]
         if len(parent.path) < DEPTH:
-            key = xxhash.xxh64_intdigest(f"{parent.key} {tag} {classes}".encode()) >> 1
+            kind = " ".join(sorted(_DIGITS.sub("0", classes).split()))
+            key = xxhash.xxh64_intdigest(f"{parent.key} {tag} {max(own, around.declared)} {kind}".encode()) >> 1
             path = (*parent.path, key)
         else:
             key, path = parent.key, parent.path
         parent.children.append(key)
-        element = Element(tag, key, path, parent.out or out, inside or tag in ("article", "main"))
+        element = Element(tag, key, path, max(own, around.declared), around.hidden or hidden or tag == "head", inside or tag in ("article", "main"))
         stack.append(element)
         every.append(element)
     if at < len(html):
@@ -160,16 +185,15 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
     return blocks, every
 
 
-def main_text(html: str, low: set[int] | frozenset[int] = frozenset(), lowest: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks of the main text, joined by line feeds.
+def main_text(html: str, low: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks of the main text, joined by line feeds: those in no branch of `low`, the elements of low importance.
 
-    Branches that declare themselves no article go, and so do those of low importance: elements of `low`, or inside
-    article and main elements, which raise it, those of `lowest`. Of what then stays, list items of links outside articles
-    go; the rest outside goes only if the articles hold at least as much text, so a page of teasers keeps its story.
+    What then is outside article and main elements stays only if these hold less than half of it all, so a page of
+    teasers keeps its story. If a site repeats all of a page, the tree cannot tell the story from its frame: of such a
+    page what declares itself no article goes, and the rest stays.
     """
-    blocks, _ = parse(html)
-    kept = [x for x in blocks if not x[0].out and (lowest if x[0].article else low).isdisjoint(x[0].path)]
-    kept = [x for x in kept if x[0].article or not (x[2] and x[0].tag == "li")]
+    blocks = [x for x in parse(html)[0] if not x[0].hidden]
+    kept = [x for x in blocks if low.isdisjoint(x[0].path)] or [x for x in blocks if x[0].declared < 2]
     inside = sum(len(t) for e, t, _ in kept if e.article)
     if 2 * inside >= sum(len(t) for _, t, _ in kept):
         kept = [x for x in kept if x[0].article]
@@ -177,22 +201,30 @@ def main_text(html: str, low: set[int] | frozenset[int] = frozenset(), lowest: s
 
 
 def _features(html: str) -> set[tuple[int, str, int]]:
-    """(element, kind, value) once per page: kind s for a style, c for a block of the element's own, a for an ancestor."""
+    """(element, kind, value) once per page: kind s for a style, c for a block of the element's own, l if some of these are
+    no mere links, a for an ancestor and p for the parent, d for 2 * declared + whether it is in an article."""
     blocks, every = parse(html)
     found = {(e.key, "s", xxhash.xxh64_intdigest(repr(e.children).encode()) >> 1) for e in every if e.children}
-    found.update((e.key, "c", xxhash.xxh64_intdigest(t.encode()) >> 1) for e, t, _ in blocks)
-    found.update((e.key, "a", key) for e in {e.key: e for e in every}.values() for key in e.path)
+    for e, t, linked in blocks:
+        if not e.hidden:
+            found.add((e.key, "c", xxhash.xxh64_intdigest(t.encode()) >> 1))
+            if not linked or e.tag != "li":
+                found.add((e.key, "l", 0))
+    for e in {e.key: e for e in every}.values():
+        found.add((e.key, "d", 2 * e.declared + e.article))
+        found.update((e.key, "a", key) for key in e.path)
+        found.add((e.key, "p", e.path[-2] if len(e.path) > 1 else -1))
     return found
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, element, pages, importance, highest) of every element of the hosts' merged pages, from (host, html).
+    """(host, element, parent, importance, highest) of every element of the hosts' merged pages, from (host, html).
 
-    With m pages, a block that an element has on n of them has entropy log(n) / log(m): 0 if it is unique, 1 if all
-    pages share it. What lies below an element weighs 1 less the mean over the blocks of all elements there; its own
-    presentation weighs the entropy of its styles over log(m), and DECAY ** styles of the two is presentation.
-    highest: the largest importance of the element and all below it. Elements of which the host has one page only are
-    not rated.
+    With m pages, and SMOOTH more on the scale, a block that an element has on n of them has entropy
+    log(n) / log(m + SMOOTH): 0 if it is unique, nearly 1 if all pages share it. What lies below an element weighs 1 less
+    the mean over the blocks of all elements there; its own presentation weighs the entropy of its styles on that scale,
+    and DECAY ** styles of the two is presentation. Declarations, lists of links and articles then lower and raise it.
+    highest: the largest importance of the element and all below it.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +246,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     rows = pages.select("host", "html").mapInArrow(gather, "host string, element long, kind string, feature long, n long")
     counts = rows.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n"))
     number = pages.groupBy("host").agg(F.count("*").alias("m"))
-    style, content = F.col("kind") == "s", F.col("kind") == "c"
+    style, content, declared = (F.col("kind") == k for k in "scd")
     n = F.col("n").cast("double")
     own_sums = counts.groupBy("host", "element").agg(
         F.sum(F.when(style, n)).alias("seen"),
@@ -222,19 +254,24 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.count(F.when(style, 1)).alias("styles"),
         F.sum(F.when(content, n)).alias("blocks"),
         F.sum(F.when(content, n * F.log(n))).alias("blocks_log"),
-        F.max(F.when(F.col("kind") == "a", n)).alias("pages"),
+        F.count(F.when(F.col("kind") == "l", 1)).alias("prose"),
+        F.max(F.when(declared, F.col("feature"))).alias("flags"),
+        F.max(F.when(F.col("kind") == "p", F.col("feature"))).alias("parent"),
         F.collect_set(F.when(F.col("kind") == "a", F.col("feature"))).alias("above"),
     )
     own_sums, _ = spool(own_sums, "elements")
     above = own_sums.select("host", "element", F.explode("above").alias("ancestor"))
-    lower = own_sums.where("blocks > 0").select("host", F.explode("above").alias("element"), "blocks", "blocks_log")
-    lower = lower.groupBy("host", "element").agg(F.sum("blocks").alias("blocks"), F.sum("blocks_log").alias("blocks_log"))
-    sums = own_sums.drop("blocks", "blocks_log", "above").join(lower, ["host", "element"], "left").join(number.where("m > 1"), "host")
-    scale = F.log(F.col("m").cast("double"))
+    lower = own_sums.where("blocks > 0").select("host", F.explode("above").alias("element"), F.col("blocks").alias("all_blocks"), F.col("blocks_log").alias("all_log"))
+    lower = lower.groupBy("host", "element").agg(F.sum("all_blocks").alias("all_blocks"), F.sum("all_log").alias("all_log"))
+    sums = own_sums.drop("blocks_log", "above").join(lower, ["host", "element"], "left").join(number, "host")
+    scale = F.log(F.col("m").cast("double") + SMOOTH)
     own = F.coalesce((F.log("seen") - F.col("seen_log") / F.col("seen")) / scale, F.lit(0.0))
-    below = F.coalesce(1 - F.col("blocks_log") / F.col("blocks") / scale, F.lit(1.0))
+    below = F.coalesce(1 - F.col("all_log") / F.col("all_blocks") / scale, F.lit(0.0))  # 0: nothing is below
     part = F.when(F.col("styles") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(DECAY), F.col("styles")))
-    rated = sums.select("host", "element", "pages", ((1 - part) * below + part * own).alias("importance"))
+    in_article = F.col("flags") % 2 == 1
+    loss = F.element_at(F.array(*[F.lit(x) for x in DECLARED]), F.floor(F.col("flags") / 2).cast("int") + 1)
+    loss = loss + F.when(~in_article & (F.col("blocks") > 0) & (F.col("prose") == 0), F.lit(LINKED)).otherwise(F.lit(0.0))
+    rated = sums.select("host", "element", "parent", ((1 - part) * below + part * own - loss + F.when(in_article, RAISED).otherwise(0.0)).alias("importance"))
     best = above.join(rated.select("host", "element", "importance"), ["host", "element"])
     best = best.groupBy("host", F.col("ancestor").alias("element")).agg(F.max("importance").alias("highest"))
     return rated.join(best, ["host", "element"])
@@ -244,27 +281,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text) of every row; text is empty where the page has none, or is null.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds.
-    Pages without a host share one tree. Only elements of low importance are passed on to the second pass, per host; the
-    planner broadcasts that table if its measured size allows, and joins by host otherwise. Repeated rows stay repeated.
+    Pages without a host share one tree. Only the topmost elements of low importance are passed on to the second pass, a
+    number for each such branch of a site's template; the planner broadcasts that table if its measured size allows, and
+    joins by host otherwise, where adaptive execution splits a host of many pages. Repeated rows stay repeated; an empty
+    table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
-    tree = style_tree(rows.select("host", "html"))
-    low = tree.where((F.col("highest") < LOW) & (F.col("pages") >= LEAST_PAGES))
-    least = F.when(F.col("highest") + RAISED < LOW, F.col("element"))
-    low, _ = spool(low.groupBy("host").agg(F.collect_list("element").alias("low"), F.collect_list(least).alias("lowest")), "low")
+    low = style_tree(rows.select("host", "html")).where(F.col("highest") < LOW)
+    inner = low.select("host", F.col("element").alias("parent"))  # goes with its parent
+    low, _ = spool(low.join(inner, ["host", "parent"], "left_anti").groupBy("host").agg(F.collect_list("element").alias("low")), "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}
+        sets: dict[str | None, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for html, host, low, lowest in zip(*(batch.column(i) for i in range(2, 6))):
+            for html, host, low in zip(*(batch.column(i) for i in range(2, 5))):
                 host = host.as_py()
                 if host not in sets:
                     if len(sets) > 1000:
                         sets.clear()
-                    sets[host] = frozenset(low.as_py() or ()), frozenset(lowest.as_py() or ())
-                texts.append(main_text(html.as_py() or "", *sets[host]))
+                    sets[host] = frozenset(low.as_py() or ())
+                texts.append(main_text(html.as_py() or "", sets[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.join(low, "host", "left").select("id", "url", "html", "host", "low", "lowest").mapInArrow(run, f"id {kind['id']}, url string, text string")
+    return rows.join(low, "host", "left").select("id", "url", "html", "host", "low").mapInArrow(run, f"id {kind['id']}, url string, text string")

@@ -1,6 +1,8 @@
 import hashlib
+import math
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -86,18 +88,63 @@ def test_spread_against_matrix(spark):
 # --- HTML -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    ("page", "text"),
-    [
-        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b</p><div>c <b>d</b>\n e</div>", "a\nb\nc d e"),
-        ("<head><title>t</title></head><body><nav>menu</nav><header>site</header><main><header><h1>T</h1></header><p>x<br>y</p></main><footer>f</footer>", "T\nx\ny"),
-        ("<article><p>keep</p><div class='ad-box'>buy</div><section id=comments><p>me too</p></section><form>q</form><script>if(a<b){}</script><style>p{}</style><!-- no --></article><aside>s</aside>", "keep"),
-        ("<article><p>one &lt;two&gt; &#233;&nbsp;x</p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "one <two> é x\na\nb\nc\nd"),
-        ("<div class=cookie-notice>ok?</div><div class='page'><p>body</p></div>", "body"), ("<div hidden>h</div><p>v", "v"), ("<p>unclosed <b>bold", "unclosed bold"), ("<article></article>", ""), ("<p>a</div>b", "ab"), ("<p title='a>b'>x</p>", "x"),
-    ],
-)
-def test_main_text(page, text):
-    assert html.main_text(page or "") == text
+PAGES = [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b</p><div>c <b>d</b>\n e</div>", "a\nb\nc d e"),
+    ("<head><title>t</title></head><body><nav>menu</nav><header>site</header><main><header><h1>T</h1></header><p>x<br>y</p></main><footer>f</footer>", "T\nx\ny"),
+    ("<article><p>keep</p><div class='ad-box'>buy</div><section id=comments><p>me too</p></section><form>q</form><script>if(a<b){}</script><style>p{}</style><!-- no --></article><aside>s</aside>", "keep"),
+    ("<article><p>one &lt;two&gt; &#233;&nbsp;x</p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "one <two> é x\na\nb\nc\nd"),
+    ("<div class=cookie-notice>ok?</div><div class='page'><p>body</p></div>", "body"), ("<div hidden>h</div><p>v", "v"), ("<p>unclosed <b>bold", "unclosed bold"), ("<article></article>", ""), ("<p>a</div>b", "ab"), ("<p title='a>b'>x</p>", "x"),
+    ("<article><h2 id='related-work'>Related</h2><h2 id='comments-on-the-theory'>C</h2><p id='share-of-votes'>s</p><blockquote class='reply'>r</blockquote><div class='widget-theory'>w</div><p class='notice-period'>n</p></article>", "Related\nC\ns\nr\nw\nn"),
+    ("<p>E=<math><mi>m</mi></math>!</p>", "E=m!"), ("<ul><li><a href=/a>a</a><li><a href=/b>b</a></ul><div><p>story</p></div>", "story"),
+    ("<nav>only menus</nav>", ""), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<p>" + "x " * 200_000, "x " * 199_999 + "x"), ("<div id=page><div class=share>s</div>t</div>", "t"),
+]
+
+
+def test_main_text(spark):
+    rows = [(f"http://h{i}.org/", page) for i, (page, _) in enumerate(PAGES)]
+    found = {r.id: r.text for r in html.extract(pages(spark, rows + rows[3:5])).collect()}
+    assert [found[i] for i in range(len(PAGES))] == [text for _, text in PAGES]
+
+
+def brute_low(texts):
+    """Elements of low importance of one site, by a direct walk of all pages."""
+    m, seen, content, prose, flags, above = len(texts), defaultdict(Counter), defaultdict(Counter), set(), {}, {}
+    for text in texts:
+        blocks, every = html.parse(text or "")
+        for key, styles in {e.key: {tuple(x.children) for x in every if x.key == e.key and x.children} for e in every}.items():
+            seen[key].update(styles)
+        for key, t in {(e.key, t) for e, t, _ in blocks if not e.hidden}:
+            content[key][t] += 1
+        prose |= {e.key for e, _, linked in blocks if not e.hidden and not (linked and e.tag == "li")}
+        for e in every:
+            flags[e.key], above[e.key] = (e.declared, e.article), e.path
+    scale, value = math.log(m + html.SMOOTH), {}
+    for key in flags:
+        counts = [n for k in flags if key in above[k] for n in content[k].values()]
+        below = 1 - sum(n * math.log(n) for n in counts) / sum(counts) / scale if counts else 0
+        styles = list(seen[key].values())
+        own = sum(-n / sum(styles) * math.log(n / sum(styles)) for n in styles) / scale
+        part = html.DECAY ** len(styles) if styles else 0
+        declared, article = flags[key]
+        value[key] = (1 - part) * below + part * own - html.DECLARED[declared] + html.RAISED * article - html.LINKED * (not article and bool(content[key]) and key not in prose)
+    return {key for key in flags if max(v for k, v in value.items() if key in above[k]) < html.LOW}
+
+
+def test_tree_against_brute_force(spark):
+    rng, sites = random.Random(4), {}
+    for site in range(6):
+        own, frame = [], [f"frame {site} {k}" for k in range(4)]
+        for i in range((1, 2, 5, 9, 30, 60)[site]):
+            inner = "".join(f"<p>{rng.choice(['story', 'tale'])} {i} {rng.random()}</p>" for _ in range(rng.randint(0, 5)))
+            parts = [f"<div class=a{rng.randint(0, 2)}><p>{rng.choice(frame)}</p></div>", f"<ul><li><a href=/x>{rng.choice(frame)}</a></ul>", f"<section class='{rng.choice(['related', 'notice-period', 'x'])}'><p>{rng.choice(frame + [str(i)])}</p></section>", rng.choice(["<article>{}</article>", "<div class=body>{}</div>", "{}"]).format(inner + f"<div class=q>{frame[0]}</div>"), f"<footer>f {i}</footer>"]
+            rng.shuffle(parts)
+            own.append("<body>" + "".join(parts) + "</body>")
+        sites[f"http://s{site}.org/"] = own
+    rows = [(url, text) for url, own in sites.items() for text in own]
+    want = [html.main_text(text, brute_low(sites[url])) for url, text in rows]
+    found = {r.id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == want
+    assert sum(html.main_text(t) != w for (_, t), w in zip(rows, want)) > len(rows) / 2  # the tree decides
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -128,11 +175,6 @@ def test_style_tree_decides_in_articles(spark):
         assert found[2 * i + 1] == f"{story}\nt{i}"
 
 
-def test_deep_and_long_pages():
-    assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
-    assert html.main_text("<p>" + "x " * 200_000).count("x") == 200_000
-
-
 # --- quality --------------------------------------------------------------------------------------------------------
 
 
