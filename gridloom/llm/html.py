@@ -27,8 +27,9 @@ DECAY = 0.9
 #: Branches go that hold nothing of this importance. A site of few pages tells little: SMOOTH pages are added to the scale.
 LOW, SMOOTH = 0.35, 4
 #: Importance that an element loses, with all below it, by what it declares (a name in passing; to be no article), what
-#: lists of links lose outside articles, and what article and main elements add to all that is in them.
-DECLARED, LINKED, RAISED = (0.0, 0.3, 1.0), 0.7, 0.15
+#: lists of links lose outside articles, what all else outside loses where articles hold most of every page of the site,
+#: and what article and main elements add to all that is in them.
+DECLARED, LINKED, OUTSIDE, RAISED = (0.0, 0.3, 1.0), 0.7, 0.7, 0.15
 #: Elements below this depth count as the one above them; their text stays with it.
 DEPTH = 32
 #: Counts that a task gathers before it passes them on.
@@ -188,21 +189,24 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
 def main_text(html: str, low: set[int] | frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, joined by line feeds: those in no branch of `low`, the elements of low importance.
 
-    What then is outside article and main elements stays only if these hold less than half of it all, so a page of
-    teasers keeps its story. If a site repeats all of a page, the tree cannot tell the story from its frame: of such a
-    page what declares itself no article goes, and the rest stays.
+    If a site repeats all of a page, the tree cannot tell the story from its frame: of such a page what declares itself
+    no article goes, and the rest stays.
     """
     blocks = [x for x in parse(html)[0] if not x[0].hidden]
     kept = [x for x in blocks if low.isdisjoint(x[0].path)] or [x for x in blocks if x[0].declared < 2]
-    inside = sum(len(t) for e, t, _ in kept if e.article)
-    if 2 * inside >= sum(len(t) for _, t, _ in kept):
-        kept = [x for x in kept if x[0].article]
     return "\n".join(t for _, t, _ in kept)
 
 
+def in_articles(blocks: list[tuple[Element, str, bool]]) -> bool:
+    """Whether article and main elements hold half or more of what neither is declared otherwise nor a list of links."""
+    sizes = [(len(t), e.article) for e, t, linked in blocks if not e.hidden and e.declared < 2 and (e.article or not (linked and e.tag == "li"))]
+    return any(a for _, a in sizes) and 2 * sum(n for n, a in sizes if a) >= sum(n for n, _ in sizes)
+
+
 def _features(html: str) -> set[tuple[int, str, int]]:
     """(element, kind, value) once per page: kind s for a style, c for a block of the element's own, l if some of these are
-    no mere links, a for an ancestor and p for the parent, d for 2 * declared + whether it is in an article."""
+    no mere links, a for an ancestor and p for the parent, d for 2 * declared + whether it is in an article, h (of the
+    root) for a page that articles hold most of."""
     blocks, every = parse(html)
     found = {(e.key, "s", xxhash.xxh64_intdigest(repr(e.children).encode()) >> 1) for e in every if e.children}
     for e, t, linked in blocks:
@@ -210,6 +214,8 @@ def _features(html: str) -> set[tuple[int, str, int]]:
             found.add((e.key, "c", xxhash.xxh64_intdigest(t.encode()) >> 1))
             if not linked or e.tag != "li":
                 found.add((e.key, "l", 0))
+    if in_articles(blocks):
+        found.add((0, "h", 1))
     for e in {e.key: e for e in every}.values():
         found.add((e.key, "d", 2 * e.declared + e.article))
         found.update((e.key, "a", key) for key in e.path)
@@ -245,7 +251,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("host", "html").mapInArrow(gather, "host string, element long, kind string, feature long, n long")
     counts = rows.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n"))
-    number = pages.groupBy("host").agg(F.count("*").alias("m"))
+    articles = counts.where("kind = 'h'").select("host", F.col("n").alias("articles"))
+    number = pages.groupBy("host").agg(F.count("*").alias("m")).join(articles, "host", "left")
     style, content, declared = (F.col("kind") == k for k in "scd")
     n = F.col("n").cast("double")
     own_sums = counts.groupBy("host", "element").agg(
@@ -270,6 +277,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     part = F.when(F.col("styles") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(DECAY), F.col("styles")))
     in_article = F.col("flags") % 2 == 1
     loss = F.element_at(F.array(*[F.lit(x) for x in DECLARED]), F.floor(F.col("flags") / 2).cast("int") + 1)
+    loss = loss + F.when(in_article, 0.0).otherwise(OUTSIDE * F.coalesce("articles", F.lit(0)) / F.col("m"))
     loss = loss + F.when(~in_article & (F.col("blocks") > 0) & (F.col("prose") == 0), F.lit(LINKED)).otherwise(F.lit(0.0))
     rated = sums.select("host", "element", "parent", ((1 - part) * below + part * own - loss + F.when(in_article, RAISED).otherwise(0.0)).alias("importance"))
     best = above.join(rated.select("host", "element", "importance"), ["host", "element"])

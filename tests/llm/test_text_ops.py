@@ -118,6 +118,7 @@ def brute_low(texts):
         prose |= {e.key for e, _, linked in blocks if not e.hidden and not (linked and e.tag == "li")}
         for e in every:
             flags[e.key], above[e.key] = (e.declared, e.article), e.path
+    share = sum(html.in_articles(html.parse(t or "")[0]) for t in texts) / m
     scale, value = math.log(m + html.SMOOTH), {}
     for key in flags:
         counts = [n for k in flags if key in above[k] for n in content[k].values()]
@@ -126,7 +127,7 @@ def brute_low(texts):
         own = sum(-n / sum(styles) * math.log(n / sum(styles)) for n in styles) / scale
         part = html.DECAY ** len(styles) if styles else 0
         declared, article = flags[key]
-        value[key] = (1 - part) * below + part * own - html.DECLARED[declared] + html.RAISED * article - html.LINKED * (not article and bool(content[key]) and key not in prose)
+        value[key] = (1 - part) * below + part * own - html.OUTSIDE * share * (not article) - html.DECLARED[declared] + html.RAISED * article - html.LINKED * (not article and bool(content[key]) and key not in prose)
     return {key for key in flags if max(v for k, v in value.items() if key in above[k]) < html.LOW}
 
 
