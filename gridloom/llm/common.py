@@ -18,28 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context. Where neither is
+    set, as in tests, a local session gets a temporary one; on a cluster that would lose rows, so it is an error."""
     context = spark.sparkContext
-    if not (base := context.getConf().get("spark.checkpoint.dir")):
-        if not (base := context.getCheckpointDir()):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-            base = context.getCheckpointDir()
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
+#: Tables that spool wrote and nothing has deleted yet.
+_written: list[str] = []
+
+
 def spool(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage; also returns the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def unspool(spark: SparkSession, path: str) -> None:
-    """Delete a spooled table that a later one has replaced."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """Delete a spooled table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def release(spark: SparkSession, *keep: str) -> None:
+    """Delete all spooled tables but those to keep; for use once the results that read them have been written."""
+    for path in [p for p in _written if p not in keep]:
+        unspool(spark, path)
 
 
 def text_or_empty(name: str = "text") -> Column:

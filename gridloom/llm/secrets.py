@@ -1,7 +1,13 @@
-"""Operator 6 [native]: secret scans behind trigram postings."""
+"""Operator 6 [native]: secret scans behind an inverted index of trigrams.
+
+Each rule's pattern is read into a Boolean query of trigrams. The texts' postings of the trigrams that the queries name
+become a table (gram, key); a query is answered by joining its trigrams to the postings and keeping the keys that hold all
+of a choice. Texts of these keys are verified with the pattern itself; rules without mandatory trigrams scan every text.
+"""
 
 from __future__ import annotations
 
+import re
 import re._constants as kind_of
 import re._parser as parser
 from dataclasses import dataclass
@@ -10,6 +16,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import spool, unspool
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -107,73 +115,92 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)
 
 
-def _row_postings(text: Column, grams: list[str]) -> Column:
-    """The posting lists' bits of a row: bit i tells whether it stands in the list of grams[i]."""
-    low, bits = F.lower(text), F.lit(0).cast("long")
-    for i, gram in enumerate(grams):
-        bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(gram)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return bits
+def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """(gram, key) once for each text (key, text) that holds the trigram, in either case."""
+    named = F.lit("(?=(" + "|".join(map(re.escape, grams)) + "))")  # looks ahead, so occurrences may overlap
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), named, 1))
+    return texts.select(F.explode(held).alias("gram"), "key").distinct()
+
+
+def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
+    """(key, places): the places of the rules whose query the text's postings satisfy.
+
+    A query is a choice of sets of trigrams; a key answers it that stands in the posting lists of all of one set. The
+    queries are a table of constant size; postings meet it by trigram and are counted per key, rule and choice.
+    """
+    spark = index.sparkSession
+    wanted = [(place, n, gram, len(choice)) for place, query in queries.items() for n, choice in enumerate(query) for gram in sorted(choice)]
+    asked = spark.createDataFrame(wanted, "place int, choice int, gram string, need int")
+    held = index.join(F.broadcast(asked), "gram").groupBy("key", "place", "choice", "need").agg(F.count("*").alias("held"))
+    return held.where("held = need").groupBy("key").agg(F.collect_set("place").alias("places"))
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+_SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
+#: Matches of a text are summed in blocks of this size.
+BLOCK = 256
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, kind, end>> of a rule's matches: code points, end exclusive.
 
-    Matches and the stretches between them alternate, so positions are running sums of their lengths; these are built
-    in blocks of 256 to stay linear for texts with very many matches.
+    Matches and the stretches between them alternate, so positions are running sums of their lengths: of whole blocks
+    first, then inside each block from where it starts, which stays near linear for texts with very many matches.
     """
     pattern = F.lit(rule.pattern)
+    length = lambda x: F.length(x).cast("int")
     found = F.regexp_extract_all(text, pattern, 0)
-    checked = F.regexp_extract_all(text, pattern, rule.group) if rule.group else found
-    pairs = F.zip_with(
-        F.arrays_zip(found.alias("m"), checked.alias("c")),
-        F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)),
-        lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("own"), (F.length(x["c"]) >= rule.least).alias("ok")),
-    )
-    empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    checked = F.regexp_extract_all(text, pattern, rule.group) if rule.group else None
+
+    def pairs(found: Column) -> Column:
+        rows = F.zip_with(found, F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(length(gap).alias("gap"), length(m).alias("own")))
+        if checked is None:
+            return F.transform(rows, lambda x: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), (x["own"] >= rule.least).alias("ok")))
+        return F.zip_with(rows, checked, lambda x, c: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), (F.length(c) >= rule.least).alias("ok")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + x["own"]).alias("end"))
-        return F.struct((start + x["own"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def inside(rows: Column, start: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            first = acc["at"] + x["gap"]
+            span = F.struct(first.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (first + x["own"]).alias("end"))
+            return F.struct((first + x["own"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def block(acc: Column, rows: Column) -> Column:
-        inner = F.aggregate(rows, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
-        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))[0]
+        return F.aggregate(rows, F.struct(start.alias("at"), F.array().cast(_SPANS).alias("out")), add, lambda acc: acc["out"])
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / 256).cast("int")), lambda b: F.slice(pairs, b * 256 + 1, 256))
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), block, lambda acc: acc["out"])
+    def in_blocks(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, BLOCK))
+        return _let(blocks, lambda parts: F.flatten(F.zip_with(parts, starts(parts), inside)))
+
+    def starts(parts: Column) -> Column:
+        sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda rows: F.aggregate(rows, F.lit(0), lambda n, x: n + x["gap"] + x["own"]))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+    return F.when(F.size(found) > 0, _let(_let(found, pairs), in_blocks))
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found) of every row: found is array<struct<start, place, kind, end>> of all rules, by start, then by rule.
 
-    The index is partitioned by document: every row keeps its bits of the posting lists of those trigrams that the
-    rules' queries name, so postings intersect by AND within the row and nothing is shuffled. Rows that pass a rule's
-    query are verified with its pattern; rules without a query are matched on every row. Matches of a rule are leftmost
-    and do not overlap. Null texts are empty; repeated rows stay repeated; an empty table gives an empty result.
+    Texts have the hash of id and text as their key in the index; equal keys are harmless, as candidates are verified.
+    Matches of a rule are leftmost and do not overlap. Null texts are empty; repeated rows stay repeated; an empty table
+    gives an empty result.
     """
     rules = BASE_RULES + MORE_RULES if rules is None else rules
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted({g for q in queries if q for s in q for g in s})
-    widths = [grams[i : i + 62] for i in range(0, len(grams), 62)]
+    queries = {place: q for place, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) is not None}
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for n, part in enumerate(widths):
-        rows = rows.withColumn(f"bits{n}", _row_postings(F.col("text"), part))
-    text, found = F.col("text"), []
-    for place, (rule, query) in enumerate(zip(rules, queries)):
-        if query is None:
-            candidate = F.regexp_like(text, F.lit(rule.pattern))
-        else:
-            candidate = F.lit(False)
-            for choice in query:
-                whole = F.lit(True)
-                for n, part in enumerate(widths):
-                    if need := sum(1 << i for i, g in enumerate(part) if g in choice):
-                        whole = whole & (F.col(f"bits{n}").bitwiseAND(F.lit(need)) == need)
-                candidate = candidate | whole
-            candidate = candidate & F.regexp_like(text, F.lit(rule.pattern))
-        found.append(F.when(candidate, _spans(text, rule, place)))
-    empty = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    if queries:
+        index, path = spool(postings(rows, sorted({g for q in queries.values() for s in q for g in s})), "postings")
+        answers, _ = spool(candidates(index, queries), "candidates")
+        unspool(rows.sparkSession, path)
+        rows = rows.join(answers, "key", "left")
+    else:
+        rows = rows.withColumn("places", F.lit(None).cast("array<int>"))
+    text, empty = F.col("text"), F.array().cast(_SPANS)
+    found = [F.when(F.array_contains("places", place), _spans(text, rule, place)) if place in queries else _spans(text, rule, place) for place, rule in enumerate(rules)]
     return rows.select("id", F.array_sort(F.concat(*[F.coalesce(x, empty) for x in found])).alias("found"))
 
 
