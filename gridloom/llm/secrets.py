@@ -7,7 +7,6 @@ of a choice. Texts of these keys are verified with the pattern itself; rules wit
 
 from __future__ import annotations
 
-import re
 import re._constants as kind_of
 import re._parser as parser
 from dataclasses import dataclass
@@ -115,11 +114,16 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((s for s in sets if not any(o < s for o in sets)), key=sorted)
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, key) once for each text (key, text) that holds the trigram, in either case."""
-    named = F.lit("(?=(" + "|".join(map(re.escape, grams)) + "))")  # looks ahead, so occurrences may overlap
-    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), named, 1))
-    return texts.select(F.explode(held).alias("gram"), "key").distinct()
+    held = _let(F.lower("text"), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])))
+    # outer, as a filter on the array would compute it once more
+    return texts.select("key", held.alias("held")).select(F.explode_outer("held").alias("gram"), "key").where("gram IS NOT NULL").distinct()
 
 
 def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
@@ -135,11 +139,6 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     return held.where("held = need").groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
-def _let(value: Column, body) -> Column:
-    """body of the value, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 _SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
 #: Matches of a text are summed in blocks of this size.
 BLOCK = 256
