@@ -109,8 +109,9 @@ ORACLES = {
             SELECT host, 2 * count(*) FILTER (hit LIKE 'allow%') > count(*) AS trust, 2 * count(*) FILTER (hit LIKE 'block%') > count(*) AS distrust FROM j WHERE host <> '' GROUP BY host
         ), seeds AS (SELECT 'trust' AS kind, host FROM s WHERE trust UNION ALL SELECT 'distrust', host FROM s WHERE distrust
         ), l AS (
-            SELECT host AS src, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS dst FROM (
-                SELECT host, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS u FROM p)
+            SELECT host AS src, CASE WHEN regexp_matches(u, '(?i)^[a-z][a-z0-9+.-]*://') THEN translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') WHEN starts_with(u, '//') THEN translate(regexp_extract('http:' || u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') WHEN regexp_matches(u, '(?i)^[a-z][a-z0-9+.-]*:') THEN '' ELSE base END AS dst FROM (
+                SELECT host, CASE WHEN regexp_matches(e, '(?i)^[a-z][a-z0-9+.-]*://') THEN translate(regexp_extract(e, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') WHEN starts_with(e, '//') THEN translate(regexp_extract('http:' || e, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') WHEN regexp_matches(e, '(?i)^[a-z][a-z0-9+.-]*:') THEN '' ELSE '' END AS base, unnest(us) AS u FROM (
+                    SELECT host, regexp_extract(html, '(?i)<base\b[^>]*?\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS e, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS us FROM p))
         ), n AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
         ), b AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM n UNION ALL SELECT 'distrust', dst, src, n FROM n
         ), w AS (

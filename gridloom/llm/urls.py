@@ -11,9 +11,10 @@ from gridloom.llm.common import spool, unspool
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
-#: Where the surfer starts; never a host.
-_ORIGIN = "*"
+_LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Links of one host, one way, that meet its score in a task.
+SPLIT = 1 << 20
 
 
 def url_host(url: Column) -> Column:
@@ -40,39 +41,57 @@ def rule_for(rules: list[tuple[str, str]], host: Column, path: Column) -> Column
     return F.coalesce(*chain) if chain else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def _target(link: Column, base: Column) -> Column:
+    """The host that a link leads to; of a relative one the base's, of other schemes (mailto:) none."""
+    return (
+        F.when(F.regexp_like(link, F.lit("(?i)^[a-z][a-z0-9+.-]*://")), url_host(link))
+        .when(F.startswith(link, F.lit("//")), url_host(F.concat(F.lit("http:"), link)))
+        .when(F.regexp_like(link, F.lit("(?i)^[a-z][a-z0-9+.-]*:")), F.lit(""))
+        .otherwise(base)
+    )
+
+
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, n): absolute links between different hosts, counted per pair of hosts before anything is shuffled."""
-    hosts = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_LINK), 1), url_host)
-    pairs = pages.select(url_host(F.col(url_col)).alias("src"), F.explode(hosts).alias("dst"))
+    """(src, dst, n): links between different hosts, counted per pair of hosts before anything is shuffled. Links without
+    a scheme count by their host, relative ones by the page's base element, if it has one that names a host."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(url_host(F.col(url_col)).alias("src"), F.regexp_extract(html, _BASE, 1).alias("base"), F.regexp_extract_all(html, F.lit(_LINK), 1).alias("links"))
+    rows = rows.select("src", _target(F.col("base"), F.lit("")).alias("base"), "links")
+    pairs = rows.select("src", F.explode(F.transform("links", lambda x: _target(x, F.col("base")))).alias("dst"))
     return pairs.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, split: int = SPLIT) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted seeds along the links and from blocked ones against them.
 
     seeds: (host, kind 'trust' or 'distrust'), each host once per kind. A walk follows links by their counts and starts
     again at a random seed with probability 1 - damping; its mass at a host without links ends there. Every round is one
-    join and one sum over host pairs, written to the shared folder.
+    join and one sum over host pairs, written to the shared folder; what the seeds are given anew is added to the sum.
+    Links of a host beyond `split` are dealt to parts, each of which meets the host's score.
     """
     spark = links.sparkSession
     forward = links.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n")
     backward = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
-    both = forward.union(backward)
-    total = both.groupBy("kind", "from").agg(F.sum("n").alias("all"))
-    walks = both.join(total, ["kind", "from"]).select("kind", "from", "to", (damping * F.col("n") / F.col("all")).alias("w"))
+    both, both_path = spool(forward.union(backward), "links")
+    total = both.groupBy("kind", "from").agg(F.sum("n").alias("all"), F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    walks = both.join(total, ["kind", "from"]).select("kind", "from", "to", (damping * F.col("n") / F.col("all")).alias("w"), F.pmod(F.xxhash64("to"), "parts").cast("int").alias("part"))
+    walks, walks_path = spool(walks, "walks")
+    large, large_path = spool(total.where("parts > 1").select("kind", F.col("from").alias("host"), "parts"), "large")
     number = seeds.groupBy("kind").agg(F.count("*").alias("k"))
-    starts = seeds.join(number, "kind").select("kind", F.lit(_ORIGIN).alias("from"), F.col("host").alias("to"), ((1 - damping) / F.col("k")).alias("w"))
-    again = number.select("kind", F.lit(_ORIGIN).alias("from"), F.lit(_ORIGIN).alias("to"), F.lit(1.0).alias("w"))
-    steps, steps_path = spool(walks.union(starts).union(again), "walks")
-    mass, path = spool(number.select("kind", F.lit(_ORIGIN).alias("host"), F.lit(1.0).alias("score")), "mass")
-    has_links = not steps.where(F.col("from") != _ORIGIN).isEmpty()
-    for _ in range(rounds if has_links else 1):  # without links nothing moves on from the seeds
-        moved = steps.join(mass.withColumnRenamed("host", "from"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host"))
-        following, next_path = spool(moved.agg(F.sum(F.col("w") * F.col("score")).alias("score")), "mass")
-        unspool(spark, path)
+    starts, _ = spool(seeds.join(number, "kind").select("kind", "host", ((1 - damping) / F.col("k")).alias("score")), "starts")
+    mass, path = starts, None
+    for _ in range(0 if walks.isEmpty() else rounds - 1):  # without links nothing moves on from the seeds
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        dealt = mass.join(large, ["kind", "host"], "left").select("kind", F.col("host").alias("from"), "score", parts.alias("part"))
+        moved = walks.join(dealt, ["kind", "from", "part"]).select("kind", F.col("to").alias("host"), (F.col("w") * F.col("score")).alias("score"))
+        following, next_path = spool(moved.union(starts).groupBy("kind", "host").agg(F.sum("score").alias("score")), "mass")
+        if path:
+            unspool(spark, path)
         mass, path = following, next_path
+    for done in (both_path, walks_path, large_path):
+        unspool(spark, done)
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
-    return mass.where(F.col("host") != _ORIGIN).groupBy("host").agg(part("trust"), part("distrust"))
+    return mass.groupBy("host").agg(part("trust"), part("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 1.0, damping: float = 0.85, rounds: int = 20) -> DataFrame:

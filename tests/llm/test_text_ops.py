@@ -85,6 +85,35 @@ def test_spread_against_matrix(spark):
             assert found.get(h, (0, 0))[k] == pytest.approx(x, abs=1e-12)
 
 
+def test_host_links(spark):
+    rows = [
+        ("http://a.org/x", "<a href='//b.org/1'>1</a><A HREF=https://B.org>2</A><a class=q href = \" /own\">3</a><a href='mailto:x@c.org'>4</a><a href=../y>5</a>"),
+        ("http://a.org/y", "<base href='http://c.org/d/'><a href=z>1</a><a href='#top'>2</a><a name=n>3</a><a href='http://a.org/'>4</a>"),
+        ("http://b.org/", "<p>" * 100_000 + "<a href=http://c.org>" * 3), ("http://b.org/", None), (None, "<a href=http://c.org>"),
+    ]
+    found = {(r.src, r.dst): r.n for r in urls.host_links(pages(spark, rows + rows[:1])).collect()}
+    assert found == {("a.org", "b.org"): 4, ("a.org", "c.org"): 2, ("b.org", "c.org"): 3}
+
+
+def test_spread_over_many_hosts(spark):
+    """Twenty thousand hosts, one of them with links to all, dealt to parts."""
+    rng, n = np.random.default_rng(8), 20_000
+    a, b = rng.integers(0, n, 60_000), rng.integers(0, n, 60_000)
+    a, b = np.r_[a, np.zeros(n - 1, int)], np.r_[b, np.arange(1, n)]
+    a, b = np.unique(np.stack([a, b])[:, a != b], axis=1)
+    links = spark.createDataFrame([(f"h{x}", f"h{y}", 1) for x, y in zip(a.tolist(), b.tolist())], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", "trust"), ("h5", "trust"), ("h9", "distrust")], "host string, kind string")
+    found = {r.host: (r.trust, r.distrust) for r in urls.spread(links, seeds, rounds=5, split=1000).collect()}
+    for k, (own, x, y) in enumerate((([0, 5], a, b), ([9], b, a))):
+        start = np.zeros(n)
+        start[own] = 0.15 / len(own)
+        degree, r = np.maximum(1, np.bincount(x, minlength=n)), start
+        for _ in range(4):
+            r = start + 0.85 * np.bincount(y, weights=(r / degree)[x], minlength=n)
+        for i in range(n):
+            assert found.get(f"h{i}", (0, 0))[k] == pytest.approx(r[i], abs=1e-12)
+
+
 # --- HTML -----------------------------------------------------------------------------------------------------------
 
 
