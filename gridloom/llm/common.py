@@ -61,11 +61,26 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Edges of a node that meet its minimum in one task, at least, and nodes of more edges, at most.
+SPLIT, LARGE_NODES = 1024, 100_000
+
+
+def _with_minimum(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with the column m of least (u, m, n), n being the number of the node's edges. Edges of nodes with very
+    many are dealt to parts; of such nodes there are LARGE_NODES at most, as they share the `n` edges."""
+    split = max(SPLIT, 2 * n // LARGE_NODES)
+    large = least.where(F.col("n") > split).select("u", F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    dealt = edges.join(F.broadcast(large), "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts").cast("int"), F.lit(0))).drop("parts")
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / split).cast("int"), F.lit(1)) - 1))
+    return dealt.join(least.select("u", "m", parts.alias("part")), ["u", "part"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a pre-aggregated minimum per node and an equi-join, until the edge
-    set stands still. Every round is written to the shared folder, so neither lineage nor the driver grows.
+    Alternates large-star and small-star steps, each a pre-aggregated minimum per node and an equi-join that deals a hub's
+    edges to parts, until the edge set stands still. Every round is written to the shared folder, so neither lineage nor
+    the driver grows.
     """
     spark = edges.sparkSession
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -73,13 +88,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _digest(current)
     while seen[0]:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_minimum(both, lowest, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, large_path = spool(large, "edges")
+        parent = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_minimum(large, parent, 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = small.union(parent.select("u", F.col("m").alias("v"))).distinct()
         following, next_path = spool(step, "edges")
         unspool(spark, path)
+        unspool(spark, large_path)
         current, path, now = following, next_path, _digest(following)
         if now == seen:
             break

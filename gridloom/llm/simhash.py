@@ -12,6 +12,7 @@ index: the blocks decide which rows of the table meet, the pivots which of these
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, spool
+from gridloom.llm.common import connected_components, spool, unspool
 
 SEED = 42
 #: Texts are cut into words in runs of about so many bytes, so that a very long one needs little memory.
@@ -92,6 +93,17 @@ def pivot_table(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint64)[:, None] ^ np.array(PIVOTS, np.uint64)[None, :]).astype(np.int8)
 
 
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp) with their row of the pivot table, a byte for each pivot; computed once and carried from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(1).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in table], pa.binary())], ["node", "fp", "pivots"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "node long, fp long, pivots binary")
+
+
 def block_keys(distance: int, blocks: int) -> Column:
     """An array of keys of fp: two fingerprints within the distance share one of them at least.
 
@@ -117,6 +129,12 @@ def choose_blocks(distance: int, codes: int) -> int:
     return blocks
 
 
+def _tile_pairs(node: Column, tiles: Column) -> Column:
+    """The pairs of tiles, as numbers, that a node goes to: its own tile with each."""
+    own = F.pmod(F.xxhash64(node), tiles)
+    return F.transform(F.sequence(F.lit(0).cast("long"), tiles.cast("long") - 1), lambda j: F.least(own, j) * F.lit(1 << 31) + F.greatest(own, j))
+
+
 #: Runs of so many fingerprints under one key, or fewer, give all their links; longer ones a spanning forest.
 SHORT = 64
 
@@ -131,14 +149,13 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
     """
     blocks = blocks or choose_blocks(distance, nodes.count())
     assert comb(blocks, distance) < 1 << 20
-    keyed = nodes.select(F.explode(block_keys(distance, blocks)).alias("key"), "node", "fp")
+    keyed = with_pivots(nodes).select(F.explode(block_keys(distance, blocks)).alias("key"), "node", "fp", "pivots")
     hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * F.lit(1 << 20) + F.greatest(own, j))
+    others = _tile_pairs(F.col("node"), F.col("tiles"))
     dealt = (
         keyed.join(hot, "key", "left")
-        .withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(others)))
-        .select("key", "tile", "node", "fp")
+        .withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
+        .select("key", "tile", "node", "fp", "pivots")
         .repartition("key", "tile")
         .sortWithinPartitions("key", "tile")
     )
@@ -147,16 +164,18 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
         rest = None
         for batch in batches:
             rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            rows = rows if rest is None else np.concatenate([rest, rows])
+            table = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int8).reshape(-1, len(PIVOTS))
+            if rest is not None:
+                rows, table = np.concatenate([rest[0], rows]), np.concatenate([rest[1], table])
             if not len(rows):
                 continue
             last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0
-            rest = rows[cut:]
+            rest = rows[cut:], table[cut:]
             if cut:
-                yield _as_edges(_forest(rows[:cut], distance, short))
+                yield _as_edges(_forest(rows[:cut], table[:cut], distance, short))
         if rest is not None:
-            yield _as_edges(_forest(rest, distance, short))
+            yield _as_edges(_forest(*rest, distance, short))
 
     edges = dealt.mapInArrow(run, "a long, b long, partial boolean")
     return edges.groupBy("a", "b").agg(F.max(~F.col("partial")).alias("whole"), F.max("partial").alias("partial"))
@@ -174,10 +193,9 @@ def _near(fp: np.ndarray, table: np.ndarray, i: np.ndarray | int, j: np.ndarray,
     return kept[np.bitwise_count((one ^ fp[j[kept]]).view(np.uint64)) <= distance]
 
 
-def _forest(rows: np.ndarray, distance: int, short: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _forest(rows: np.ndarray, table: np.ndarray, distance: int, short: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links inside each run of equal (key, tile): all of a short run's, a spanning forest of a long one's."""
     node, fp = (np.ascontiguousarray(rows[:, i]) for i in (2, 3))
-    table = pivot_table(fp)
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(rows)])
     most = sizes.max() if short is None else short
@@ -281,14 +299,40 @@ def _similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int
     return edges
 
 
-def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile: int = FAMILY_TILE) -> DataFrame:
-    """Edges (a, b) between similar texts of a family (node, component): all its pairs are compared, in pairs of tiles
-    that carry the texts' sets, and each gives a spanning forest of those that are similar."""
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(own, j) * F.lit(1 << 20) + F.greatest(own, j))
-    dealt = families.join(sizes, "component").select("component", F.explode(others).alias("tile"), "node").repartition("component", "tile")
-    rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition("component", "tile").sortWithinPartitions("component", "tile")
+#: Members of a family with which all others are compared, one after another, before pairs of tiles are.
+LEADERS = 4
+
+
+def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
+    """Edges (a, b) between similar texts of a family (node, component), enough to connect all that its similar pairs do.
+
+    A family's first member, its leader, is compared with all others, then the first of those that no leader is similar
+    to, and so on: each time one pair a member. A link can then be missing only where one of its ends is similar to no
+    leader. These ends, few or none in a family of copies of one text, are compared with all members, in pairs of tiles
+    that carry the texts' sets, and each gives a spanning forest of the pairs that are similar.
+    """
+    spark = families.sparkSession
+    edges, rest, past = [], families.select("component", "node"), []
+    for _ in range(leaders):
+        leader = rest.groupBy("component").agg(F.min("node").alias("leader"))
+        pairs = families.join(leader, "component").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        found, _ = spool(_similar(pairs, sets, similarity).where("same").select("a", "b"), "leaders")
+        edges.append(found)
+        rest = rest.join(leader.select(F.col("leader").alias("node")), "node", "left_anti").join(found.select(F.col("b").alias("node")), "node", "left_anti")
+        rest, path = spool(rest.select("component", "node"), "rest")
+        for done in past:
+            unspool(spark, done)
+        past = [path]
+        if rest.isEmpty():
+            return reduce(DataFrame.union, edges)
+    count = lambda df, name: df.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias(name))
+    sizes = count(rest, "i").join(count(families, "j"), "component")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).alias(f"own_{n}")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(f"own_{n}")
+    first = rest.join(sizes, "component").select("component", own("i"), every("j"), "node")
+    second = families.join(sizes, "component").select("component", every("i"), own("j"), "node")
+    dealt = first.union(second).distinct()
+    rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition("component", "own_i", "own_j").sortWithinPartitions("component", "own_i", "own_j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, held = None, [], []
@@ -299,18 +343,18 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
             return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["a", "b"])
 
         for batch in batches:
-            for c, t, node, hashes in zip(*(batch.column(i) for i in range(4))):
-                now = c.as_py(), t.as_py()
+            for *now, node, hashes in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if now != key:
                     if nodes:
                         yield out()
                     key, nodes, held = now, [], []
-                nodes.append(node.as_py())
-                held.append(np.frombuffer(hashes.as_py(), "<u8"))
+                nodes.append(node)
+                held.append(np.frombuffer(hashes, "<u8"))
         if nodes:
             yield out()
 
-    return rows.select("component", "tile", "node", "hashes").mapInArrow(run, "a long, b long")
+    edges.append(rows.select("component", "own_i", "own_j", "node", "hashes").mapInArrow(run, "a long, b long"))
+    return reduce(DataFrame.union, edges)
 
 
 #: Shingles in HOT of about SAMPLE texts are ordered last and not counted; others are counted in shards of about SHARD.
@@ -423,23 +467,36 @@ def prefix_pairs(docs: DataFrame, id_col: str, text_col: str, size: int, similar
     )
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE) -> DataFrame:
-    """(id, component) of the rows that are near copies: texts whose sets of shingles of so many words have that Jaccard
-    similarity; component is the smallest id that a chain of such pairs reaches. Others have no row.
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """node and digest of a row: a hash of id and text, and the text's MD5, which tells rows of equal hashes apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.col(id_col).cast("long"), text).alias("node"), F.unhex(F.md5(text)).alias("digest")]
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
+    """(node, digest, id, component, kept) of the rows that are near copies: texts whose sets of shingles of so many words
+    have that Jaccard similarity. component is the smallest id that a chain of such pairs reaches, and kept marks the row
+    that has it. Others have no row; node and digest are those of row_keys.
 
     Candidates come from prefixes of the texts' rarest shingles, which miss no pair with the similarity, and also from
     fingerprints over the distinct words; every candidate is then verified on whole texts. Keys with few texts give all
-    their candidate pairs. Larger ones give a forest, whose trees are families: within a family all texts are compared,
-    but only links that hold are emitted. Null ids take no part; rows that repeat an id are one node and should be
-    brought together before.
+    their candidate pairs. Larger ones give a forest, whose trees are families, in which links are sought anew. Every
+    row is a text of its own, with a null id too, and rows that share an id are not confused; null ids come last. Rows
+    that repeat both id and text are one node. An empty table gives an empty result.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    nodes, _ = spool(fingerprints(named, id_col, text_col, 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
-    found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, id_col, text_col, shingle, similarity, short))
+    named = docs.select(*row_keys(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    nodes, _ = spool(fingerprints(named, "node", "text", 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
+    found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, "node", "text", shingle, similarity, short))
     pairs, _ = spool(found.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.max("partial").alias("partial")), "candidates")
-    members = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
-    sets, _ = spool(_shingle_sets(named.select(id_col, text_col).join(members, id_col, "left_semi"), id_col, text_col, shingle).dropDuplicates(["id"]), "sets")
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = named.join(members, "node", "left_semi")
+    known, _ = spool(chosen.groupBy("node").agg(F.min("digest").alias("digest"), F.min("id").alias("id")), "members")
+    texts = chosen.join(known.select("node", "digest"), ["node", "digest"], "left_semi")
+    sets, _ = spool(_shingle_sets(texts, "node", "text", shingle).dropDuplicates(["id"]), "sets")
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
     families, _ = spool(connected_components(pairs.where("partial").select("a", "b")), "families")
-    found = found.union(_family_links(families, sets, similarity, tile))
-    return connected_components(found).select(F.col("node").alias("id"), "component")
+    found = found.union(_family_links(families, sets, similarity, tile, leaders))
+    groups, _ = spool(connected_components(found).join(known, "node"), "groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first"))
+    out = groups.join(first, "component")
+    return out.select("node", "digest", "id", F.col("first.id").alias("component"), (F.col("node") == F.col("first.node")).alias("kept"))

@@ -111,6 +111,14 @@ def test_components_of_chains_and_stars(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hub", [0, 10_000])
+def test_components_of_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "SPLIT", 16)
+    edges = [(hub, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(40)]
+    found = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {found[k] for k in [hub, *range(1, 3000)]} == {min(hub, 1)} and {found[5000 + k] for k in range(41)} == {5000}
+
+
 def test_all_pairs_of_short_keys(spark):
     rng = np.random.default_rng(5)
     base = int(rng.integers(0, 1 << 62))
@@ -131,8 +139,8 @@ def test_forest_keeps_edges_of_short_keys(spark):
     assert {(r.node, r.component) for r in families.collect()} == {(0, 0), (1, 0), (2, 0)}
 
 
-@pytest.mark.parametrize(("short", "tile"), [(64, 512), (2, 512), (2, 4)])
-def test_verified_duplicates(spark, docs, no_docs, short, tile):
+@pytest.mark.parametrize(("short", "tile", "leaders"), [(64, 512, 4), (2, 512, 4), (2, 4, 0), (2, 4, 1), (2, 4, 40)])
+def test_verified_duplicates(spark, docs, no_docs, short, tile, leaders):
     """Edits of one word in long texts link, other texts of the same words do not."""
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(400)]
@@ -148,14 +156,36 @@ def test_verified_duplicates(spark, docs, no_docs, short, tile):
         n += 1
     rows += [(900, None, "x"), (901, "", "x"), (None, rows[0][1], "x"), (902, "a b", "x"), (903, "A  b", "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, node string")
-    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short, tile=tile).collect()}
+    found = {r.id: r.component for r in simhash.verified_duplicates(table, short=short, tile=tile, leaders=leaders).collect()}
     sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) for i, t, _ in rows[:n]}
     for i in sets:
         same = [j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
         assert found.get(i, i) == min(same)
     assert found[902] == found[903] == 902
     assert simhash.verified_duplicates(no_docs).count() == 0
-    assert simhash.verified_duplicates(docs.dropDuplicates(["doc_id"])).count() >= 3
+    assert simhash.verified_duplicates(docs).count() >= 3
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id, null ids, repeated rows and ties: one row of each group stays, no other text goes."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text + " end"), (7, "something else"), (7, "something else"), (3, text + " x"), (None, text), (None, text + " y z"), (None, "alone"), (9, None), (9, ""), (8, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.verified_duplicates(table, short=2)
+    assert sorted((str(r.id), str(r.component), r.kept) for r in found.collect()) == [("3", "3", True), ("7", "3", False), ("8", "8", True), ("9", "8", False), ("None", "3", False), ("None", "3", False)]
+    gone = found.where("NOT kept").select("node", "digest")
+    left = table.select("*", *simhash.row_keys()).join(gone, ["node", "digest"], "left_anti")
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[2], rows[3], rows[6], rows[9]], "doc_id long, text string").collect())
+
+
+def test_tiles_of_a_family_of_millions(spark):
+    """Two million ids make 3,907 tiles of 512: pairs of tiles stay apart as numbers, and any two nodes meet in one."""
+    tiles, nodes = 3907, [5, 1_999_999]
+    rows = spark.createDataFrame([(n, tiles) for n in nodes], "node long, tiles int")
+    a, b = (set(r.p) for r in rows.select(simhash._tile_pairs(rows.node, rows.tiles).alias("p")).collect())
+    assert len(a) == len(b) == tiles and len(a & b) == 1
+    pairs = {divmod(x, 1 << 31) for x in a}
+    assert all(0 <= i <= j < tiles for i, j in pairs)
 
 
 @pytest.mark.parametrize(("short", "hot", "shard"), [(64, 50, 1 << 20), (1, 50, 1 << 8), (64, 2, 1 << 8), (1, 2, 1 << 20)])
