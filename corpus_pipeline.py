@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, mixing, packing, quality, simhash
-from gridloom.llm.common import spool, table
+from gridloom.llm.common import release, spool, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +20,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; texts are linked by shingles of five words, of which they
-    share 0.8 or more."""
-    found = simhash.verified_duplicates(docs, shingle=5, similarity=0.8)
-    dropped = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    share 0.8 or more. Rows are told apart by id and text."""
+    dropped = simhash.verified_duplicates(docs, shingle=5, similarity=0.8).where("NOT kept").select("node", "digest")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name pass through under plain ones
+    rows = docs.toDF(*names)
+    place = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    keyed = rows.select("*", *simhash.row_keys(place["doc_id"], place["text"]))
+    return keyed.join(dropped, ["node", "digest"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote for itself is deleted once its result is written."""
+    docs, path = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
-        docs, _ = spool(stage(spark, docs, sf_dir), name)
+        docs, path = spool(stage(spark, docs, sf_dir), name)
+        release(spark, path)
     return docs
