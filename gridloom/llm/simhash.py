@@ -237,16 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return coded.join(classed.join(lowest, "class").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, hashes): the sorted distinct hashes of a text's shingles, eight bytes each."""
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, digest, id, hashes) of (node, digest, id, text): the sorted distinct hashes of a text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_shingle_set(x.as_py(), size).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+            sets = [_shingle_set(x.as_py(), size).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "digest", "id", "hashes"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    return plain.mapInArrow(run, "id long, hashes binary")
+    plain = texts.select("node", "digest", "id", F.col("text").cast("binary").alias("raw"))
+    return plain.mapInArrow(run, "node long, digest binary, id long, hashes binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -306,14 +306,18 @@ LEADERS = 4
 def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
     """Edges (a, b) between similar texts of a family (node, component), enough to connect all that its similar pairs do.
 
-    A family's first member, its leader, is compared with all others, then the first of those that no leader is similar
-    to, and so on: each time one pair a member. A link can then be missing only where one of its ends is similar to no
-    leader. These ends, few or none in a family of copies of one text, are compared with all members, in pairs of tiles
-    that carry the texts' sets, and each gives a spanning forest of the pairs that are similar.
+    Families of one tile are compared whole in one task. Of a larger one the first member, its leader, is compared with
+    all others, then the first of those that no leader is similar to, and so on: each time one pair a member. A link can
+    then be missing only where one of its ends is similar to no leader. These ends, few or none in a family of copies of
+    one text, are compared with all members, in pairs of tiles that carry the texts' sets. Each comparison of tiles gives
+    a spanning forest of the pairs that are similar.
     """
     spark = families.sparkSession
-    edges, rest, past = [], families.select("component", "node"), []
-    for _ in range(leaders):
+    large = families.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("component")
+    small = families.join(large, "component", "left_anti").select("component", F.lit(0).cast("long").alias("own_i"), F.lit(0).cast("long").alias("own_j"), "node")
+    families, families_path = spool(families.join(large, "component", "left_semi").select("component", "node"), "large")
+    edges, rest, past = [], families, []
+    for _ in range(0 if rest.isEmpty() else leaders):
         leader = rest.groupBy("component").agg(F.min("node").alias("leader"))
         pairs = families.join(leader, "component").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         found, _ = spool(_similar(pairs, sets, similarity).where("same").select("a", "b"), "leaders")
@@ -324,14 +328,14 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
             unspool(spark, done)
         past = [path]
         if rest.isEmpty():
-            return reduce(DataFrame.union, edges)
+            break
     count = lambda df, name: df.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias(name))
     sizes = count(rest, "i").join(count(families, "j"), "component")
     own = lambda n: F.pmod(F.xxhash64("node"), n).alias(f"own_{n}")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(f"own_{n}")
     first = rest.join(sizes, "component").select("component", own("i"), every("j"), "node")
     second = families.join(sizes, "component").select("component", every("i"), own("j"), "node")
-    dealt = first.union(second).distinct()
+    dealt = small.union(first.union(second).distinct())
     rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition("component", "own_i", "own_j").sortWithinPartitions("component", "own_i", "own_j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,10 +493,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, "node", "text", shingle, similarity, short))
     pairs, _ = spool(found.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.max("partial").alias("partial")), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = named.join(members, "node", "left_semi")
-    known, _ = spool(chosen.groupBy("node").agg(F.min("digest").alias("digest"), F.min("id").alias("id")), "members")
-    texts = chosen.join(known.select("node", "digest"), ["node", "digest"], "left_semi")
-    sets, _ = spool(_shingle_sets(texts, "node", "text", shingle).dropDuplicates(["id"]), "sets")
+    sets = _shingle_sets(named.join(members, "node", "left_semi"), shingle).groupBy("node").agg(F.min_by(F.struct("digest", "id", "hashes"), "digest").alias("row"))
+    known, _ = spool(sets.select("node", "row.digest", "row.id", "row.hashes"), "sets")  # of rows with equal hashes, one
+    sets, known = known.select(F.col("node").alias("id"), "hashes"), known.drop("hashes")
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
     families, _ = spool(connected_components(pairs.where("partial").select("a", "b")), "families")
     found = found.union(_family_links(families, sets, similarity, tile, leaders))
