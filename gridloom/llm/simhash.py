@@ -261,7 +261,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 same.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.bool_())], ["a", "b", "same"])
 
-    first, second = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    # pairs grow with the documents: merged at every size, never broadcast
+    first, second = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")).hint("merge") for c in "ab")
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb")
     return rows.mapInArrow(run, "a long, b long, same boolean")
 
@@ -493,7 +494,7 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, "node", "text", shingle, similarity, short))
     pairs, _ = spool(found.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.max("partial").alias("partial")), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _shingle_sets(named.join(members, "node", "left_semi"), shingle).groupBy("node").agg(F.min_by(F.struct("digest", "id", "hashes"), "digest").alias("row"))
+    sets = _shingle_sets(named.join(members.hint("merge"), "node", "left_semi"), shingle).groupBy("node").agg(F.min_by(F.struct("digest", "id", "hashes"), "digest").alias("row"))
     known, _ = spool(sets.select("node", "row.digest", "row.id", "row.hashes"), "sets")  # of rows with equal hashes, one
     sets, known = known.select(F.col("node").alias("id"), "hashes"), known.drop("hashes")
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
