@@ -107,12 +107,12 @@ def by_weekday(m: DataFrame) -> DataFrame:
     """Sums of the seven days in their order, days without rows as 0."""
     spark = m.sparkSession
     days = spark.createDataFrame([(i, d) for i, d in enumerate(series.DAYS)], "place int, day string")
-    sums = m.where("user_id % 7 = 0").groupBy(series.day_name(F.col("ts")).alias("day")).agg(total("total").alias("total"))
+    sums = m.groupBy(series.day_name(F.col("ts")).alias("day")).agg(total("total").alias("total"))
     return days.join(sums, "day", "left").select("place", "day", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 DAY_LIST = "[" + ", ".join(f"'{d}'" for d in series.DAYS) + "]"
-on_m("agg_by_ordered_cat", by_weekday, f"SELECT (i - 1)::INTEGER AS place, {DAY_LIST}[i] AS day, coalesce(round(sum(total), 4), 0) AS total FROM range(1, 8) t(i) LEFT JOIN m ON isodow(ts) = i AND user_id % 7 = 0 GROUP BY i")
+on_m("agg_by_ordered_cat", by_weekday, f"SELECT (i - 1)::INTEGER AS place, {DAY_LIST}[i] AS day, coalesce(round(sum(total), 4), 0) AS total FROM range(1, 8) t(i) LEFT JOIN m ON isodow(ts) = i GROUP BY i")
 
 
 def numeric_histogram(m: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ on_m("eda_class_balance", lambda m: m.groupBy("status").agg(F.count("*").alias("
 
 # --- features -------------------------------------------------------------------------------------------------------
 
-on_m("fe_transpose", lambda m: long_form(m).where("event_id < 2000").groupBy("event_id").pivot("name", VARIABLES).agg(F.first("v")), "SELECT event_id, CASE WHEN download > 0 THEN download END AS download, CASE WHEN upload > 0 THEN upload END AS upload, total FROM m WHERE event_id < 2000")
+on_m("fe_transpose", lambda m: long_form(m).groupBy("event_id").pivot("name", VARIABLES).agg(F.first("v")), "SELECT event_id, CASE WHEN download > 0 THEN download END AS download, CASE WHEN upload > 0 THEN upload END AS upload, total FROM m")
 on_m("fe_onehot", lambda m: features.one_hot(m.select("event_id", "status"), "status", ["Connecté", "Déconnecté"]), "SELECT event_id, (status = 'Connecté')::INTEGER AS \"status_Connecté\", (status = 'Déconnecté')::INTEGER AS \"status_Déconnecté\" FROM m")
 on_m("fe_onehot_drop_first", lambda m: features.one_hot(m.select("event_id", "status"), "status", ["Connecté", "Déconnecté"], drop_first=True), "SELECT event_id, (status = 'Déconnecté')::INTEGER AS \"status_Déconnecté\" FROM m")
 on_m("fe_label_encode", lambda m: features.label_encode(m, "session_id").select("event_id", "code"), "SELECT event_id, (dense_rank() OVER (ORDER BY session_id) - 1)::INTEGER AS code FROM m")
