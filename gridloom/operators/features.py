@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import keys
+
 
 def correlations(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
     """(a, b, r) of every pair of columns, pairs with a missing value left out; null where r has no value."""
@@ -31,16 +33,16 @@ def correlation_filter(df: DataFrame, columns: list[str], limit: float) -> DataF
 
 
 def factorize(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Codes of a column's values from 0 by their first appearance; the values are the rows of a small table."""
-    first = df.groupBy(column).agg(F.min(order).alias("_first"))
-    coded = first.select(F.col(column).alias("_value"), (F.row_number().over(Window.orderBy("_first")) - 1).alias("code"))
+    """Codes of a column's values from 0 by their first appearance."""
+    first = df.groupBy(F.col(column).alias("_value")).agg(F.min(order).alias("_first"))
+    coded = keys.sequence(first, ["_first", "_value"], "code", after=-1).select("_value", "code")
     return df.join(coded, df[column].eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
     """Codes from 0 in the order of the values."""
     values = df.select(F.col(column).alias("_value")).distinct()
-    coded = values.select("_value", (F.row_number().over(Window.orderBy("_value")) - 1).alias("code"))
+    coded = keys.sequence(values, ["_value"], "code", after=-1)
     return df.join(coded, df[column].eqNullSafe(F.col("_value"))).drop("_value")
 
 

@@ -188,7 +188,7 @@ def parameters(sizes: list[int]) -> int:
     return sum(a * b + b for a, b in zip(sizes, sizes[1:]))
 
 
-def gaussian_bayes(train: DataFrame, test: DataFrame, dims: int, smoothing: float = 1e-9) -> DataFrame:
+def gaussian_bayes(train: DataFrame, test: DataFrame, smoothing: float = 1e-9) -> DataFrame:
     """(id, label, score): log prior plus log densities for every class, from (id, x, label); the variances of all
     classes get smoothing times the largest variance of a component. The fitted table has a row per class and component."""
     long = train.select("label", F.posexplode("x").alias("i", "v"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, GROUPS = 2048, 16
+#: Rows of a tile, of query tiles that a task holds, and of candidate tiles that it reads past them, at most.
+ROWS, HELD, READ = 2048, 1 << 17, 1 << 20
+#: Queries whose distances to a tile are made at a time.
+BLOCK = 64
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,31 +33,85 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return total ** (1 / p)
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int, p: float = 2, id_col: str = "id", vector_col: str = "x") -> DataFrame:
-    """(test_id, rank, train_id, distance): the k nearest rows of train to each of test, ties to the smaller id.
+def _groups(queries: int, candidates: int, cores: int) -> tuple[int, int]:
+    """How many groups of query tiles and of candidate tiles meet each other. Both grow with the tables, and there are
+    enough pairs of groups for all cores where there are enough tiles."""
+    of_queries = max(1, ceil(queries / HELD))
+    return of_queries, max(1, ceil(candidates / READ), min(ceil(candidates / ROWS), ceil(2 * cores / of_queries)))
 
-    Vectors have one length and no missing values. Each pair of tiles keeps k rows a query before the shuffle.
+
+Meet = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def _meet(train: DataFrame, test: DataFrame, pair: Meet, schema: str, id_col: str, vector_col: str) -> DataFrame:
+    """What pair gives of the (query ids, query vectors, ids, vectors) of each tile of test with each of train.
+
+    A pair of groups of tiles meets in one task, which holds the query tiles, a bounded number, and reads the others.
     """
     narrow = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    tiles = narrow(train).mapInArrow(_tiles, "ids binary, cells binary").withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
-    asked = narrow(test).mapInArrow(_tiles, "ids binary, cells binary").select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    dealt = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)).cast("array<long>")))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_test, of_train = _groups(test.count(), train.count(), train.sparkSession.sparkContext.defaultParallelism)
+    place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tiles = narrow(train).mapInArrow(_tiles, "ids binary, cells binary")
+    tiles = tiles.select("ids", "cells", place(of_train).alias("s"), every(of_test).alias("q"))
+    asked = narrow(test).mapInArrow(_tiles, "ids binary, cells binary")
+    asked = asked.select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), place(of_test).alias("q"), every(of_train).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
                 cells, q_cells = (np.frombuffer(row[c], "<f8").reshape(len(n), -1) for c, n in (("cells", ids), ("q_cells", q_ids)))
-                d = distances(q_cells, cells, p)
-                order = np.argsort(ids, kind="stable")
-                near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, axis=1).ravel())], ["test_id", "train_id", "distance"])
+                for at in range(0, len(q_ids), BLOCK):
+                    yield from pair(q_ids[at : at + BLOCK], q_cells[at : at + BLOCK], ids, cells)
+
+    met = tiles.join(asked.hint("shuffle_hash"), ["q", "s"])
+    return met.select("ids", "cells", "q_ids", "q_cells").mapInArrow(run, schema)
+
+
+def nearest(train: DataFrame, test: DataFrame, k: int, p: float = 2, id_col: str = "id", vector_col: str = "x") -> DataFrame:
+    """(test_id, rank, train_id, distance): the k nearest rows of train to each of test, ties to the smaller id.
 
-    found = tiles.join(dealt, "g").select("ids", "cells", "q_ids", "q_cells").mapInArrow(best, "test_id long, train_id long, distance double")
+    Vectors have one length and no missing values. Each pair of tiles keeps k rows a query before the shuffle.
+    """
+
+    def best(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d = distances(q_cells, cells, p)
+        order = np.argsort(ids, kind="stable")
+        near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+        columns = [pa.array(np.repeat(q_ids, near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, axis=1).ravel())]
+        yield pa.RecordBatch.from_arrays(columns, ["test_id", "train_id", "distance"])
+
+    found = _meet(train, test, best, "test_id long, train_id long, distance double", id_col, vector_col)
     order = Window.partitionBy("test_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def summaries(train: DataFrame, test: DataFrame, p: float = 2, id_col: str = "id", vector_col: str = "x") -> DataFrame:
+    """(test_id, n, lo, mean, hi) of the distances of each row of test to all rows of train of another id; a row without
+    any has no summary. A pair of tiles sends one row a query on."""
+
+    def summed(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d, other = distances(q_cells, cells, p), q_ids[:, None] != ids[None, :]
+        n = other.sum(axis=1)
+        parts = [q_ids, n, np.where(other, d, np.inf).min(axis=1), np.where(other, d, 0.0).sum(axis=1), np.where(other, d, -np.inf).max(axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[n > 0]) for x in parts], ["test_id", "n", "lo", "total", "hi"])
+
+    found = _meet(train, test, summed, "test_id long, n long, lo double, total double, hi double", id_col, vector_col)
+    ends = F.min("lo").alias("lo"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("hi").alias("hi")
+    return found.groupBy("test_id").agg(F.sum("n").alias("n"), *ends)
+
+
+def kernel(train: DataFrame, test: DataFrame, gamma: float, id_col: str = "id", vector_col: str = "x") -> DataFrame:
+    """(i, j, k): exp(-gamma |x_i - x_j|^2) of each row i of test and each j of train, a row a cell."""
+
+    def cells_of(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k = np.exp(-gamma * distances(q_cells, cells, 2) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(ids))), pa.array(np.tile(ids, len(q_ids))), pa.array(k.ravel())], ["i", "j", "k"])
+
+    return _meet(train, test, cells_of, "i long, j long, k double", id_col, vector_col)
+
+
 def classify(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """(test_id, predicted): the most frequent label of the neighbours, the least of equals. labels: (train_id, label)."""
     votes = neighbours.join(labels, "train_id").groupBy("test_id", "label").agg(F.count("*").alias("n"))

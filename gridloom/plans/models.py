@@ -69,37 +69,34 @@ query("ml_knn_reg", near_sql(5) + " SELECT test_id, round(sum(b.x[1] / n.distanc
 )
 
 
+ASKED = "id % 20 = 0"  # the rows that pairwise queries ask for, against all rows
+
+
 def distance_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Least, mean and largest distance of every fiftieth row to all others, pair by pair in blocks."""
+    """Least, mean and largest distance of every twentieth row to all others."""
     rows = vectors(spark, d)
-    asked = rows.where("id % 50 = 0")
-    n = rows.count()
-    found = neighbours.nearest(rows, asked, n).where("test_id <> train_id")
-    return found.groupBy("test_id").agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("lo"), F.round(F.avg("distance"), 6).alias("mean"), F.round(F.max("distance"), 6).alias("hi"))
+    return neighbours.summaries(rows, rows.where(ASKED)).select("test_id", "n", *[F.round(c, 6).alias(c) for c in ("lo", "mean", "hi")])
 
 
-query("jn_cross_dist", f" SELECT a.id AS test_id, count(*) AS n, round(min({MINKOWSKI[2]}), 6) AS lo, round(avg({MINKOWSKI[2]}), 6) AS mean, round(max({MINKOWSKI[2]}), 6) AS hi FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id GROUP BY a.id")(distance_summary)
+query("jn_cross_dist", f" SELECT test_id, count(*) AS n, round(min(distance), 6) AS lo, round(avg(distance), 6) AS mean, round(max(distance), 6) AS hi FROM (SELECT a.id AS test_id, {MINKOWSKI[2]} AS distance FROM v a JOIN v b ON a.{ASKED} AND a.id <> b.id) GROUP BY test_id")(distance_summary)
 
 
 def gram(spark: SparkSession, d: str) -> DataFrame:
-    """(i, j, k): the kernel exp(-0.5 |x_i - x_j|^2) of the first forty rows."""
-    rows = vectors(spark, d).where("id < 40")
-    a, b = rows.select(F.col("id").alias("i"), F.col("x").alias("xi")), rows.select(F.col("id").alias("j"), F.col("x").alias("xj"))
-    square = F.aggregate(F.zip_with("xi", "xj", lambda s, t: F.pow(s - t, 2)), F.lit(0.0), lambda s, t: s + t)
-    return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(F.exp(-0.5 * square), 8).alias("k"))
+    """(i, j, k): the kernel exp(-0.5 |x_i - x_j|^2) of every twentieth row and all rows."""
+    rows = vectors(spark, d)
+    return neighbours.kernel(rows, rows.where(ASKED), 0.5).select("i", "j", F.round("k", 8).alias("k"))
 
 
-query("ml_rbf", f" SELECT a.id AS i, b.id AS j, round(exp(-0.5 * pow({MINKOWSKI[2]}, 2)), 8) AS k FROM v a JOIN v b ON a.id < 40 AND b.id < 40")(gram)
+query("ml_rbf", f" SELECT a.id AS i, b.id AS j, round(exp(-0.5 * pow({MINKOWSKI[2]}, 2)), 8) AS k FROM v a JOIN v b ON a.{ASKED}")(gram)
 
 # --- naive Bayes, regressions ---------------------------------------------------------------------------------------
 
 
 def bayes_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors(spark, d).withColumn("x", F.slice("x", 1, 8))
-    return learners.gaussian_bayes(*split(rows), 8)
+    return learners.gaussian_bayes(*split(vectors(spark, d)))
 
 
-BAYES = """, l AS (SELECT id, label, test, i, x[i] AS v FROM v, range(1, 9) t(i)), e AS (SELECT 1e-9 * max(a) AS eps FROM (SELECT var_pop(v) AS a FROM l WHERE NOT test GROUP BY i)),
+BAYES = """, l AS (SELECT id, label, test, i, x[i] AS v FROM v, range(1, 65) t(i)), e AS (SELECT 1e-9 * max(a) AS eps FROM (SELECT var_pop(v) AS a FROM l WHERE NOT test GROUP BY i)),
     s AS (SELECT label, i, avg(v) AS mu, var_pop(v) + any_value(eps) AS var FROM l, e WHERE NOT test GROUP BY label, i), r AS (SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM v WHERE NOT test)) AS prior FROM v WHERE NOT test GROUP BY label),
     b AS (SELECT l.id, s.label, any_value(prior) + sum(-0.5 * ln(2 * pi() * var) - pow(v - mu, 2) / (2 * var)) AS score FROM l JOIN s USING (i) JOIN r ON r.label = s.label WHERE l.test GROUP BY l.id, s.label)"""
 query("ml_gnb", BAYES + " SELECT id, first(label ORDER BY score DESC, label) AS predicted, round(max(score), 4) AS score FROM b GROUP BY id")(
@@ -199,21 +196,42 @@ query("ml_ovo_votes", " SELECT id, first(c ORDER BY k DESC, c)::INTEGER AS predi
 CONFIGS = [("sgd_64", [64], False, 0.1, 32), ("adam_64", [64], True, 0.001, 32), ("adam_128", [128], True, 0.001, 32), ("adam_128_64", [128, 64], True, 0.001, 32)]
 
 
-def networks(spark: SparkSession, d: str, configs: list[tuple], activation: str, epochs: int, validation: float) -> DataFrame:
-    """(config, parameters, train_accuracy, test_accuracy): a network per task, on at most 20 000 rows each."""
-    rows = vectors(spark, d).orderBy(F.xxhash64("id"), "id").limit(20_000)
+def networks(spark: SparkSession, d: str, configs: list[tuple], activation: str, epochs: int, validation: float, most: int = 20_000) -> DataFrame:
+    """(config, parameters, train_accuracy, test_accuracy): a network per task, fitted on at most `most` training rows,
+    the first by a hash of their id, and scored on all rows. Nothing where there are no training rows."""
+    rows, span = vectors(spark, d), 1 << 20
+    train, _ = split(rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(span))))
+    upto = 1.2 * most * span / max(1, train.count()) + 64
+    sample = train.where(F.col("h") < upto)
     grid = spark.createDataFrame([(c[0], i) for i, c in enumerate(configs)], "config string, i int")
+    sizes = lambda c, x: [x.shape[1], *c[1], 10]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, hidden, adam, rate, batch = configs[int(pdf["i"].iloc[0])]
-        pdf = pdf.sort_values("id")
-        x, y, test = np.stack(pdf["x"]).astype(float), pdf["label"].to_numpy(), pdf["test"].to_numpy()
-        sizes = [x.shape[1], *hidden, 10]
-        net = learners.Network(sizes, activation, rate, adam, batch).fit(x[~test], y[~test], epochs, validation)
-        score = lambda m: float((net.predict(x[m]) == y[m]).mean()) if m.any() else 0.0
-        return pd.DataFrame([(name, learners.parameters(sizes), score(~test), score(test))], columns=["config", "parameters", "train_accuracy", "test_accuracy"])
-
-    return rows.crossJoin(F.broadcast(grid)).groupBy("config").applyInPandas(fit, "config string, parameters int, train_accuracy double, test_accuracy double")
+        i = int(pdf["i"].iloc[0])
+        _, _, adam, rate, batch = configs[i]
+        pdf = pdf.sort_values(["h", "id"]).head(most).sort_values("id")
+        x, y = np.stack(pdf["x"]).astype(float), pdf["label"].to_numpy()
+        net = learners.Network(sizes(configs[i], x), activation, rate, adam, batch).fit(x, y, epochs, validation)
+        return pd.DataFrame([(i, p.ravel().tolist()) for layer in net.weights for p in layer], columns=["i", "part"]).groupby("i", as_index=False).agg(list).rename(columns={"part": "parts"})
+
+    fitted = sample.crossJoin(F.broadcast(grid)).groupBy("config").applyInPandas(fit, "i int, parts array<array<double>>")
+    nets = {r.i: r.parts for r in fitted.collect()}  # a row per configuration
+
+    def score(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, out = np.stack(pdf["x"]).astype(float), []
+                for i, parts in nets.items():
+                    net = learners.Network(sizes(configs[i], x), activation)
+                    net.weights = [[np.reshape(p, q.shape) for p, q in zip(parts[2 * j : 2 * j + 2], layer)] for j, layer in enumerate(net.weights)]
+                    hit = net.predict(x) == pdf["label"].to_numpy()
+                    size = sum(len(p) for p in parts)
+                    out += [(configs[i][0], size, bool(t), int(hit[pdf["test"] == t].sum()), int((pdf["test"] == t).sum())) for t in (False, True)]
+                yield pd.DataFrame(out, columns=["config", "parameters", "test", "hits", "n"])
+
+    scored = rows.select("x", "label", "test").mapInPandas(score, "config string, parameters int, test boolean, hits long, n long")
+    share = lambda which: F.coalesce(F.try_divide(F.sum(F.when(which, F.col("hits"))), F.sum(F.when(which, F.col("n")))), F.lit(0.0))
+    return scored.groupBy("config", "parameters").agg(share(~F.col("test")).alias("train_accuracy"), share(F.col("test")).alias("test_accuracy"))
 
 
 query("ml_mlp_scratch")(lambda spark, d: networks(spark, d, [("scratch", [64], False, 0.12, 1)], "sigmoid", 10, 0.0))
@@ -257,27 +275,35 @@ query("ev_mse_mae_r2", " SELECT round(avg(pow(x[1] - x[2], 2)), 6) AS mse, round
 )
 
 
-def permutation(spark: SparkSession, d: str) -> DataFrame:
-    """(feature, drop): loss of nearest-centroid accuracy when one of four components is exchanged between rows, mean of
-    three repeats. A repeat gives every row the component of its successor in the order of a hash."""
-    rows = vectors(spark, d).select("id", "label", F.slice("x", 1, 4).alias("x"))
-    means = rows.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    centres = means.select(F.col("label").alias("guess"), "c")
-    blocks = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(8)))
-
-    def accuracy(df: DataFrame):
-        square = F.aggregate(F.zip_with("x", "c", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda a, b: a + b)
-        best = df.crossJoin(F.broadcast(centres)).groupBy("id", "label").agg(F.min_by("guess", F.struct(square.alias("q"), "guess")).alias("guess"))
-        return best.agg(F.avg((F.col("guess") == F.col("label")).cast("double")).alias("a"))
-
-    base, out = accuracy(rows).withColumnRenamed("a", "base"), None
-    for i in range(4):
-        for r in range(3):
-            other = F.coalesce(F.lead("x").over(blocks.orderBy(F.xxhash64("id", F.lit(r)))), F.first("x").over(blocks.orderBy(F.xxhash64("id", F.lit(r)))))
-            mixed = rows.withColumn("o", other).withColumn("x", F.concat(F.slice("x", 1, i), F.slice("o", i + 1, 1), F.slice("x", i + 2, 4))).drop("o")
-            one = accuracy(mixed).crossJoin(base).select(F.lit(i).alias("feature"), (F.col("base") - F.col("a")).alias("drop"))
-            out = one if out is None else out.union(one)
-    return out.groupBy("feature").agg(F.round(F.avg("drop"), 6).alias("drop"))
+def permutation(spark: SparkSession, d: str, repeats: int = 3) -> DataFrame:
+    """(feature, drop): loss of nearest-centroid accuracy when one component is exchanged between rows, mean of the
+    repeats. A repeat gives every row the component of its successor in the order of a hash, within a block of rows
+    whose number grows with the table."""
+    rows = vectors(spark, d).select("id", "label", "x")
+    means = rows.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect()  # a row per class
+    guess, c = np.array([r.label for r in centres]), np.array([[s.m for s in r.c] for r in centres])
+    block = F.pmod(F.xxhash64("id"), F.lit(8 + rows.count() // 50_000))
+    order = [Window.partitionBy(block).orderBy(F.xxhash64("id", F.lit(r)), "id") for r in range(repeats)]
+    others = [F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias(f"o{r}") for r, w in enumerate(order)]
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                x, label = np.stack(part["x"]), part["label"].to_numpy()
+                own = (x[:, None, :] - c) ** 2
+                square, out = own.sum(axis=2), []
+                hits = lambda q: int((guess[q.argmin(axis=1)] == label).sum())  # noqa: B023, E731
+                for r in range(repeats):
+                    put = (np.stack(part[f"o{r}"])[:, None, :] - c) ** 2
+                    out += [(i, hits(square - own[:, :, i] + put[:, :, i]), len(part)) for i in range(c.shape[1])]
+                yield pd.DataFrame([(-1, hits(square), len(part)), *out], columns=["feature", "hits", "n"])
+
+    found = rows.select("label", "x", *others).mapInPandas(run, "feature int, hits long, n long")
+    share = found.groupBy("feature").agg((F.sum("hits") / F.sum("n")).alias("a"))
+    base = share.where("feature < 0").select(F.col("a").alias("base"))
+    return share.where("feature >= 0").crossJoin(F.broadcast(base)).select("feature", F.round(F.col("base") - F.col("a"), 6).alias("drop"))
 
 
 query("ev_permutation")(permutation)

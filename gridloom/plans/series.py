@@ -148,9 +148,11 @@ on_m("srt_chrono", chronological, "SELECT row_number() OVER (ORDER BY ts, event_
 
 def head_middle_tail(m: DataFrame) -> DataFrame:
     """Of the users by mean total: the first ten, the middle five and the last five."""
+    from gridloom.operators import keys
+
     rows = m.groupBy("user_id").agg(F.round(F.avg("total"), 6).alias("mean"))
-    order = Window.orderBy(F.col("mean").desc(), "user_id")
-    ranked = rows.select("user_id", "mean", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
+    ranked = keys.sequence(rows, [F.col("mean").desc(), F.col("user_id")], "place").withColumn("place", F.col("place").cast("int"))
+    ranked = ranked.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     middle = F.floor(F.col("n") / 2)
     return ranked.where((F.col("place") <= 10) | F.col("place").between(middle - 1, middle + 3) | (F.col("place") > F.col("n") - 5)).select("user_id", "mean", "place")
 
@@ -216,7 +218,7 @@ PAIRS = " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, " + ("NULL::DOUBLE AS r" if "duration" in (a, b) else f"round(corr({a}, {b}), 6) AS r FROM m") for i, a in enumerate([*VARIABLES, "duration"]) for b in [*VARIABLES, "duration"][i + 1 :]
 )
 query("eda_corr_matrix", PAIRS)(correlations)
-on_m("eda_factorize", lambda m: features.factorize(m, "status", "event_id").select("event_id", "code"), "SELECT event_id, (dense_rank() OVER (ORDER BY first_id) - 1)::INTEGER AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY status) AS first_id FROM m)")
+on_m("eda_factorize", lambda m: features.factorize(m, "status", "event_id").select("event_id", F.col("code").cast("int").alias("code")), "SELECT event_id, (dense_rank() OVER (ORDER BY first_id) - 1)::INTEGER AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY status) AS first_id FROM m)")
 on_m(
     "eda_skew_kurt",
     lambda m: m.groupBy("status").agg(F.round(F.skewness("total"), 4).alias("skew"), F.round(F.kurtosis("total"), 4).alias("kurt")),
@@ -258,7 +260,7 @@ on_m("eda_class_balance", lambda m: m.groupBy("status").agg(F.count("*").alias("
 on_m("fe_transpose", lambda m: long_form(m).groupBy("event_id").pivot("name", VARIABLES).agg(F.first("v")), "SELECT event_id, CASE WHEN download > 0 THEN download END AS download, CASE WHEN upload > 0 THEN upload END AS upload, total FROM m")
 on_m("fe_onehot", lambda m: features.one_hot(m.select("event_id", "status"), "status", ["Connecté", "Déconnecté"]), "SELECT event_id, (status = 'Connecté')::INTEGER AS \"status_Connecté\", (status = 'Déconnecté')::INTEGER AS \"status_Déconnecté\" FROM m")
 on_m("fe_onehot_drop_first", lambda m: features.one_hot(m.select("event_id", "status"), "status", ["Connecté", "Déconnecté"], drop_first=True), "SELECT event_id, (status = 'Déconnecté')::INTEGER AS \"status_Déconnecté\" FROM m")
-on_m("fe_label_encode", lambda m: features.label_encode(m, "session_id").select("event_id", "code"), "SELECT event_id, (dense_rank() OVER (ORDER BY session_id) - 1)::INTEGER AS code FROM m")
+on_m("fe_label_encode", lambda m: features.label_encode(m, "session_id").select("event_id", F.col("code").cast("int").alias("code")), "SELECT event_id, (dense_rank() OVER (ORDER BY session_id) - 1)::INTEGER AS code FROM m")
 on_m("fe_ordinal", lambda m: m.select("event_id", gf.codes(series.day_name(c("ts")), {d: i for i, d in enumerate(series.DAYS[:5])}).alias("code")), "SELECT event_id, CASE WHEN isodow(ts) <= 5 THEN isodow(ts) - 1 END::INTEGER AS code FROM m")
 TRAIN = "event_id % 5 <> 0"
 on_m(

@@ -133,6 +133,51 @@ def test_network_learns_and_stops():
     assert learners.parameters([1024, 64, 10]) == 1024 * 64 + 64 + 64 * 10 + 10
 
 
+def test_pairs_by_tiles_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 7)  # three groups of queries, and of candidates as many as cores ask for
+    monkeypatch.setattr(neighbours, "ROWS", 10)
+    x = np.random.default_rng(3).normal(size=(50, 4)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(6)
+    asked, d = range(0, 50, 3), np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    queries = df.where("id % 3 = 0")
+    near = neighbours.nearest(df, queries, 4).select("test_id", "rank", "train_id")
+    assert rows(near) == [(i, r + 1, int(j)) for i in asked for r, j in enumerate(np.lexsort((np.arange(50), d[i]))[:4])]
+    found = neighbours.summaries(df, queries).orderBy("test_id").collect()
+    other = [np.delete(d[i], i) for i in asked]
+    assert [(r.test_id, r.n) for r in found] == [(i, 49) for i in asked]
+    np.testing.assert_allclose([(r.lo, r["mean"], r.hi) for r in found], [(o.min(), o.mean(), o.max()) for o in other])
+    cells = neighbours.kernel(df, queries, 0.5).orderBy("i", "j").collect()
+    np.testing.assert_allclose([r.k for r in cells], np.exp(-0.5 * d[list(asked)] ** 2).ravel())
+    assert neighbours.summaries(df.limit(1), df.limit(0)).count() == 0
+    one = df.where("id = 0")
+    assert neighbours.summaries(one, one).count() == 0
+
+
+def test_permutation_matches_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)
+    x[:, 1] += 3 * label
+    table = [(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label))]
+    spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hashes = spark.range(60).select("id", F.pmod(F.xxhash64("id"), F.lit(8)).alias("b"), *[F.xxhash64("id", F.lit(r)).alias(f"h{r}") for r in range(3)]).orderBy("id").collect()
+    centres = np.array([x[label == t].mean(axis=0) for t in range(3)])
+    score = lambda rows: (((rows[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) == label).mean()
+    want = []
+    for i in range(3):
+        drops = []
+        for r in range(3):
+            mixed = x.copy()
+            for b in range(8):
+                ring = sorted((h[f"h{r}"], h.id) for h in hashes if h.b == b)
+                for (_, a), (_, z) in zip(ring, ring[1:] + ring[:1]):
+                    mixed[a, i] = x[z, i]
+            drops.append(score(x) - score(mixed))
+        want.append((i, round(float(np.mean(drops)), 6)))
+    found = rows(models.permutation(spark, str(tmp_path)))
+    assert [f for f, _ in found] == [0, 1, 2]
+    np.testing.assert_allclose([v for _, v in found], [v for _, v in want], atol=1e-6)
+
+
 def test_neighbours(spark):
     train = spark.createDataFrame([(1, [0.0], 0), (2, [1.0], 1), (3, [1.0], 1), (4, [9.0], 0)], "id long, x array<double>, label int")
     test = spark.createDataFrame([(10, [1.0]), (11, [0.5])], "id long, x array<double>")
