@@ -22,11 +22,13 @@ from gridloom.llm.common import spool
 
 #: The most labelled rows that the lexicon and the weights are fitted on, the first by a hash of the id.
 LABELLED = 20_000
-#: The most words and beginnings of the lexicon, and the likelihood ratio (chi-square, one degree) they need.
-LEXICON, EVIDENCE = 4_000, 20.0
+#: The likelihood ratio (chi-square, one degree), log odds and toxic documents that a word or beginning needs.
+EVIDENCE, ODDS, SUPPORT = 20.0, 1.5, 3
 PREFIXES = range(3, 9)
 #: Words after a negation that it covers.
 SCOPE = 3
+#: Weights of the arcs that read a hit in the scope of a negation, or in reported speech; along a path they multiply.
+NEGATED, REPORTED = 0.3, 0.5
 
 #: Closed word classes of the four languages of the corpus, and threats.
 TARGETS = "you your yours yourself he she they them their him her these those du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre vos il elle ils elles tú te ti usted ustedes vosotros él ella ellos ellas".split()
@@ -39,26 +41,27 @@ NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 
 @dataclass
 class Transducer:
-    """A deterministic transducer over small integers: arcs (state, symbol) -> (state, output); a missing arc copies."""
+    """A deterministic weighted transducer over small integers: arcs (state, symbol) -> (state, output, weight); a missing
+    arc copies with weight 1."""
 
     start: int = 0
-    arcs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
+    arcs: dict[tuple[int, int], tuple[int, int, float]] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
     def compose(self, other: Transducer, symbols: int) -> Transducer:
-        """The machine that gives what `other` makes of this one's output."""
+        """The machine that gives what `other` makes of this one's output; the weights of both multiply."""
         numbers, arcs, waiting = {(self.start, other.start): 0}, {}, [(self.start, other.start)]
         while waiting:
             pair = waiting.pop()
             for x in range(symbols):
-                a, y = self.step(pair[0], x)
-                b, z = other.step(pair[1], y)
+                a, y, v = self.step(pair[0], x)
+                b, z, w = other.step(pair[1], y)
                 if (a, b) not in numbers:
                     numbers[a, b] = len(numbers)
                     waiting.append((a, b))
-                arcs[numbers[pair], x] = numbers[a, b], z
+                arcs[numbers[pair], x] = numbers[a, b], z, v * w
         return Transducer(0, arcs)
 
 
@@ -72,22 +75,23 @@ def negation() -> Transducer:
     arcs = {}
     for s in range(SCOPE + 1):
         for x in (NONE, TARGET, REPORT, *HITS):
-            arcs[s, x] = max(0, s - 1), x + MARK if s and x in HITS else x
-        arcs[s, NEGATION], arcs[s, END] = (SCOPE, NEGATION), (0, END)
+            covered = s and x in HITS
+            arcs[s, x] = max(0, s - 1), x + MARK if covered else x, NEGATED if covered else 1.0
+        arcs[s, NEGATION], arcs[s, END] = (SCOPE, NEGATION, 1.0), (0, END, 1.0)
     return Transducer(0, arcs)
 
 
 def reported() -> Transducer:
     """State 1: a verb of reported speech stands before in the clause."""
-    arcs = {(0, REPORT): (1, REPORT), (1, END): (0, END)}
-    arcs |= {(1, x + m): (1, x + m + 2 * MARK) for x in HITS for m in (0, MARK)}
+    arcs = {(0, REPORT): (1, REPORT, 1.0), (1, END): (0, END, 1.0)}
+    arcs |= {(1, x + m): (1, x + m + 2 * MARK, REPORTED) for x in HITS for m in (0, MARK)}
     return Transducer(0, arcs)
 
 
 def targeted() -> Transducer:
     """State 1: a target stands before in the clause."""
-    arcs = {(0, TARGET): (1, TARGET), (1, END): (0, END)}
-    arcs |= {(1, x + m): (1, x + m + 4 * MARK) for x in HITS for m in (0, MARK, 2 * MARK, 3 * MARK)}
+    arcs = {(0, TARGET): (1, TARGET, 1.0), (1, END): (0, END, 1.0)}
+    arcs |= {(1, x + m): (1, x + m + 4 * MARK, 1.0) for x in HITS for m in (0, MARK, 2 * MARK, 3 * MARK)}
     return Transducer(0, arcs)
 
 
@@ -150,14 +154,14 @@ def features(text: str, lexical: Lexical, machine: Transducer) -> list[float]:
         state, clause, i = machine.start, 0.0, first
         while True:
             kind, weight, arc, end = read[i]
-            state, out = machine.step(state, kind)
+            state, out, part = machine.step(state, kind)
             if kind in HITS:
                 marks, base = divmod(out, MARK)
                 name = "negated" if marks & 1 else "reported" if marks & 2 else "threats" if base == THREAT else "targeted" if marks & 4 else "insults"
                 sums[name] += weight
                 if kind == INSULT:
                     arcs.add(arc)
-                    clause += weight * (0.3 if marks & 1 else 0.5 if marks & 2 else 1.0)
+                    clause += weight * part
             if end or i + 1 == len(read):
                 break
             i += 1
@@ -177,6 +181,14 @@ def evidence(t: np.ndarray, n: np.ndarray, all_t: float, all_n: float) -> tuple[
     return ratio, odds
 
 
+def strong(t: np.ndarray, n: np.ndarray, all_t: float, all_n: float) -> np.ndarray:
+    """Whether each word speaks for toxicity; none does where documents of one kind are lacking."""
+    if not all_t or not all_n:
+        return np.zeros(len(t), bool)
+    ratio, odds = evidence(t, n, all_t, all_n)
+    return (ratio >= EVIDENCE) & (odds > ODDS) & (t >= SUPPORT)
+
+
 def lexicon(counts: list[tuple[str, float, float]], all_t: float, all_n: float) -> dict[str, float]:
     """Arcs with their log odds; a beginning needs no word of its own. Words that speak against toxicity under a
     beginning that speaks for it are kept with weight 0."""
@@ -184,11 +196,9 @@ def lexicon(counts: list[tuple[str, float, float]], all_t: float, all_n: float)
         return {}
     names = [c[0] for c in counts]
     t, n = (np.array([c[i] for c in counts]) for i in (1, 2))
-    ratio, odds = evidence(t, n, all_t, all_n)
-    strong = (ratio >= EVIDENCE) & (odds > 1.5) & (t >= 3)
-    arcs = {names[i]: float(odds[i]) for i in np.argsort(-ratio) if strong[i]}
-    arcs = dict(list(arcs.items())[:LEXICON])
-    for i in np.flatnonzero(~strong & (n >= 3) & (odds < 2)):
+    kept, odds = strong(t, n, all_t, all_n), evidence(t, n, all_t, all_n)[1]
+    arcs = {names[i]: float(odds[i]) for i in np.flatnonzero(kept)}
+    for i in np.flatnonzero(~kept & (n >= SUPPORT) & (odds < 2)):
         if not names[i].endswith("*") and any(names[i][:k] + "*" in arcs for k in PREFIXES):
             arcs[names[i]] = 0.0
     return arcs
@@ -231,7 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Lexicon and weights from labelled documents that are not held out, at most LABELLED of them.
 
     The weights are fitted on features for which either half of the rows is read with the other half's lexicon, so they
-    do not trust words that are rare in the whole. Equal texts count once.
+    do not trust words that are rare in the whole. Equal texts count once. To the driver come the words that speak for
+    toxicity and those under such a beginning that speak against it, both bounded by the LABELLED texts. Without rows,
+    or without labels of either kind, the model has no arcs and scores every text near 0.
     """
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -253,12 +265,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sums = known.select("t", "y", "fold").mapInArrow(count, "word string, fold int, y int, n long")
     part = lambda f, y: F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n"))), F.lit(0))
     sums = sums.groupBy("word").agg(part(0, 1).alias("t0"), part(0, 0).alias("n0"), part(1, 1).alias("t1"), part(1, 0).alias("n1"))
-    t, n = F.col("t0") + F.col("t1"), F.col("n0") + F.col("n1")
-    kept = sums.where((t >= 3) & (t * 2 > n)).orderBy((t / (n + 1)).desc(), t.desc(), "word").limit(20 * LEXICON).collect()
+    sums, _ = spool(sums, "words")
     sizes = {(r["fold"], r["y"]): r["n"] for r in known.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     number = lambda f, y: float(sizes.get((f, y), 0))
-    arcs = [lexicon([(r["word"], float(r[f"t{f}"]), float(r[f"n{f}"])) for r in kept], number(f, 1), number(f, 0)) for f in (0, 1)]
-    whole = lexicon([(r["word"], float(r["t0"] + r["t1"]), float(r["n0"] + r["n1"])) for r in kept], number(0, 1) + number(1, 1), number(0, 0) + number(1, 0))
+    totals = [(number(0, 1), number(0, 0)), (number(1, 1), number(1, 0))]
+    totals.append(tuple(a + b for a, b in zip(*totals)))
+
+    def speaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t0, n0, t1, n1 = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, 5))
+            halves = [(t0, n0), (t1, n1), (t0 + t1, n0 + n1)]
+            yield batch.filter(pa.array(np.logical_or.reduce([strong(*half, *total) for half, total in zip(halves, totals)])))
+
+    found = sums.mapInArrow(speaking, sums.schema)
+    beginnings = found.where(F.col("word").endswith("*")).select(F.col("word").alias("beginning"))
+    lengths = F.sequence(F.lit(PREFIXES.start), F.least(F.lit(PREFIXES.stop), F.length("word")) - 1)
+    against = sums.where(~F.col("word").endswith("*") & (F.length("word") > PREFIXES.start) & (F.col("n0") + F.col("n1") >= SUPPORT))
+    against = against.withColumn("beginning", F.explode(F.transform(lengths, lambda k: F.concat(F.col("word").substr(F.lit(1), k), F.lit("*")))))
+    against = against.join(beginnings, "beginning", "left_semi").drop("beginning")
+    kept = found.union(against).distinct().orderBy("word").collect()
+    arcs = [lexicon([(r["word"], float(r[f"t{f}"]), float(r[f"n{f}"])) for r in kept], *totals[f]) for f in (0, 1)]
+    whole = lexicon([(r["word"], float(r["t0"] + r["t1"]), float(r["n0"] + r["n1"])) for r in kept], *totals[2])
     if not whole:
         return Model({}, np.r_[np.zeros(len(FEATURES)), -30.0])
 

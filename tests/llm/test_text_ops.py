@@ -288,7 +288,7 @@ def test_grammar_rewrites_clauses():
     def run(*symbols):
         state, out = machine.start, []
         for x in symbols:
-            state, y = machine.step(state, x)
+            state, y, _ = machine.step(state, x)
             out.append(y)
         return out
 
@@ -307,6 +307,48 @@ def test_features_see_clauses():
     assert get("not bad. dolt")["insults"] > 0
 
 
+def brute_features(text, arcs):
+    """Hits clause by clause: negated by one of the three words before, reported and targeted by any before."""
+    closed = {w: k for k, ws in (("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS), ("threat", toxicity.THREATS)) for w in ws}
+    sums, found, best = dict.fromkeys(toxicity.FEATURES[:5], 0.0), set(), 0.0
+    for clause in re.findall(r"(?:\S*[^\s.!?;:](?:\s+|$))*(?:\S*[.!?;:](?:\s+|$))?", text.lower()):
+        kinds, total = [], 0.0
+        for word in (re.sub(r"^[\W\d_]+|[\W\d_]+$", "", token) for token in clause.split()):
+            begin = next((word[:k] + "*" for k in range(8, 2, -1) if k < len(word) and arcs.get(word[:k] + "*", 0) > 0), None)
+            arc = word if word in arcs else None if word in closed else begin
+            weight = arcs.get(arc, 0.0)
+            kind = ("insult" if weight > 0 else None) if arc else closed.get(word)
+            if kind in ("insult", "threat"):
+                negated, reported = "negation" in kinds[-3:], "report" in kinds
+                name = "negated" if negated else "reported" if reported else "threats" if kind == "threat" else "targeted" if "target" in kinds else "insults"
+                sums[name] += weight if kind == "insult" else 1.0
+                if kind == "insult":
+                    found.add(arc)
+                    total += weight * (0.3 if negated else 1) * (0.5 if reported else 1)
+            kinds.append(kind)
+        best = max(best, total)
+    density = 1000 * sum(sums.values()) / (len(text.split()) + 20)
+    return [math.log1p(x) for x in (*sums.values(), best, len(found), density)]
+
+
+def test_features_against_brute_force():
+    rng, arcs = random.Random(3), {"dolt": 4.0, "nit*": 2.0, "nitwi*": 3.0, "nitrogen": 0.0, "you": 1.5}
+    words = ["dolt", "Dolt", "'dolt'", "nitwit", "nitpick", "nitrogen", "nit", "not", "never", "you", "they", "said", "wrote", "kill", "a", "day", "7", "..", "dolt.", "said:", "ok;", "nitwit!"]
+    lexical, machine = toxicity.Lexical(arcs), toxicity.grammar()
+    for _ in range(400):
+        text = " ".join(rng.choices(words, k=rng.randrange(25)))
+        assert toxicity.features(text, lexical, machine) == pytest.approx(brute_features(text, arcs)), text
+
+
+def test_clean_words_speak_against_their_beginning(spark):
+    rows = [(i, f"grubw{'abcdefghij'[i % 10]}x {i}" if i % 3 == 0 else f"grubstake {i}" if i % 30 == 1 else f"fine {i}") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert model.arcs["grub*"] > 0 and model.arcs["grubstake"] == 0.0 and "fine" not in model.arcs
+    score = model.scorer()
+    assert score("a grubwabel") > 0.5 > score("a grubstake")
+
+
 def test_train_and_score(spark, docs, no_docs):
     rng = np.random.default_rng(2)
     plain = [f"w{k}" for k in range(60)]
