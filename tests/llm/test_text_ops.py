@@ -254,6 +254,23 @@ def test_kneser_ney(spark):
     assert np.exp(-costs.reshape(-1, 64).astype(float)).sum(axis=1) == pytest.approx(np.ones(64**3), rel=1e-3)
 
 
+def test_texts_are_scored_by_the_other_fold(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc d.", k=rng.randrange(1, 40))) for _ in range(40)] + [None, "", "zz É7"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:5]])], "doc_id long, text string")
+    folds = {r.doc_id: r.fold for r in table.select("doc_id", quality.fold_of("text", quality.FOLDS).alias("fold")).collect()}
+    assert set(folds.values()) == {0, 1} and all(folds[i] == folds[len(texts) + i] for i in range(5))
+    signs, taught = quality.alphabet(), table.where("doc_id < 30 OR doc_id >= 40")
+    found = {r.doc_id: r for r in quality.scored(table, quality.train_folds(taught)).collect()}
+    digits = lambda code: tuple(int(code) // 64**k % 64 for k in (3, 2, 1, 0))
+    rows = {r.doc_id: r.text or "" for r in table.collect()}
+    grams = {i: [digits(c) for block in quality.codes(t, signs) for c in block] for i, t in rows.items()}
+    for fold in (0, 1):
+        p = brute_probability(dict(Counter(g for i in grams if (i < 30 or i >= 40) and folds[i] != fold for g in grams[i])), 4, 64)
+        for i in (i for i in rows if folds[i] == fold):
+            assert found[i]._cost == pytest.approx(-sum(np.log(max(p(g), 1e-12)) for g in grams[i]), rel=2e-3) and found[i]._symbols == len(rows[i])
+
+
 def test_codes_in_runs(monkeypatch):
     table, text = quality.alphabet(), "The quick brown föx 𝔘 jumps\nover 12 dogs. " * 20
     whole = np.concatenate(list(quality.codes(text, table)))
