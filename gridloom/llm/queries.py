@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, html, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
+from gridloom.llm import exact_dedup, html, infill, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
 from gridloom.llm.common import table
 
 
@@ -72,6 +72,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c, 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", infill.restored(F.col("output"), F.col("form"))))]
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_top_k": op2_exact_top_k,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extraction": op10_html_extraction,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _CHECKS = "\n".join(
@@ -100,6 +107,18 @@ _ALL_SPANS = ",\n".join(
 )
 
 ORACLES = {
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), n AS (
+            SELECT doc_id, t, units, CAST(len(units) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM d
+        ), c AS (
+            SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                length(array_to_string(units[1:least(h[1] % (n + 1), h[2] % (n + 1))], '')) AS a, length(array_to_string(units[1:greatest(h[1] % (n + 1), h[2] % (n + 1))], '')) AS b FROM n
+        ), p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c
+        ) SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
     "op5_url_filters": rf"""
         WITH RECURSIVE p AS (
             SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
