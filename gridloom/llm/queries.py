@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, html, infill, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
+from gridloom.llm import exact_dedup, html, infill, lexical, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
 from gridloom.llm.common import table
 
 
@@ -72,6 +72,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = infill.transform(table(spark, sf_dir, "documents"))
     digests = [F.sha2(c, 256).alias(n) for n, c in (("output_sha256", F.col("output")), ("restored_sha256", infill.restored(F.col("output"), F.col("form"))))]
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extraction": op10_html_extraction,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
@@ -107,6 +113,24 @@ _ALL_SPANS = ",\n".join(
 )
 
 ORACLES = {
+    "op11_ranked_lexical_search": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{lexical.TERM}') AS terms FROM documents
+        ), c AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+        ), s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM c
+        ), p AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM c) GROUP BY r, term
+        ), q AS (
+            SELECT item_id, text, term, count(*) AS times FROM (
+                SELECT item_id, text, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{lexical.TERM}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term), s
+        ), x AS (
+            SELECT item_id, text, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term) JOIN c USING (r), s GROUP BY ALL
+        ), o AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+        ) SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20
+    """,
     "op12_fill_in_middle": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
