@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import spool
 
 #: The most documents and postings of a grid, unless one document has more.
-GRID_DOCS, GRID_POSTINGS = 8192, 1 << 20
+GRID_DOCS, GRID_POSTINGS = 8192, 1 << 21
 #: Bytes of items that a task holds while it reads grids; below it, items are broadcast.
 HELD_BYTES = 16 << 20
 #: Top lists that one step of the tree merges.
@@ -106,22 +106,24 @@ class Treap:
         return cls(depth, *out)
 
     def opened(self) -> Treap:
-        """Ready for descents: places of first children and of single points, and a cell that stands for none."""
-        self.none = len(self.mask)
-        bits = _BITS[self.mask]
-        self.first = np.r_[self._roots() + np.cumsum(bits) - bits, 0].astype(np.int32)
-        self.point = np.r_[np.cumsum(self.mask == 0) - 1, 0].astype(np.int32)
-        self.mask, self.value = np.r_[self.mask, np.uint8(0)], np.r_[self.value, 0].astype(np.int64)
-        self.row, self.column = np.r_[self.row, -1].astype(np.int64), np.r_[self.column, 0].astype(np.int64)
+        """Ready for descents: each cell's four children, which for a single point's cell are itself, and that point's row
+        and column in one number (-1 for other cells). The last cell stands for none."""
+        none = len(self.mask)
+        roots = none - int(_BITS[self.mask].sum())
+        self.none, self.largest = np.int32(none), int(self.value.max(initial=0))
+        child, alone = np.full((none + 1, 4), none, np.int32), np.flatnonzero(self.mask == 0)
+        child[:-1][((self.mask[:, None] >> np.arange(4, dtype=np.uint8)) & 1) == 1] = np.arange(roots, none, dtype=np.int32)
+        child[alone] = alone[:, None]
+        self.child, self.own = child.ravel(), np.full(none + 1, -1, np.int64)
+        self.own[alone] = (self.row.astype(np.int64) << 16) | self.column
+        self.most = np.r_[self.value, 0].astype(np.float64)
         return self
 
-    def _roots(self) -> int:
-        return len(self.mask) - int(_BITS[self.mask].sum())
-
-    def _of_row(self, cell: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Cells that are a single point of another row are none."""
-        wrong = (self.mask[cell] == 0) & (self.row[self.point[cell]] != row)
-        return np.where(wrong, self.none, cell)
+    def _bounds(self, cell: np.ndarray, point: np.ndarray, size: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of ranges of so many columns, and the sums of what they have at most. point: the row and the range's
+        first column in one number; cells of a single point elsewhere are none."""
+        cell = np.where((self.own[cell] ^ point) >= size, self.none, cell)
+        return cell, (self.most[cell].astype(weights.dtype, copy=False) @ weights).astype(np.int64)
 
     def top(self, rows: np.ndarray, weights: np.ndarray, best: Best, ids: Ids) -> None:
         """Bring the columns of the largest sums of weights * values over the rows into best.
@@ -130,8 +132,9 @@ class Treap:
         bound for each column of the range. The ranges of the largest bounds are opened first, OPENED at a time; those
         that cannot enter the list are left.
         """
-        cell = self._of_row((rows >> self.depth)[None, :], rows)
-        bound = self.value[cell] @ weights
+        exact = np.float64 if int(weights.sum()) * self.largest < 1 << 53 else np.int64
+        of_row, rows, weights = rows.astype(np.int64) << 16, rows.astype(np.int32), weights.astype(exact)
+        cell, bound = self._bounds((rows >> self.depth)[None, :], of_row, 1 << self.depth, weights)
         level, place = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while len(bound):
             keep = best.may_enter(bound, place << (self.depth - level), ids)
@@ -147,16 +150,14 @@ class Treap:
             if done.any():
                 best.add(bound[done], place[done], ids)
             going = chosen & ~done
-            shift = (self.depth - 1 - level[going])[:, None]
-            above, high = cell[going], (rows[None, :] >> shift) & 1
-            mask, first, leaf = self.mask[above], self.first[above], self.mask[above] == 0
-            of_leaf = (self.column[self.point[above]] >> shift) & 1
+            under, half = level[going] + 1, 2 * place[going]
+            shift = (self.depth - under)[:, None]
+            below = 4 * cell[going] + 2 * ((rows >> shift.astype(np.int32)) & 1)
+            start = of_row | (half[:, None] << shift)
             parts = [(bound[~chosen], level[~chosen], place[~chosen], cell[~chosen])]
-            for half in (0, 1):
-                quadrant = 2 * high + half
-                child = np.where((mask >> quadrant) & 1, first + _BITS[mask & ((1 << quadrant) - 1)], self.none)
-                child = np.where(leaf, np.where(of_leaf == half, above, self.none), self._of_row(child, rows))
-                parts.append((self.value[child] @ weights, level[going] + 1, 2 * place[going] + half, child))
+            for right in (0, 1):
+                child, most = self._bounds(self.child[below + right], start + (right << shift), 1 << shift, weights)
+                parts.append((most, under, half + right, child))
             bound, level, place, cell = (np.concatenate(x) for x in zip(*parts))
 
 
@@ -210,45 +211,63 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grid_
     sums = docs.select(size.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_docs, n_terms = int(sums[0]), int(sums[1])
 
-    def grid(waiting: list[tuple[int | None, Counter, int]]) -> pa.RecordBatch:
-        waiting.sort(key=lambda d: (d[0] is None, d[0] or 0))
-        vocabulary: dict[bytes, int] = {}
-        row = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for _, c, _ in waiting for t in c), np.int64)
-        tf = np.fromiter((x for _, c, _ in waiting for x in c.values()), np.int64)
-        column = np.repeat(np.arange(len(waiting)), [len(c) for _, c, _ in waiting])
-        n = np.array([x for _, _, x in waiting], np.int64)
-        df = np.bincount(row, minlength=len(vocabulary))
-        order = np.argsort(-df, kind="stable")
-        to = np.empty(len(order), np.int64)
-        to[order] = np.arange(len(order))
-        depth = max(1, (len(waiting) - 1).bit_length())
-        treap = Treap.build(to[row], column, impacts(tf, n[column], n_docs, n_terms), depth)
-        terms = list(vocabulary)
-        out = {"depth": depth, "docs": len(waiting), "nulls": sum(d[0] is None for d in waiting), "cells": len(treap.mask), "points": len(treap.row), "ids": np.array([d[0] or 0 for d in waiting], "<i8").tobytes()}
-        out |= {"terms": zlib.compress(b" ".join(terms[i] for i in order), 1), "dfs": zlib.compress(df[order].astype("<i4").tobytes(), 1), "treap": treap.packed()}
-        return pa.RecordBatch.from_pylist([out], schema=pa.schema([(c, pa.int32() if t == "int" else pa.binary()) for c, t in (x.split() for x in _INDEX.split(", "))]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, postings = [], 0
+        now = Grid()
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 terms = terms_of(raw.as_py() or b"")
                 if not terms:
                     continue
                 counts = Counter(terms)
-                if waiting and (len(waiting) == grid_docs or postings + len(counts) > grid_postings):
-                    yield grid(waiting)
-                    waiting, postings = [], 0
-                waiting.append((doc, counts, len(terms)))
-                postings += len(counts)
-        if waiting:
-            yield grid(waiting)
+                if now.ids and (len(now.ids) == grid_docs or now.postings + len(counts) > grid_postings):
+                    yield now.out(n_docs, n_terms)
+                    now = Grid()
+                now.add(doc, counts, len(terms))
+        if now.ids:
+            yield now.out(n_docs, n_terms)
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"))
     table, _ = spool(plain.mapInArrow(run, _INDEX), "grids")
     return table, n_docs, n_terms
 
 
+class Grid:
+    """The documents of a grid while it is filled."""
+
+    def __init__(self) -> None:
+        self.vocabulary: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.rows: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.postings = 0
+
+    def add(self, doc: int | None, counts: Counter, size: int) -> None:
+        number = self.vocabulary.setdefault
+        self.ids.append(doc)
+        self.sizes.append(size)
+        self.rows.append(np.array([number(t, len(self.vocabulary)) for t in counts], np.int32))
+        self.counts.append(np.array(list(counts.values()), np.int32))
+        self.postings += len(counts)
+
+    def out(self, n_docs: int, n_terms: int) -> pa.RecordBatch:
+        docs = len(self.ids)
+        order = sorted(range(docs), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
+        row, tf = (np.concatenate([x[i] for i in order]).astype(np.int64) for x in (self.rows, self.counts))
+        column = np.repeat(np.arange(docs), [len(self.rows[i]) for i in order])
+        size = np.array([self.sizes[i] for i in order], np.int64)[column]
+        df = np.bincount(row, minlength=len(self.vocabulary))
+        by_df = np.argsort(-df, kind="stable")
+        place = np.empty(len(by_df), np.int64)
+        place[by_df] = np.arange(len(by_df))
+        depth = max(1, (docs - 1).bit_length())
+        treap = Treap.build(place[row], column, impacts(tf, size, n_docs, n_terms), depth)
+        terms = list(self.vocabulary)
+        out = {"depth": depth, "docs": docs, "nulls": sum(i is None for i in self.ids), "cells": len(treap.mask), "points": len(treap.row), "ids": np.array([self.ids[i] or 0 for i in order], "<i8").tobytes()}
+        out |= {"terms": zlib.compress(b" ".join(terms[i] for i in by_df), 1), "dfs": zlib.compress(df[by_df].astype("<i4").tobytes(), 1), "treap": treap.packed()}
+        return pa.RecordBatch.from_pylist([out], schema=pa.schema([(c, pa.int32() if t == "int" else pa.binary()) for c, t in (x.split() for x in _INDEX.split(", "))]))
+
+
 def document_counts(grids: DataFrame) -> DataFrame:
     """(term binary, df long): the documents that hold each term, as sums over grids."""
 

@@ -89,8 +89,8 @@ def test_descent_leaves_most_of_a_large_grid(monkeypatch):
     value = np.where(column == 77, 900, rng.integers(300, 500, len(cells)))
     t = lexical.Treap.build(row, column, value, depth).opened()
     opened = []
-    plain = lexical.Treap._of_row
-    monkeypatch.setattr(lexical.Treap, "_of_row", lambda self, cell, r: opened.append(len(cell)) or plain(self, cell, r))
+    plain = lexical.Treap._bounds
+    monkeypatch.setattr(lexical.Treap, "_bounds", lambda self, cell, *rest: opened.append(len(cell)) or plain(self, cell, *rest))
     best = lexical.Best(1)
     t.top(np.arange(40), np.ones(40, np.int64), best, lexical.Ids(np.arange(1 << depth), 0))
     assert best.id.tolist() == [77] and sum(opened) < 2 * (1 << depth) / 4
