@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, html, infill, lexical, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
+from gridloom.llm import exact_dedup, html, infill, lexical, mixing, packing, pii, quality, secrets, simhash, topk, toxicity, urls
 from gridloom.llm.common import table
 
 
@@ -83,6 +83,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.array_size(F.filter("base", _of_place(n))).cast("long").alias(f"n_{k.name}") for n, k in enumerate(pii.KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.described(F.col("base")), 256).alias("base_sha256"), secrets.described(F.col("found")).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_top_k": op2_exact_top_k,
@@ -96,6 +102,7 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_personal_data": op13_personal_data,
 }
 
 _CHECKS = "\n".join(
