@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import keys
+from gridloom.operators.quantiles import quantiles
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
@@ -63,8 +64,9 @@ def one_hot(df: DataFrame, column: str, values: list[str], drop_first: bool = Fa
 
 def impute_median(long: DataFrame, name: str, value: str, train: str, least: float) -> DataFrame:
     """Long rows with missing values set to the training rows' median; names with too few values there are dropped."""
-    known = F.count(F.when(F.expr(train), F.col(value)))
-    medians = long.groupBy(F.col(name).alias("_name")).agg(F.median(F.when(F.expr(train), F.col(value))).alias("_median"), known.alias("_known"), F.count(F.when(F.expr(train), 1)).alias("_all"))
+    fitted = long.where(train)
+    sizes = fitted.groupBy(F.col(name).alias("_name")).agg(F.count(value).alias("_known"), F.count("*").alias("_all"))
+    medians = sizes.join(quantiles(fitted, value, [0.5], [name]).select(F.col(name).alias("_of"), F.col("q0").alias("_median")), F.col("_name") == F.col("_of"), "left").drop("_of")
     medians = medians.where(F.col("_known") >= least * F.col("_all"))
     return long.join(medians, F.col(name) == F.col("_name")).withColumn(value, F.coalesce(value, "_median")).drop("_name", "_median", "_known", "_all")
 
@@ -87,7 +89,7 @@ def standardize(df: DataFrame, columns: list[str], train: str = "true") -> DataF
 
 def winsorize(df: DataFrame, column: str, train: str = "true") -> DataFrame:
     """Values cut at the third quartile plus 1.5 times the quartiles' distance of the training rows."""
-    q = df.where(train).agg(F.percentile(column, F.lit(0.25)).alias("_q1"), F.percentile(column, F.lit(0.75)).alias("_q3"))
+    q = quantiles(df.where(train), column, [0.25, 0.75]).select(F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
     limit = F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1"))
     return df.crossJoin(F.broadcast(q)).withColumn(column, F.least(F.col(column), limit)).drop("_q1", "_q3")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import functions as gf
 from gridloom.operators import features, series
+from gridloom.operators.quantiles import quantiles
 from gridloom.operators.series import measurements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ on_m("flt_nonneg", lambda m: m.where("download - 1 >= 0 AND upload >= 0 AND tota
 
 def below_quantiles(m: DataFrame) -> DataFrame:
     """Rows below the 99 % quantiles of download and upload; the two numbers are one row, joined as a broadcast."""
-    limits = m.agg(F.percentile("download", F.lit(0.99)).alias("qd"), F.percentile("upload", F.lit(0.99)).alias("qu"))
+    limits = quantiles(m, "download", [0.99]).select(F.col("q0").alias("qd")).crossJoin(F.broadcast(quantiles(m, "upload", [0.99]).select(F.col("q0").alias("qu"))))
     return m.crossJoin(F.broadcast(limits)).where("download < qd AND upload < qu").select("event_id")
 
 
@@ -73,13 +74,21 @@ on_m(
     lambda m: m.agg(F.round(F.avg(F.when(F.col("status") == "Connecté", F.col("total"))), 6).alias("up"), F.round(F.avg(F.when(F.col("status") != "Connecté", F.col("total"))), 6).alias("down")).withColumn("ratio", F.round(F.try_divide("up", "down"), 4)),
     "SELECT *, round(up / down, 4) AS ratio FROM (SELECT round(avg(total) FILTER (status = 'Connecté'), 6) AS up, round(avg(total) FILTER (status <> 'Connecté'), 6) AS down FROM m)",
 )
+
+
+def described(m: DataFrame) -> DataFrame:
+    q = quantiles(m, "total", [0.25, 0.5, 0.75]).select(*[F.round(f"q{i}", 6).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    rest = m.agg(F.count("total").alias("n"), mean("total").alias("mean"), F.round(F.stddev("total"), 6).alias("std"), F.min("total").alias("lo"), F.max("total").alias("hi"))
+    return rest.crossJoin(F.broadcast(q)).select("n", "mean", "std", "lo", "q25", "q50", "q75", "hi")
+
+
 on_m(
     "agg_describe",
-    lambda m: m.agg(F.count("total").alias("n"), mean("total").alias("mean"), F.round(F.stddev("total"), 6).alias("std"), F.min("total").alias("lo"), *[F.round(F.percentile("total", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max("total").alias("hi")),
+    described,
     "SELECT count(total) AS n, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std, min(total) AS lo, round(quantile_cont(total, 0.25), 6) AS q25, round(quantile_cont(total, 0.5), 6) AS q50, round(quantile_cont(total, 0.75), 6) AS q75, max(total) AS hi FROM m",
 )
-on_m("agg_quantile", lambda m: m.groupBy("status").agg(*[F.round(F.percentile("total", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.75, 0.99)]), "SELECT status, " + ", ".join(f"round(quantile_cont(total, {q}), 6) AS q{int(q * 100)}" for q in (0.25, 0.75, 0.99)) + " FROM m GROUP BY status")
-on_m("agg_median", lambda m: m.groupBy("status").agg(F.round(F.median("total"), 6).alias("median")), "SELECT status, round(median(total), 6) AS median FROM m GROUP BY status")
+on_m("agg_quantile", lambda m: quantiles(m, "total", [0.25, 0.75, 0.99], ["status"]).select("status", *[F.round(f"q{i}", 6).alias(f"q{p}") for i, p in enumerate((25, 75, 99))]), "SELECT status, " + ", ".join(f"round(quantile_cont(total, {q}), 6) AS q{int(q * 100)}" for q in (0.25, 0.75, 0.99)) + " FROM m GROUP BY status")
+on_m("agg_median", lambda m: quantiles(m, "total", [0.5], ["status"]).select("status", F.round("q0", 6).alias("median")), "SELECT status, round(median(total), 6) AS median FROM m GROUP BY status")
 
 
 def session_totals(m: DataFrame) -> DataFrame:
@@ -228,7 +237,7 @@ on_m(
 
 def boxplot(m: DataFrame) -> DataFrame:
     """Quartiles, whiskers at 1.5 times their distance and the number of values beyond, by status."""
-    q = m.groupBy("status").agg(*[F.percentile("total", F.lit(x)).alias(n) for n, x in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quantiles(m, "total", [0.25, 0.5, 0.75], ["status"]).select("status", *[F.col(f"q{i}").alias(f"q{i + 1}") for i in range(3)])
     rows = m.join(q, "status").withColumn("reach", 1.5 * (c("q3") - c("q1")))
     inside = c("total").between(c("q1") - c("reach"), c("q3") + c("reach"))
     out = rows.groupBy("status", "q1", "q2", "q3").agg(F.min(F.when(inside, c("total"))).alias("low"), F.max(F.when(inside, c("total"))).alias("high"), F.count(F.when(~inside, 1)).alias("outliers"))
