@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Tables that spool wrote and nothing has deleted yet.
-_written: list[str] = []
+#: Tables that spool wrote in the scopes that are open, innermost last; outside a scope none are noted.
+_scopes: list[list[str]] = []
 
 
 def spool(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
@@ -39,7 +41,8 @@ def spool(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -47,14 +50,18 @@ def unspool(spark: SparkSession, path: str) -> None:
     """Delete a spooled table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
 
 
-def release(spark: SparkSession, *keep: str) -> None:
-    """Delete all spooled tables but those to keep; for use once the results that read them have been written."""
-    for path in [p for p in _written if p not in keep]:
-        unspool(spark, path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was spooled inside it. For work whose result is written before that: results that are read
+    later, outside of any scope, keep their tables, whatever other work does meanwhile."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            unspool(spark, path)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -201,8 +201,8 @@ ORACLES = {
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
         ), g AS (
-            SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n
-        ) SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+            SELECT doc_id, norm, first_value(doc_id) OVER o AS keep_id, row_number() OVER o = 1 AS kept, count(*) OVER (PARTITION BY norm) AS group_size FROM n WINDOW o AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST)
+        ) SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM g
     """,
     "op9_mix_sources": r"""
         WITH d AS (

@@ -300,44 +300,92 @@ def _similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int
     return edges
 
 
-#: Members of a family with which all others are compared, one after another, before pairs of tiles are.
-LEADERS = 4
+#: Members of a family with which all others are compared, one after another, before pairs of tiles are; members that
+#: meet one copy of a leader's set.
+LEADERS, PART = 4, 2048
+
+
+def _distances(families: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
+    """(component, leader, node, d): the Jaccard distance of each family's leader (component, leader, n) to all members
+    (component, node), n of them. Members are dealt to parts, and a leader's set is sent once to each part."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    member = families.join(leaders, "component").select("component", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "node")
+    leader = leaders.select("component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), F.col("leader").alias("node"))
+    rows = member.union(leader).join(sets.withColumnRenamed("id", "node").hint("merge"), "node").repartition("component", "part").sortWithinPartitions("component", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, own = None, None
+        for batch in batches:
+            out = []
+            for component, side, node, hashes in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x = np.frombuffer(hashes, "<u8")
+                if side == 0:
+                    first, own = node, x
+                else:
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    out.append((component, first, node, 1 - both / max(1, len(own) + len(x) - both) if len(own) or len(x) else 0.0))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()])], ["component", "leader", "node", "d"])
+
+    return rows.select("component", "side", "node", "hashes").mapInArrow(run, "component long, leader long, node long, d double")
 
 
 def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
     """Edges (a, b) between similar texts of a family (node, component), enough to connect all that its similar pairs do.
 
     Families of one tile are compared whole in one task. Of a larger one the first member, its leader, is compared with
-    all others, then the first of those that no leader is similar to, and so on: each time one pair a member. A link can
-    then be missing only where one of its ends is similar to no leader. These ends, few or none in a family of copies of
-    one text, are compared with all members, in pairs of tiles that carry the texts' sets. Each comparison of tiles gives
-    a spanning forest of the pairs that are similar.
+    all others, then the first of those that no leader is similar to, and so on. Members similar to a leader are its
+    group and linked to it, so a link inside a group adds nothing. Two kinds of links are left:
+
+    - of members in no group, which are compared with all members;
+    - between groups. Jaccard distance is a metric, so a member with a link into another group is no farther from that
+      group's leader than the group's radius and the largest distance of a link. Members that near to each other's
+      groups are compared, unless a member of both has joined the groups already.
+
+    Both go in pairs of tiles that carry the texts' sets; each gives a spanning forest of the pairs that are similar.
     """
-    spark = families.sparkSession
-    large = families.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("component")
-    small = families.join(large, "component", "left_anti").select("component", F.lit(0).cast("long").alias("own_i"), F.lit(0).cast("long").alias("own_j"), "node")
-    families, families_path = spool(families.join(large, "component", "left_semi").select("component", "node"), "large")
-    edges, rest, past = [], families, []
-    for _ in range(0 if rest.isEmpty() else leaders):
-        leader = rest.groupBy("component").agg(F.min("node").alias("leader"))
-        pairs = families.join(leader, "component").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        found, _ = spool(_similar(pairs, sets, similarity).where("same").select("a", "b"), "leaders")
-        edges.append(found)
-        rest = rest.join(leader.select(F.col("leader").alias("node")), "node", "left_anti").join(found.select(F.col("b").alias("node")), "node", "left_anti")
-        rest, path = spool(rest.select("component", "node"), "rest")
+    spark, reach = families.sparkSession, 1 - similarity + 1e-9
+    large = families.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    none = F.lit(0).cast("long")
+    small = families.join(large, "component", "left_anti").select("component", none.alias("pair"), none.alias("own_i"), none.alias("own_j"), "node")
+    families, _ = spool(families.join(large.select("component"), "component", "left_semi").select("component", "node"), "large")
+    sized, _ = spool(families.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    rest, past, measured = families, [], []
+    for step in range(0 if rest.isEmpty() else leaders):
+        leader = rest.groupBy("component").agg(F.min("node").alias("leader")).join(sized, "component")
+        found, _ = spool(_distances(families, leader, sets).withColumn("step", F.lit(step)), "leaders")
+        measured.append(found)
+        rest, path = spool(rest.join(found.where(F.col("d") <= reach).select("node"), "node", "left_anti").select("component", "node"), "rest")
         for done in past:
             unspool(spark, done)
         past = [path]
         if rest.isEmpty():
             break
-    count = lambda df, name: df.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("long").alias(name))
-    sizes = count(rest, "i").join(count(families, "j"), "component")
+    edges = [found.where((F.col("d") <= reach) & (F.col("leader") != F.col("node"))).select(F.col("leader").alias("a"), F.col("node").alias("b")) for found in measured]
+    count = lambda df, name, *by: df.groupBy("component", *by).agg(F.ceil(F.count("*") / tile).cast("long").alias(name))
     own = lambda n: F.pmod(F.xxhash64("node"), n).alias(f"own_{n}")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(f"own_{n}")
-    first = rest.join(sizes, "component").select("component", own("i"), every("j"), "node")
-    second = families.join(sizes, "component").select("component", every("i"), own("j"), "node")
+    sizes = count(rest, "i").join(count(families, "j"), "component")
+    first = rest.join(sizes, "component").select("component", none.alias("pair"), own("i"), every("j"), "node")
+    second = families.join(sizes, "component").select("component", none.alias("pair"), every("i"), own("j"), "node")
     dealt = small.union(first.union(second).distinct())
-    rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition("component", "own_i", "own_j").sortWithinPartitions("component", "own_i", "own_j")
+    if len(measured) > 1:
+        known = reduce(DataFrame.union, measured).select("component", "node", "step", "d")
+        inside = known.where(F.col("d") <= reach)
+        radius = inside.groupBy("component", "step").agg(F.max("d").alias("radius"))
+        joined = inside.select("component", "node", F.col("step").alias("x")).join(inside.select("component", "node", F.col("step").alias("y")), ["component", "node"]).where("x < y").select("component", "x", "y").distinct()
+        # (x, y): the member is of x's group and near enough to y's to have a link into it
+        near = inside.select("component", "node", F.col("step").alias("x")).join(known.select("component", "node", F.col("step").alias("y"), "d"), ["component", "node"]).where("x <> y")
+        near = near.join(radius.withColumnRenamed("step", "y"), ["component", "y"]).where(F.col("d") <= F.col("radius") + reach)
+        near = near.select("component", "node", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("x") < F.col("y")).alias("left")).join(joined, ["component", "x", "y"], "left_anti")
+        near, _ = spool(near.withColumn("pair", (1 + F.col("x") * leaders + F.col("y")).cast("long")).select("component", "pair", "left", "node"), "near")
+        left, right = near.where("left"), near.where("NOT left")
+        sizes = count(left, "i", "pair").join(count(right, "j", "pair"), ["component", "pair"])
+        first = left.join(sizes, ["component", "pair"]).select("component", "pair", own("i"), every("j"), "node")
+        second = right.join(sizes, ["component", "pair"]).select("component", "pair", every("i"), own("j"), "node")
+        dealt = dealt.union(first.union(second).distinct())
+    keys = ["component", "pair", "own_i", "own_j"]
+    rows = dealt.join(sets.withColumnRenamed("id", "node"), "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, held = None, [], []
@@ -348,7 +396,7 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
             return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["a", "b"])
 
         for batch in batches:
-            for *now, node, hashes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for *now, node, hashes in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if now != key:
                     if nodes:
                         yield out()
@@ -358,7 +406,7 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
         if nodes:
             yield out()
 
-    edges.append(rows.select("component", "own_i", "own_j", "node", "hashes").mapInArrow(run, "a long, b long"))
+    edges.append(rows.select(*keys, "node", "hashes").mapInArrow(run, "a long, b long"))
     return reduce(DataFrame.union, edges)
 
 
