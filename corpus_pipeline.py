@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, mixing, packing, quality, simhash
-from gridloom.llm.common import release, spool, table
+from gridloom.llm.common import scratch, shared_dir, table, unspool
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage wrote for itself is deleted once its result is written."""
-    docs, path = table(spark, sf_dir, "documents"), ""
+    """The last stage's rows. A stage's result is written for the next one; what it wrote for itself is deleted then, and
+    so is its input."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, path = spool(stage(spark, docs, sf_dir), name)
-        release(spark, path)
+        path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            unspool(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
