@@ -1,8 +1,9 @@
-"""Nearest neighbours by blocks of rows: every tile of queries meets every tile of candidates once."""
+"""Nearest neighbours on Voronoi cells, and what needs all distances by blocks of rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -69,20 +70,162 @@ def _meet(train: DataFrame, test: DataFrame, pair: Meet, schema: str, id_col: st
     return met.select("ids", "cells", "q_ids", "q_cells").mapInArrow(run, schema)
 
 
-def nearest(train: DataFrame, test: DataFrame, k: int, p: float = 2, id_col: str = "id", vector_col: str = "x") -> DataFrame:
-    """(test_id, rank, train_id, distance): the k nearest rows of train to each of test, ties to the smaller id.
+#: Rows for each pivot, the most pivots, and the rows of a cell that one task holds.
+PER_PIVOT, PIVOTS, PART = 256, 512, 8192
 
-    Vectors have one length and no missing values. Each pair of tiles keeps k rows a query before the shuffle.
-    """
 
-    def best(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-        d = distances(q_cells, cells, p)
-        order = np.argsort(ids, kind="stable")
-        near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-        columns = [pa.array(np.repeat(q_ids, near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, axis=1).ravel())]
-        yield pa.RecordBatch.from_arrays(columns, ["test_id", "train_id", "distance"])
+@dataclass
+class Cells:
+    """Voronoi cells of a table around some of its rows: how many rows each has, the least and largest distance of them to
+    their pivot, and the k least, inf where there are fewer."""
+
+    pivots: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    near: np.ndarray
+    p: float
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, the first of equally near ones, and the distances to all pivots."""
+        d = distances(x, self.pivots, self.p)
+        return d.argmin(axis=1), d
+
+    def visited(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that can hold one of a row's k nearest, ties included.
+
+        A cell's rows lie within their distance to its pivot of it, so the k-th least sum of a pivot's distance and a
+        row's distance to it bounds the k-th neighbour's. By the triangle inequality no row of a cell is nearer than the
+        gap between the distance to its pivot and the range of the cell's own; for p = 2 nor is it nearer than the plane
+        that separates the cell from the row's own.
+        """
+        own, d = self.of(x)
+        k = self.near.shape[1]
+        sums = (d[:, :, None] + self.near[None]).reshape(len(x), -1)
+        reach = np.partition(sums, k - 1, axis=1)[:, k - 1]
+        least = np.maximum(d - self.high, self.low - d)
+        if self.p == 2:
+            between = distances(self.pivots, self.pivots, 2)[own]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d**2 - d[np.arange(len(x)), own][:, None] ** 2) / (2 * between)
+            least = np.maximum(least, np.where(between > 0, plane, 0.0))
+        return np.nonzero((least <= (reach * (1 + 1e-9) + 1e-12)[:, None]) & (self.size > 0))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a batch (id, x)."""
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(batch.num_rows, -1)
+
+
+def _rows(cell: np.ndarray, part: np.ndarray, side: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    columns = [pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), lists]
+    return pa.RecordBatch.from_arrays(columns, ["cell", "part", "side", "id", "x"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
-    found = _meet(train, test, best, "test_id long, train_id long, distance double", id_col, vector_col)
+def cells(rows: DataFrame, k: int, p: float = 2, pivots: int | None = None) -> Cells | None:
+    """The cells of rows (id, x), None of none. The pivots, the rows of the least hashes, are as many as the table asks
+    for, up to PIVOTS; the driver sees them and, of each cell, its size, range and k least distances."""
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(pivots or min(PIVOTS, ceil(n / PER_PIVOT))).collect() if n else []
+    if not some:
+        return None
+    empty = np.zeros(len(some))
+    found = Cells(np.array([r["x"] for r in some], np.float64), empty, empty, empty, np.zeros((len(some), k)), p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            own, d = found.of(_arrays(batch)[1])
+            own_d = d[np.arange(len(own)), own]
+            order = np.lexsort((own_d, own))
+            cell, first, size = np.unique(own[order], return_index=True, return_counts=True)
+            near = [own_d[order][f : f + min(k, m)].tolist() for f, m in zip(first, size)]
+            high = np.maximum.reduceat(own_d[order], first)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(size), pa.array(high), pa.array(near, pa.list_(pa.float64()))], ["cell", "n", "high", "near"])
+
+    parts = rows.mapInArrow(run, "cell int, n long, high double, near array<double>")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("d"))
+    least = parts.select("cell", F.explode("near").alias("d")).withColumn("rank", rank).where(F.col("rank") <= k)
+    size, low, high, near = np.zeros(len(some)), np.zeros(len(some)), np.zeros(len(some)), np.full((len(some), k), np.inf)
+    for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("high").alias("high")).collect():
+        size[r["cell"]], high[r["cell"]] = r["n"], r["high"]
+    for r in least.collect():
+        near[r["cell"], r["rank"] - 1] = r["d"]
+    low = np.where(size > 0, near[:, 0], 0.0)
+    return Cells(found.pivots, size, low, high, near, p)
+
+
+def routed(test: DataFrame, known: Cells, part: int = PART) -> DataFrame:
+    """(cell, part, side, id, x): the rows of test (id, x), once for each part of each cell that they visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches, 256):
+            ids, x = _arrays(batch)
+            row, cell = known.visited(x)
+            parts = np.ceil(known.size[cell] / part).astype(np.int64)
+            row, cell, number = np.repeat(row, parts), np.repeat(cell, parts), np.concatenate([np.arange(m) for m in parts]) if len(parts) else parts
+            yield _rows(cell, number, 1, ids[row], x[row])
+
+    return test.mapInArrow(run, "cell int, part int, side int, id long, x array<double>")
+
+
+def nearest(train: DataFrame, test: DataFrame, k: int, p: float = 2, id_col: str = "id", vector_col: str = "x", pivots: int | None = None, part: int = PART) -> DataFrame:
+    """(test_id, rank, train_id, distance): the k nearest rows of train to each of test, ties to the smaller id; p >= 1.
+
+    An exact join on Voronoi cells: rows of train go to the cell of their nearest pivot, rows of test to the cells that can
+    hold one of their k nearest, and no other pair is compared. Cells of more than `part` rows are dealt to tasks that
+    hold so many, and each task sends k rows a query on. Vectors have one length and no missing values; rows that repeat an
+    id each count. An empty table gives an empty result.
+    """
+    narrow = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    train, test = narrow(train), narrow(test)
+    schema = "test_id long, train_id long, distance double"
+    known = cells(train, k, p, pivots)
+    if known is None:
+        return train.sparkSession.createDataFrame([], schema + ", rank int")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            ids, x = _arrays(batch)
+            cell = known.of(x)[0]
+            parts = np.maximum(1, np.ceil(known.size[cell] / part)).astype(np.uint64)
+            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            yield _rows(cell, spread % parts, 0, ids, x)
+
+    kept = train.mapInArrow(own, "cell int, part int, side int, id long, x array<double>")
+    dealt = kept.union(routed(test, known, part)).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, sorted_ = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else []
+            for at, end in zip(starts, [*starts[1:], len(key)]):
+                *place, side = key[at].tolist()
+                ids, x = _arrays(batch.slice(at, end - at).select([3, 4]))
+                if place != now:
+                    now, held, sorted_ = place, [], None
+                if side == 0:
+                    held.append((ids, x))
+                elif held:
+                    if sorted_ is None:
+                        all_ids, cells_ = (np.concatenate(v) for v in zip(*held))
+                        order = np.argsort(all_ids, kind="stable")
+                        sorted_ = all_ids[order], cells_[order]
+                    for lo in range(0, len(ids), BLOCK):
+                        d = distances(x[lo : lo + BLOCK], sorted_[1], p)
+                        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                        columns = [np.repeat(ids[lo : lo + BLOCK], near.shape[1]), sorted_[0][near].ravel(), np.take_along_axis(d, near, axis=1).ravel()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["test_id", "train_id", "distance"])
+
+    found = dealt.mapInArrow(run, schema)
     order = Window.partitionBy("test_id").orderBy("distance", "train_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
