@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +187,108 @@ class Network:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.forward(x)[-1].argmax(axis=1)
 
+    def state(self) -> np.ndarray:
+        """Weights and, for Adam, moments, as one row of numbers."""
+        parts = [p.ravel() for layer in self.weights for p in layer]
+        return np.concatenate([*parts, *[m.ravel() for layer in self.moments for both in layer for m in both if self.adam]])
+
+    def load(self, state: np.ndarray, steps: int = 0) -> Network:
+        at = 0
+
+        def take(like: np.ndarray) -> np.ndarray:
+            nonlocal at
+            at += like.size
+            return state[at - like.size : at].reshape(like.shape).copy()
+
+        self.weights = [[take(p) for p in layer] for layer in self.weights]
+        if self.adam:
+            self.moments = [[(take(a), take(b)) for a, b in layer] for layer in self.moments]
+        self.steps = steps
+        return self
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> None:
+        for at in range(0, len(order), self.batch):
+            self.step(x[order[at : at + self.batch]], y[order[at : at + self.batch]])
+
+
+#: Training rows of a part, which a task holds.
+PART_ROWS = 50_000
+
+
+@dataclass
+class Plan:
+    """A network to fit: its layers, and how it learns."""
+
+    name: str
+    sizes: list[int]
+    adam: bool
+    rate: float
+    batch: int
+
+    def network(self, activation: str) -> Network:
+        return Network(self.sizes, activation, self.rate, self.adam, self.batch)
+
+
+def fit_networks(train: DataFrame, plans: list[Plan], activation: str, epochs: int, validation: float = 0.0, patience: int = 5, part_rows: int = PART_ROWS) -> dict[str, np.ndarray]:
+    """The weights of each network, by name, fitted on all rows (id, x, label); none for an empty table.
+
+    Rows are dealt by a hash of their id to parts that a task can hold. In each epoch every part goes through its rows once
+    in steps of the batch, starting from the common weights; weights and moments are then averaged by the parts' rows. One
+    job does an epoch of all networks, sums are combined by position, and the driver sees one state a network. A share of
+    `validation` of the rows, by the hash, is held out; each epoch measures their loss under the weights it starts from,
+    and a network stops once that has not improved for `patience` epochs, with the best weights so far. A table of one
+    part is fitted by the plain steps of one task.
+    """
+    n = train.count()
+    if not n:
+        return {}
+    held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) < F.lit(1000 * validation)
+    rows = train.select("id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"), held.alias("held"))
+    rows = rows.repartition(ceil(n / part_rows), "id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
+    nets = {i: p.network(activation) for i, p in enumerate(plans)}
+    states, done = {i: (net.state(), 0) for i, net in nets.items()}, {}
+    best: dict[int, tuple[float, np.ndarray, int]] = {i: (np.inf, s, 0) for i, (s, _) in states.items()}
+
+    def run_of(now: dict[int, tuple[np.ndarray, int]], epoch: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts).combine_chunks()
+            label, out_ = table["label"].to_numpy(), table["held"].to_numpy()
+            x = table["x"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
+            own, rest = np.flatnonzero(~out_), np.flatnonzero(out_)
+            for i, (state, steps) in now.items():
+                net = plans[i].network(activation).load(state, steps)
+                loss = net.loss(x[rest], label[rest]) * len(rest) if len(rest) else 0.0
+                if not last:
+                    net.epoch(x, label, np.random.default_rng([epoch, int(table["id"][0].as_py()) & 0xFFFFFFFF]).permutation(own))
+                values = np.r_[net.state() * len(own), loss, len(rest), len(own), net.steps * len(own)]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([values.tolist()], pa.list_(pa.float64()))], ["i", "v"])
+
+        return run
+
+    try:
+        for epoch in range(epochs + 1):
+            now = {i: s for i, s in states.items() if i not in done}
+            if not now or epoch == epochs and not validation:
+                break
+            sums = rows.mapInArrow(run_of(now, epoch, epoch == epochs), "i int, v array<double>").select("i", F.posexplode("v").alias("at", "v"))
+            total: dict[int, np.ndarray] = {i: np.zeros(len(s) + 4) for i, (s, _) in now.items()}
+            for r in sums.groupBy("i", "at").agg(F.sum("v").alias("v")).collect():  # a row for each weight
+                total[r["i"]][r["at"]] = r["v"]
+            for i, v in total.items():
+                loss, of, own, steps = v[-4:]
+                if validation and of:
+                    least, kept, waited = best[i]
+                    best[i] = (loss / of, now[i][0], 0) if loss / of < least else (least, kept, waited + 1)
+                    if best[i][2] >= patience:
+                        done[i] = best[i][1]
+                states[i] = (v[:-4] / max(own, 1), round(steps / max(own, 1)))
+    finally:
+        rows.unpersist()
+    return {p.name: (done.get(i) if i in done else best[i][1] if validation and best[i][0] < np.inf else states[i][0]) for i, p in enumerate(plans)}
+
 
 def parameters(sizes: list[int]) -> int:
     return sum(a * b + b for a, b in zip(sizes, sizes[1:]))

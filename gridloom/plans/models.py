@@ -196,37 +196,23 @@ query("ml_ovo_votes", " SELECT id, first(c ORDER BY k DESC, c)::INTEGER AS predi
 CONFIGS = [("sgd_64", [64], False, 0.1, 32), ("adam_64", [64], True, 0.001, 32), ("adam_128", [128], True, 0.001, 32), ("adam_128_64", [128, 64], True, 0.001, 32)]
 
 
-def networks(spark: SparkSession, d: str, configs: list[tuple], activation: str, epochs: int, validation: float, most: int = 20_000) -> DataFrame:
-    """(config, parameters, train_accuracy, test_accuracy): a network per task, fitted on at most `most` training rows,
-    the first by a hash of their id, and scored on all rows. Nothing where there are no training rows."""
-    rows, span = vectors(spark, d), 1 << 20
-    train, _ = split(rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(span))))
-    upto = 1.2 * most * span / max(1, train.count()) + 64
-    sample = train.where(F.col("h") < upto)
-    grid = spark.createDataFrame([(c[0], i) for i, c in enumerate(configs)], "config string, i int")
-    sizes = lambda c, x: [x.shape[1], *c[1], 10]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["i"].iloc[0])
-        _, _, adam, rate, batch = configs[i]
-        pdf = pdf.sort_values(["h", "id"]).head(most).sort_values("id")
-        x, y = np.stack(pdf["x"]).astype(float), pdf["label"].to_numpy()
-        net = learners.Network(sizes(configs[i], x), activation, rate, adam, batch).fit(x, y, epochs, validation)
-        return pd.DataFrame([(i, p.ravel().tolist()) for layer in net.weights for p in layer], columns=["i", "part"]).groupby("i", as_index=False).agg(list).rename(columns={"part": "parts"})
-
-    fitted = sample.crossJoin(F.broadcast(grid)).groupBy("config").applyInPandas(fit, "i int, parts array<array<double>>")
-    nets = {r.i: r.parts for r in fitted.collect()}  # a row per configuration
+def networks(spark: SparkSession, d: str, configs: list[tuple], activation: str, epochs: int, validation: float) -> DataFrame:
+    """(config, parameters, train_accuracy, test_accuracy): networks fitted on all training rows and scored on all rows.
+    Nothing where there are no training rows."""
+    rows = vectors(spark, d)
+    train, _ = split(rows)
+    width = (train.agg(F.max(F.size("x"))).first()[0] or 0) if configs else 0
+    plans = [learners.Plan(name, [width, *hidden, len(CLASSES)], adam, rate, batch) for name, hidden, adam, rate, batch in configs]
+    nets = learners.fit_networks(train, plans, activation, epochs, validation)
 
     def score(batches):
         for pdf in batches:
             if len(pdf):
                 x, out = np.stack(pdf["x"]).astype(float), []
-                for i, parts in nets.items():
-                    net = learners.Network(sizes(configs[i], x), activation)
-                    net.weights = [[np.reshape(p, q.shape) for p, q in zip(parts[2 * j : 2 * j + 2], layer)] for j, layer in enumerate(net.weights)]
-                    hit = net.predict(x) == pdf["label"].to_numpy()
-                    size = sum(len(p) for p in parts)
-                    out += [(configs[i][0], size, bool(t), int(hit[pdf["test"] == t].sum()), int((pdf["test"] == t).sum())) for t in (False, True)]
+                for plan in plans:
+                    if plan.name in nets:
+                        hit = plan.network(activation).load(nets[plan.name]).predict(x) == pdf["label"].to_numpy()
+                        out += [(plan.name, learners.parameters(plan.sizes), bool(t), int(hit[pdf["test"] == t].sum()), int((pdf["test"] == t).sum())) for t in (False, True)]
                 yield pd.DataFrame(out, columns=["config", "parameters", "test", "hits", "n"])
 
     scored = rows.select("x", "label", "test").mapInPandas(score, "config string, parameters int, test boolean, hits long, n long")
@@ -234,8 +220,8 @@ def networks(spark: SparkSession, d: str, configs: list[tuple], activation: str,
     return scored.groupBy("config", "parameters").agg(share(~F.col("test")).alias("train_accuracy"), share(F.col("test")).alias("test_accuracy"))
 
 
-query("ml_mlp_scratch")(lambda spark, d: networks(spark, d, [("scratch", [64], False, 0.12, 1)], "sigmoid", 10, 0.0))
-query("ml_mlp_configs")(lambda spark, d: networks(spark, d, CONFIGS, "relu", 20, 0.1))
+query("ml_mlp_scratch")(lambda spark, d: networks(spark, d, [("scratch", [64], False, 0.12, 1)], "sigmoid", 50, 0.0))
+query("ml_mlp_configs")(lambda spark, d: networks(spark, d, CONFIGS, "relu", 100, 0.1))
 SIZES = " UNION ALL ".join(f"SELECT '{c[0]}' AS config, {learners.parameters([64, *c[1], 10])}::INTEGER AS parameters" for c in CONFIGS)
 query("ml_param_count", SIZES)(lambda spark, d: spark.createDataFrame([(c[0], [64, *c[1], 10]) for c in CONFIGS], "config string, sizes array<int>").select("config", F.aggregate(F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), lambda i: (F.get("sizes", i - 1) + 1) * F.get("sizes", i)), F.lit(0), lambda a, b: a + b).alias("parameters")))
 query("ev_overfit", " SELECT config, CASE WHEN gap < 5 THEN 'good' WHEN gap < 15 THEN 'slight' ELSE 'strong' END AS verdict FROM (VALUES ('a', 3.0), ('b', 7.5), ('c', 15.0)) t(config, gap)")(
