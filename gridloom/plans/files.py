@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import streaming
+from gridloom.operators import loads
 from gridloom.operators.raster import image
 from gridloom.operators.sales import sales
 from gridloom.operators.series import measurements
 from gridloom.plans import series as series_plans
 from gridloom.plans import sqltext as q
 from gridloom.plans import warehouse as w
-from gridloom.sources import delimited, netpbm
+from gridloom.sources import database, delimited, netpbm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +37,11 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder: below the shared one where the session names it, else a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    """A new folder below the shared one; for local sessions without one, a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
@@ -133,12 +137,34 @@ def src_mnist(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("vec_id", "label", F.size(F.array(*[f"p{i}" for i in range(64)])).alias("pixels"))
 
 
-@query("src_jdbc_query", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+JDBC_QUERY = "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name"
+
+
+def database_of(spark: SparkSession) -> str:
+    """The JDBC address that the session names; a local session has Derby, which comes with Spark, in its own memory."""
+    url = spark.sparkContext.getConf().get("spark.gridloom.jdbc.url")
+    if not url and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.gridloom.jdbc.url to a database that the driver and all executors reach")
+    return url or f"jdbc:derby:memory:gridloom{uuid.uuid4().hex[:8]};create=true"
+
+
+@query("src_jdbc_query", JDBC_QUERY)
 def src_jdbc_query(spark: SparkSession, d: str) -> DataFrame:
-    """A query text over catalog tables; with a database, the same text goes to spark.read.jdbc as its query option."""
+    """Tables appended to a database, and a query that the database answers."""
+    url, mark = database_of(spark), uuid.uuid4().hex[:8]
     for t in ("region", "nation"):
-        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(f"gl_src_{t}")
-    return spark.sql("SELECT r_name, count(*) AS n FROM gl_src_region JOIN gl_src_nation ON n_regionkey = r_regionkey GROUP BY r_name")
+        database.append(spark.read.parquet(f"{d}/{t}.parquet"), url, f"gl_{t}_{mark}", createTableColumnTypes=f"{t[0]}_name VARCHAR(64)")
+    text = f"SELECT \"r_name\", count(*) AS \"n\" FROM gl_region_{mark} JOIN gl_nation_{mark} ON \"n_regionkey\" = \"r_regionkey\" GROUP BY \"r_name\""
+    return database.read(spark, url, text).select("r_name", F.col("n").cast("long").alias("n"))
+
+
+@query("src_jdbc_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority LIKE '1%'")
+def src_jdbc_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written to a database in batches and scanned by ranges of their key; the filter goes to the database."""
+    url, table = database_of(spark), f"gl_orders_{uuid.uuid4().hex[:8]}"
+    database.append(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority"), url, table, createTableColumnTypes="o_orderpriority VARCHAR(32)")
+    rows = database.read(spark, url, f'SELECT * FROM {table}', '"o_orderkey"', rows=5_000)
+    return rows.where("o_orderpriority LIKE '1%'").select("o_orderkey", "o_custkey")
 
 
 query("src_max_id", "SELECT coalesce(max(o_orderkey), 0) AS max_id, 0::BIGINT AS empty_id FROM orders")(
@@ -226,8 +252,46 @@ def rerun(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("dml_truncate", REGION_ROWS)(rerun)
-query("dml_append_rerun", REGION_ROWS)(rerun)
-query("txn", REGION_ROWS)(rerun)
+
+
+def store_of(spark: SparkSession, name: str, schema: str) -> loads.Store:
+    return loads.Store(spark, f"gl_{name}_{uuid.uuid4().hex[:8]}", schema, scratch(spark, name))
+
+
+@query("dml_append_rerun", "SELECT o_orderkey AS ticket, any_value(o_custkey) AS client FROM orders GROUP BY o_orderkey")
+def dml_append_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of orders, of which the second is loaded twice: a batch that is run again doubles nothing."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ticket"), F.col("o_custkey").alias("client"))
+    store = store_of(spark, "rerun", "ticket BIGINT, client BIGINT")
+    for batch in (0, 1, 1, 2):
+        store.append(orders.where(F.pmod("ticket", F.lit(3)) == batch), ["ticket"], loads.unique("ticket"))
+    return store.rows()
+
+
+@query("txn", REGION_ROWS)
+def txn(spark: SparkSession, d: str) -> DataFrame:
+    """Loads that fail, half-way in a task or by a check, leave the rows of the load before."""
+    store, regions = store_of(spark, "txn", "region STRING"), sales(spark, d, "region").distinct()
+    store.replace(regions, loads.unique("region"), loads.not_null("region"))
+    fails = regions.withColumn("region", F.when(F.col("region") > "B", F.raise_error(F.lit("half-way"))).otherwise(F.col("region")))
+    for rows in (fails, regions.union(regions), regions.union(spark.createDataFrame([(None,)], "region string"))):
+        try:
+            store.replace(rows, loads.unique("region"), loads.not_null("region"))
+        except Exception:  # noqa: S110  each of them must fail
+            continue
+        raise AssertionError("a load that fails was taken")
+    return store.rows()
+
+
+@query("key_incremental", "SELECT CAST(row_number() OVER (ORDER BY batch, o_clerk NULLS FIRST) AS BIGINT) AS clerk_id, o_clerk AS clerk FROM (SELECT o_clerk, min(o_orderkey % 3) AS batch FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority || o_custkey END AS o_clerk FROM orders) GROUP BY o_clerk)")
+def key_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """A stored map of labels to keys, extended by three batches, the second of them twice: old labels keep their keys, new
+    ones are numbered after the largest."""
+    label = F.when(F.col("o_orderkey") % 7 != 0, F.concat("o_orderpriority", F.col("o_custkey").cast("string")))
+    orders, store = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", label.alias("clerk")), store_of(spark, "keys", "clerk_id BIGINT, clerk STRING")
+    for batch in (0, 1, 1, 2):
+        store.replace(loads.extended(store.rows(), orders.where(F.col("o_orderkey") % 3 == batch), "clerk", "clerk_id"), loads.unique("clerk_id"), loads.unique("clerk"))
+    return store.rows()
 
 
 @query("snk_sql_append", S_SQL("SELECT region, 2::BIGINT AS n FROM (SELECT DISTINCT region FROM sales)"))
