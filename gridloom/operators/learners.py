@@ -10,9 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.quantiles import held
+
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     """exp(-gamma |a - b|^2) of all rows; rounding cannot make a distance negative."""
@@ -21,56 +23,40 @@ def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
 
 
 class Smo:
-    """Binary kernel SVM. Pairs of multipliers move along their constraint to the best point until a number of sweeps
-    change nothing; the partner of a violator is the one whose error differs most."""
+    """Binary kernel SVM by sequential minimal optimisation on the gradient of the dual.
+
+    Each step takes the row that violates the optimality conditions most, and of the rows that pair with it the one whose
+    pair promises the largest gain by its second-order model. It ends when no pair violates the conditions by more than
+    the tolerance, or after `most` steps a row.
+    """
 
-    def __init__(self, c: float = 1.0, gamma: float = 0.5, tolerance: float = 1e-3, sweeps: int = 3, most: int = 200, seed: int = 42):
-        self.c, self.gamma, self.tolerance, self.sweeps, self.most, self.rng = c, gamma, tolerance, sweeps, most, np.random.default_rng(seed)
+    def __init__(self, c: float = 1.0, gamma: float = 0.5, tolerance: float = 1e-3, most: int = 1000):
+        self.c, self.gamma, self.tolerance, self.most = c, gamma, tolerance, most
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Smo:
-        k, n = rbf(x, x, self.gamma), len(y)
-        a, b, error = np.zeros(n), 0.0, -y.astype(float)
-        quiet = rounds = 0
-        while quiet < self.sweeps and rounds < self.most:
-            moved = 0
-            for i in self.rng.permutation(n):
-                slack = y[i] * error[i]
-                if not (slack < -self.tolerance and a[i] < self.c or slack > self.tolerance and a[i] > 0):
-                    continue
-                gap = np.abs(error - error[i])
-                gap[i] = -1.0
-                j = int(gap.argmax())
-                same = y[i] == y[j]
-                low = max(0.0, a[i] + a[j] - self.c) if same else max(0.0, a[j] - a[i])
-                high = min(self.c, a[i] + a[j]) if same else min(self.c, self.c + a[j] - a[i])
-                if high - low < 1e-10:
-                    continue
-                bend = k[i, i] + k[j, j] - 2 * k[i, j]
-                pull = y[j] * (error[i] - error[j])
-                if bend > 0:
-                    new_j = min(high, max(low, a[j] + pull / bend))
-                else:  # the objective is linear along the segment: an end is best
-                    gain = lambda t: pull * (t - a[j]) - bend / 2 * (t - a[j]) ** 2  # noqa: B023, E731
-                    ends = gain(low), gain(high)
-                    if abs(ends[0] - ends[1]) <= self.tolerance:
-                        continue
-                    new_j = low if ends[0] > ends[1] else high
-                dj = new_j - a[j]
-                if abs(dj) < 1e-7:
-                    continue
-                new_i = min(self.c, max(0.0, a[i] - y[i] * y[j] * dj))
-                di = new_i - a[i]
-                free_i = b - error[i] - y[i] * di * k[i, i] - y[j] * dj * k[i, j]
-                free_j = b - error[j] - y[i] * di * k[i, j] - y[j] * dj * k[j, j]
-                inside = lambda t: 1e-7 < t < self.c - 1e-7
-                new_b = free_i if inside(new_i) else free_j if inside(new_j) else (free_i + free_j) / 2
-                error += y[i] * di * k[:, i] + y[j] * dj * k[:, j] + new_b - b
-                a[i], a[j], b = new_i, new_j, new_b
-                moved += 1
-            rounds += 1
-            quiet = 0 if moved else quiet + 1
-        keep = a > 1e-7
-        self.x, self.weight, self.b = x[keep], (a * y)[keep], b
+        k, n, plus = rbf(x, x, self.gamma), len(y), y > 0
+        own, a, slope = np.diag(k).copy(), np.zeros(n), np.full(n, -1.0)
+        top = bottom = 0.0
+        for _ in range(self.most * n):
+            score = -y * slope
+            can_rise, can_fall = np.where(plus, a < self.c, a > 0), np.where(plus, a > 0, a < self.c)
+            if not can_rise.any() or not can_fall.any():
+                break
+            i = int(np.where(can_rise, score, -np.inf).argmax())
+            top, bottom = score[i], np.where(can_fall, score, np.inf).min()
+            if top - bottom < self.tolerance:
+                break
+            gap, bend = top - score, np.maximum(own[i] + own - 2 * k[i], 1e-12)
+            j = int(np.where(can_fall & (gap > 0), gap * gap / bend, -np.inf).argmax())
+            step = min(gap[j] / bend[j], self.c - a[i] if plus[i] else a[i], a[j] if plus[j] else self.c - a[j])
+            a[i], a[j] = a[i] + y[i] * step, a[j] - y[j] * step
+            for t in (i, j):  # at a bound exactly, or rounding would leave it open
+                a[t] = 0.0 if a[t] < 1e-12 else self.c if a[t] > self.c - 1e-12 else a[t]
+            slope += y * step * (k[i] - k[j])
+        free = (a > 0) & (a < self.c)
+        self.b = float((-y * slope)[free].mean()) if free.any() else float(top + bottom) / 2
+        self.kept = a > 1e-7
+        self.x, self.weight = x[self.kept], (a * y)[self.kept]
         return self
 
     def decision(self, x: np.ndarray) -> np.ndarray:
@@ -80,23 +66,77 @@ class Smo:
 MODEL = "c1 int, c2 int, sv array<array<double>>, coef array<double>, b double"
 
 
-def one_vs_one(train: DataFrame, classes: list[int], most: int = 3000, c: float = 1.0, gamma: float = 0.5) -> DataFrame:
-    """A model per pair of classes, from (id, x, label): c1 is +1, c2 is -1. A pair's rows fit in one task by contract:
-    at most `most` rows of a class, the first by a hash of their id. About so many of a larger class are sent, by the
-    share of the hashes that its count asks for."""
-    span = 1 << 20
-    counts = train.groupBy(F.col("label").alias("_label")).agg((1.2 * most * span / F.count("*") + 64).alias("_upto"))
-    ranked = train.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(span))).join(counts, F.col("label") == F.col("_label")).where("_h < _upto").drop("_label", "_upto")
-    pairs = train.sparkSession.createDataFrame([(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]], "c1 int, c2 int")
-    rows = ranked.join(F.broadcast(pairs), (F.col("label") == F.col("c1")) | (F.col("label") == F.col("c2"))).select("c1", "c2", "label", "id", "x", "_h")
+#: Rows that one fit takes, unless more of them are support vectors; parts that one step of the cascade merges.
+FIT_ROWS, MERGED = 6000, 2
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "id"]).groupby("label", sort=False).head(most)
-        x, c1, c2 = np.stack(pdf["x"]).astype(float), int(pdf["c1"].iloc[0]), int(pdf["c2"].iloc[0])
-        model = Smo(c, gamma).fit(x, np.where(pdf["label"].to_numpy() == c1, 1.0, -1.0))
-        return pd.DataFrame([{"c1": c1, "c2": c2, "sv": model.x.tolist(), "coef": model.weight.tolist(), "b": float(model.b)}])
 
-    return rows.groupBy("c1", "c2").applyInPandas(fit, MODEL)
+def one_vs_one(train: DataFrame, classes: list[int], c: float = 1.0, gamma: float = 0.5, fit_rows: int = FIT_ROWS, rounds: int = 20, tolerance: float = 0.05) -> DataFrame:
+    """A model per pair of classes, from (id, x, label): c1 is +1, c2 is -1. Fitted on all rows, by a cascade.
+
+    A pair's rows are dealt by a hash of their id to parts of about fit_rows. Each part is fitted, its support vectors go
+    on to the next step, where parts are merged two by two, and so on to one model. That is held against all rows: of
+    those that it leaves on the wrong side of the margin, by more than the tolerance, and that are no support vectors of
+    it, the worst fit_rows join its support vectors in another fit, whose objective cannot be less; until there are none
+    or `rounds` are over. A task holds a part, or the model and so many rows. A pair of one part is one fit.
+    """
+    spark = train.sparkSession
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]], "c1 int, c2 int")
+    of_pair = (F.col("label") == F.col("c1")) | (F.col("label") == F.col("c2"))
+    rows = train.join(F.broadcast(pairs), of_pair).select("c1", "c2", F.col("label").cast("int").alias("label"), F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+
+    def fit(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Smo]:
+        pdf = pdf.assign(h=pd.util.hash_array(pdf["id"].to_numpy().astype("<u8"))).sort_values(["h", "id"])
+        x, c1 = np.stack(pdf["x"]).astype(float), int(pdf["c1"].iloc[0])
+        model = Smo(c, gamma).fit(x, np.where(pdf["label"].to_numpy() == c1, 1.0, -1.0))
+        return pdf, model
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, model = fit(pdf)
+        return pdf[model.kept][["c1", "c2", "part", "label", "id", "x"]]
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, model = fit(pdf)
+        return pd.DataFrame([{"c1": pdf["c1"].iloc[0], "c2": pdf["c2"].iloc[0], "sv": model.x.tolist(), "coef": model.weight.tolist(), "b": float(model.b), "ids": pdf["id"][model.kept].tolist()}])
+
+    def cascade(some: DataFrame) -> DataFrame:
+        parts = some.groupBy("c1", "c2").agg(F.ceil(F.count("*") / fit_rows).cast("int").alias("parts"))
+        some = some.join(F.broadcast(parts), ["c1", "c2"])  # a row for each pair of classes
+        some = some.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
+        left = parts.agg(F.max("parts")).first()[0] or 1
+        while left > 1:
+            many = some.groupBy("c1", "c2", "part").applyInPandas(reduced, "c1 int, c2 int, part int, label int, id long, x array<double>")
+            some, left = held(many.withColumn("part", F.floor(F.col("part") / MERGED).cast("int"))), ceil(left / MERGED)
+        return held(some.groupBy("c1", "c2").applyInPandas(last, MODEL + ", ids array<long>"))
+
+    several = rows.groupBy("c1", "c2").count().where(F.col("count") > fit_rows).limit(1).count() > 0
+    models = cascade(rows)
+    for _ in range(rounds if several else 0):
+        found = {(m["c1"], m["c2"]): m for m in models.collect()}  # a row for each pair of classes
+
+        def wrong(batches: Iterator[pd.DataFrame], found=found) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keep, by = np.zeros(len(pdf), bool), np.zeros(len(pdf))
+                for (c1, c2), at in pdf.groupby(["c1", "c2"]).indices.items():
+                    m, part = found[c1, c2], pdf.iloc[at]
+                    own = np.array([np.asarray(v) for v in m["sv"]], float)
+                    f = rbf(np.stack(part["x"]).astype(float), own, gamma) @ np.array(m["coef"], float) + m["b"] if len(own) else np.full(len(at), m["b"])
+                    margin = np.where(part["label"].to_numpy() == c1, f, -f)
+                    keep[at], by[at] = (margin < 1 - tolerance) & ~part["id"].isin(m["ids"]).to_numpy(), margin
+                yield pdf.assign(margin=by)[keep]
+
+        worst = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("margin", "id"))
+        more = held(rows.mapInPandas(wrong, "c1 int, c2 int, label int, id long, x array<double>, margin double").withColumn("_r", worst).where(F.col("_r") <= fit_rows).drop("margin", "_r"))
+        if not more.limit(1).count():
+            break
+        vectors = rows.join(models.select("c1", "c2", F.explode("ids").alias("id")), ["c1", "c2", "id"]).select(rows.columns)
+        models = held(vectors.union(more).groupBy("c1", "c2").applyInPandas(last, MODEL + ", ids array<long>"))
+    return models.drop("ids")
+
+
+def scale_gamma(train: DataFrame) -> float:
+    """The kernel width 1 / (components * variance of all of them) of the vectors x; 1 where that has no value."""
+    width, spread = train.select(F.size("x").alias("n"), F.explode("x").alias("v")).agg(F.max("n"), F.var_pop("v")).first()
+    return 1.0 / (width * spread) if spread else 1.0
 
 
 def vote(rows: DataFrame, models: DataFrame, gamma: float = 0.5) -> DataFrame:

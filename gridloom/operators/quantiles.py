@@ -13,8 +13,8 @@ LIMIT = 100_000
 ACCURACY, PROPOSALS = 10_000, 1024
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df, small, computed once: a checkpoint in the folder that the cluster names, for local sessions a temporary one."""
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once: a checkpoint in the folder that the cluster names, for local sessions a temporary one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
@@ -60,7 +60,7 @@ def bounds(rows: DataFrame, probabilities: list[float], by: list[str], limit: in
         at = F.lit(float(p)) * (F.col("n") - 1)
         return struct(rank=F.floor(at), part=at - F.floor(at), lo=none, below=zero, upto=zero, hi=none, under=F.col("n"), a=F.col("_s")[2 * i], b=F.col("_s")[2 * i + 1])
 
-    state = _held(start.select(*by, "n", F.array(*[target(i, p) for i, p in enumerate(probabilities)]).alias("t")))
+    state = held(start.select(*by, "n", F.array(*[target(i, p) for i, p in enumerate(probabilities)]).alias("t")))
     grid = [i / proposals for i in range(proposals + 1)]
     for _ in range(passes):
         if not state.where(F.exists("t", lambda t: _inside(t) > limit)).limit(1).count():
@@ -89,7 +89,7 @@ def bounds(rows: DataFrame, probabilities: list[float], by: list[str], limit: in
             out = struct(rank=t["rank"], part=t["part"], lo=lo, below=below, upto=upto, hi=hi, under=under, a=of_grid(-2), b=of_grid(3))
             return F.when(_inside(t) > limit, out).otherwise(t)
 
-        state = _held(counted.select(*by, "n", F.array(*[narrowed(i) for i in range(len(probabilities))]).alias("t")))
+        state = held(counted.select(*by, "n", F.array(*[narrowed(i) for i in range(len(probabilities))]).alias("t")))
     return state
 
 

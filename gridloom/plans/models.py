@@ -172,6 +172,14 @@ def support(spark: SparkSession, d: str) -> DataFrame:
     return pair_models(spark, d, CLASSES).select("c1", "c2", F.size("sv").alias("support_vectors"))
 
 
+def rbf_svc(spark: SparkSession, d: str) -> DataFrame:
+    """(id, predicted) of test rows by one-vs-one kernel machines whose width comes from the training rows."""
+    train, test = split(vectors(spark, d))
+    gamma = learners.scale_gamma(train)
+    return learners.vote(test, learners.one_vs_one(train.drop("test"), CLASSES, gamma=gamma), gamma)
+
+
+query("ml_svc_rbf")(rbf_svc)
 query("ml_smo")(lambda spark, d: pair_models(spark, d, [0, 1]).select("c1", "c2", F.size("sv").alias("support_vectors"), F.round("b", 3).alias("b")))
 query("ev_sv_count")(support)
 query("topk_pairs")(lambda spark, d: support(spark, d).orderBy(F.col("support_vectors").desc(), "c1", "c2").limit(15))
