@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BLANKS
+from gridloom.llm.common import BLANKS, spool
 
 
 def _whole(x: int) -> Column:
@@ -52,7 +52,7 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _verdicts(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_h128, _sha, keep_id, group_size, _keep) of each group, _keep being the hash of the row that stays: of the rows of
     the largest rank, which differ in white space only, the one of the least hash."""
-    known = groups(docs, id_col, text_col)
+    known, _ = spool(groups(docs, id_col, text_col), "groups")  # read twice
     ties = rows.join(known, [rows["_h128"] == known["_h128"], rows["_sha"] == known["_sha"], rows["_rank"] == known["_best"]], "left_semi")
     return known.join(ties.groupBy("_h128", "_sha").agg(F.min("_node").alias("_keep")), ["_h128", "_sha"])
 
@@ -65,7 +65,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one row. What is joined is narrow: no text moves but those that the grouping compares. An empty table gives an empty
     result.
     """
-    rows = _narrow(docs, id_col, text_col)
+    rows, _ = spool(_narrow(docs, id_col, text_col), "rows")
     judged = rows.join(_verdicts(docs, rows, id_col, text_col), ["_h128", "_sha"])
     first = F.row_number().over(Window.partitionBy("_node", "_h128").orderBy("_sha")) == 1
     return judged.select("id", "keep_id", "group_size", ((F.col("_node") == F.col("_keep")) & first).alias("kept"), F.lower(F.hex("_sha")).alias("sha256"))
