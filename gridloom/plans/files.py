@@ -7,7 +7,8 @@ import tarfile
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -360,20 +361,47 @@ def st_poll(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink).agg(F.count("*").alias("n"))
 
 
-BINS = "SELECT time_bucket(INTERVAL {0} MINUTES, ts, TIMESTAMP '1970-01-01') AS start, round(sum(total), 4) AS sum FROM m GROUP BY 1"
-for minutes in (15, 30, 45, 60):
+BINS = "SELECT time_bucket(INTERVAL {0} MINUTES, ts, TIMESTAMP '1970-01-01') AS start, round(sum(total), 4) AS sum FROM m{1} GROUP BY 1"
+MOVED = "event_id % 10 = 0 AND ts < start + (stop - start) / 4 - INTERVAL 1 DAY"  # the rows of a collector that was cut off
+
 
-    def st_tumbling(spark: SparkSession, d: str, minutes: int = minutes) -> DataFrame:
-        rows = streaming.tumbling(streaming.replay(spark, recorded(spark, d)), minutes)
-        return streaming.collect_complete(rows, f"gl_tumbling_{minutes}_{uuid.uuid4().hex[:8]}", scratch(spark, "mark"))
+def arrivals(spark: SparkSession, d: str, moved: str) -> Iterator[DataFrame]:
+    """Measurements as they arrive: four parts in the order of time, those that are moved in the last of them, and a beat,
+    a row without values whose time closes all windows before it."""
+    m = measurements(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = m.agg(F.min("ts").alias("start"), F.max("ts").alias("stop"))
+    stop = ends.first()["stop"]
+    length = F.unix_micros("stop") - F.unix_micros("start")
+    part = F.least(F.lit(3), F.floor(F.try_divide(4 * (F.unix_micros("ts") - F.unix_micros("start")), length)))
+    rows = m.crossJoin(F.broadcast(ends)).withColumn("part", F.when(F.expr(moved), 3).otherwise(F.coalesce(part, F.lit(3))))
+    for n in range(4):
+        yield rows.where(F.col("part") == n).select(*m.columns)
+    beat = spark.createDataFrame([((stop or datetime(2000, 1, 1)) + timedelta(days=3),)], "ts timestamp")
+    yield beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in m.dtypes])
 
-    query("st_tumbling" if minutes == 15 else f"st_tumbling_{minutes}", M_SQL(BINS.format(minutes)))(st_tumbling)
+
+def final(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], moved: str = "false") -> DataFrame:
+    """What an aggregating stream has appended to its files, started anew for each part that arrives."""
+    path, sink, mark = scratch(spark, "arrived"), scratch(spark, "sink"), scratch(spark, "mark")
+    for rows in arrivals(spark, d, moved):
+        rows.write.mode("append").parquet(path)
+        streaming.drain(build(streaming.replay(spark, path, None)), sink, mark)
+    return spark.read.parquet(sink)
 
 
-@query("st_session_summary", M_SQL("SELECT session_id, count(*) AS n, round(sum(download), 4) AS download, round(sum(upload), 4) AS upload, round(sum(total), 4) AS total FROM m GROUP BY session_id"))
-def st_session_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = streaming.session_summary(streaming.replay(spark, recorded(spark, d)))
-    return streaming.collect_complete(rows, f"gl_sessions_{uuid.uuid4().hex[:8]}", scratch(spark, "mark"))
+for minutes in (15, 30, 45, 60):
+    query("st_tumbling" if minutes == 15 else f"st_tumbling_{minutes}", M_SQL(BINS.format(minutes, "")))(lambda spark, d, minutes=minutes: final(spark, d, lambda rows: streaming.tumbling(rows, minutes)))
+# rows that come weeks late find their windows final
+query("st_late", M_SQL(BINS.format(60, f", (SELECT min(ts) AS start, max(ts) AS stop FROM m) WHERE NOT ({MOVED})")).replace("time_bucket(INTERVAL 60 MINUTES, ts", "time_bucket(INTERVAL 60 MINUTES, m.ts"))(
+    lambda spark, d: final(spark, d, lambda rows: streaming.tumbling(rows, 60), MOVED)
+)
+query("st_session_summary", M_SQL("SELECT session_id, count(*) AS n, round(sum(download), 4) AS download, round(sum(upload), 4) AS upload, round(sum(total), 4) AS total FROM m GROUP BY session_id"))(
+    lambda spark, d: final(spark, d, streaming.session_summary)
+)
+query(
+    "st_session_window",
+    M_SQL("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS end, count(*) AS n, round(sum(total), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM m)) GROUP BY user_id, s"),
+)(lambda spark, d: final(spark, d, lambda rows: streaming.sessions(rows, "6 hours")))
 
 
 @query("st_delta_state", series_plans.ORACLES["win_lag_delta"].replace("SELECT event_id, CASE WHEN row", "SELECT user_id, event_id, CASE WHEN row"))

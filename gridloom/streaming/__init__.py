@@ -15,9 +15,10 @@ from gridloom.operators import series
 SCHEMA = "event_id long, ts timestamp, user_id long, status string, download double, upload double, total double, session_id string"
 
 
-def replay(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream of the files of a folder, so many in a batch."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+def replay(spark: SparkSession, path: str, files: int | None = 1) -> DataFrame:
+    """A stream of the files of a folder, so many in a batch, or all that are new."""
+    stream = spark.readStream.schema(SCHEMA)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
 
 
 def enrich(rows: DataFrame) -> DataFrame:
@@ -30,12 +31,22 @@ def enrich(rows: DataFrame) -> DataFrame:
 
 
 def tumbling(rows: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
-    """Sums of windows of so many minutes; rows later than the watermark are dropped once their window is final."""
+    """(start, sum) of windows of so many minutes. Streamed in append mode, a window is given once, when the watermark has
+    passed its end, and its state is dropped then; rows of a window that is final are left out."""
     return rows.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.sum("total").alias("sum")).select(F.col("w.start").alias("start"), F.round("sum", 4).alias("sum"))
 
 
-def session_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.sum("download"), 4).alias("download"), F.round(F.sum("upload"), 4).alias("upload"), F.round(F.sum("total"), 4).alias("total"))
+def session_summary(rows: DataFrame, span: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Rows and sums of each session id and span. An id that holds its day has one span; final once the span has passed."""
+    found = rows.withWatermark("ts", late).groupBy("session_id", F.window("ts", span).alias("w"))
+    return found.agg(F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in ("download", "upload", "total")]).drop("w")
+
+
+def sessions(rows: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+    """(user_id, start, end, n, total): runs of a user's rows of which each comes within the gap after the one before; end
+    is the last row's time and the gap. Sessions that a late row joins are merged while their state is there."""
+    found = rows.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    return found.agg(F.count("*").alias("n"), F.round(F.sum("total"), 4).alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
 def delta(rows: DataFrame) -> DataFrame:
@@ -60,12 +71,6 @@ def drain(rows: DataFrame, sink: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def collect_complete(rows: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """The final state of an aggregating stream over what there is now, as a table in memory."""
-    rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.table(name)
-
-
 class _Counters(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"sample": 0}
