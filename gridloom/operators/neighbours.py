@@ -44,13 +44,14 @@ def _groups(queries: int, candidates: int, cores: int) -> tuple[int, int]:
 Meet = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _meet(train: DataFrame, test: DataFrame, pair: Meet, schema: str, id_col: str, vector_col: str) -> DataFrame:
+def _meet(train: DataFrame, test: DataFrame, pair: Meet, schema: str, id_col: str, vector_col: str, wide: int = 1) -> DataFrame:
     """What pair gives of the (query ids, query vectors, ids, vectors) of each tile of test with each of train.
 
     A pair of groups of tiles meets in one task, which holds the query tiles, a bounded number, and reads the others.
+    Vectors of test may be so many times as wide as those of train; a task holds the fewer of them then.
     """
     narrow = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    of_test, of_train = _groups(test.count(), train.count(), train.sparkSession.sparkContext.defaultParallelism)
+    of_test, of_train = _groups(wide * test.count(), train.count(), train.sparkSession.sparkContext.defaultParallelism)
     place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tiles = narrow(train).mapInArrow(_tiles, "ids binary, cells binary")
@@ -271,3 +272,72 @@ def regress(neighbours: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(F.when(~F.col("exact"), 1 / F.col("distance"))).alias("b"),
     )
     return sums.select("test_id", F.when(F.col("any_exact"), F.col("at")).otherwise(F.col("a") / F.col("b")).alias("predicted"))
+
+
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least distances of each row (fewer, if there are not so many), equal ones by id."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+
+
+def by_share(rows: DataFrame, k: int, shares: int, p: float = 2) -> DataFrame:
+    """(share, test_id, rank, train_id, distance): for each share and row, the k nearest rows of other folds whose number is
+    at most the share. rows: (id, x, fold, number) with numbers from 1 to shares, so shares are nested.
+
+    One pass serves all shares: a pair of tiles sends a row that is among the k nearest of any share once, and the shares
+    that hold it are told from its number after the shuffle.
+    """
+    tagged = rows.select("id", F.concat(F.array(F.col("fold").cast("double"), F.col("number").cast("double")), F.col("x").cast("array<double>")).alias("x"))
+
+    def best(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d = distances(q_cells[:, 2:], cells_[:, 2:], p)
+        d[q_cells[:, :1] == cells_[:, 0]] = np.inf
+        take = np.zeros(d.shape, bool)
+        for share in range(1, shares + 1):
+            held = np.flatnonzero(cells_[:, 1] <= share)
+            near = held[_least(d[:, held], ids[held], k)]
+            np.put_along_axis(take, near, True, axis=1)
+        q, t = np.nonzero(take & np.isfinite(d))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q_ids[q], ids[t], cells_[t, 1].astype(np.int32), d[q, t])], ["test_id", "train_id", "number", "distance"])
+
+    met = _meet(tagged, tagged, best, "test_id long, train_id long, number int, distance double", "id", "x")
+    each = met.withColumn("share", F.explode(F.sequence("number", F.lit(shares)))).drop("number")
+    order = Window.partitionBy("share", "test_id").orderBy("distance", "train_id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("share", "test_id", "rank", "train_id", "distance")
+
+
+def exchanged(train: DataFrame, test: DataFrame, k: int, repeats: int) -> DataFrame:
+    """(test_id, feature, repeat, predicted): the label that the k nearest rows vote for if a row of test takes one component
+    from another row; feature and repeat are -1 for the row as it is. The least label of equals, ties to the smaller id.
+
+    train: (id, x, label), test: (id, x, others) with a vector for each repeat. Euclidean: a square distance loses the old
+    component's term and gains the new one's, so a pair of tiles measures its rows once. It sends, for each variant of a
+    query, k (distance, id, label) on. Labels are whole numbers.
+    """
+    marked = train.select("id", F.concat(F.array(F.col("label").cast("double")), F.col("x").cast("array<double>")).alias("x"))
+    asked = test.select("id", F.concat(F.col("x").cast("array<double>"), F.flatten(F.col("others").cast("array<array<double>>"))).alias("x"))
+
+    def best(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ids, kind="stable")
+        ids, label, x = ids[order], cells_[order, 0].astype(np.int32), cells_[order, 1:]
+        n = x.shape[1]
+        own, put = q_cells[:, :n], q_cells[:, n:].reshape(len(q_ids), repeats, n)
+        for at in range(len(q_ids)):
+            terms = (own[at] - x) ** 2
+            square = terms.sum(axis=1)
+            near = np.argsort(square, kind="stable")[None, :k]
+            parts = [(np.array([-1]), np.array([-1]), near, square[near])]
+            for i in range(n):
+                d = (square - terms[:, i])[None] + (put[at, :, i][:, None] - x[:, i]) ** 2
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                parts.append((np.full(repeats, i), np.arange(repeats), near, np.take_along_axis(d, near, axis=1)))
+            feature, repeat, near, d = (np.concatenate(v) for v in zip(*parts))
+            wide = near.shape[1]
+            columns = [np.full(near.size, q_ids[at]), np.repeat(feature, wide).astype(np.int32), np.repeat(repeat, wide).astype(np.int32), d.ravel(), ids[near].ravel(), label[near].ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["test_id", "feature", "repeat", "d", "train_id", "label"])
+
+    met = _meet(marked, asked, best, "test_id long, feature int, repeat int, d double, train_id long, label int", "id", "x", 1 + repeats)
+    key = ["test_id", "feature", "repeat"]
+    kept = met.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("d", "train_id"))).where(F.col("rank") <= k)
+    votes = kept.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    return votes.groupBy(*key).agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("predicted"))

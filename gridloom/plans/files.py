@@ -365,25 +365,26 @@ BINS = "SELECT time_bucket(INTERVAL {0} MINUTES, ts, TIMESTAMP '1970-01-01') AS
 MOVED = "event_id % 10 = 0 AND ts < start + (stop - start) / 4 - INTERVAL 1 DAY"  # the rows of a collector that was cut off
 
 
-def arrivals(spark: SparkSession, d: str, moved: str) -> Iterator[DataFrame]:
-    """Measurements as they arrive: four parts in the order of time, those that are moved in the last of them, and a beat,
-    a row without values whose time closes all windows before it."""
+def arrivals(spark: SparkSession, d: str, moved: str, parts: int) -> Iterator[DataFrame]:
+    """Measurements as they arrive: so many parts in the order of time, the last with those that are moved and with a beat, a row
+    without values whose time closes all windows before it."""
     m = measurements(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     ends = m.agg(F.min("ts").alias("start"), F.max("ts").alias("stop"))
     stop = ends.first()["stop"]
     length = F.unix_micros("stop") - F.unix_micros("start")
-    part = F.least(F.lit(3), F.floor(F.try_divide(4 * (F.unix_micros("ts") - F.unix_micros("start")), length)))
-    rows = m.crossJoin(F.broadcast(ends)).withColumn("part", F.when(F.expr(moved), 3).otherwise(F.coalesce(part, F.lit(3))))
-    for n in range(4):
-        yield rows.where(F.col("part") == n).select(*m.columns)
+    part = F.least(F.lit(parts - 1), F.floor(F.try_divide(parts * (F.unix_micros("ts") - F.unix_micros("start")), length)))
+    rows = m.crossJoin(F.broadcast(ends)).withColumn("part", F.when(F.expr(moved), parts - 1).otherwise(F.coalesce(part, F.lit(parts - 1))))
     beat = spark.createDataFrame([((stop or datetime(2000, 1, 1)) + timedelta(days=3),)], "ts timestamp")
-    yield beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in m.dtypes])
+    beat = beat.select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in m.dtypes])
+    for n in range(parts):
+        some = rows.where(F.col("part") == n).select(*m.columns)
+        yield some.union(beat) if n == parts - 1 else some
 
 
-def final(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], moved: str = "false") -> DataFrame:
+def final(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], moved: str = "false", parts: int = 2) -> DataFrame:
     """What an aggregating stream has appended to its files, started anew for each part that arrives."""
     path, sink, mark = scratch(spark, "arrived"), scratch(spark, "sink"), scratch(spark, "mark")
-    for rows in arrivals(spark, d, moved):
+    for rows in arrivals(spark, d, moved, parts):
         rows.write.mode("append").parquet(path)
         streaming.drain(build(streaming.replay(spark, path, None)), sink, mark)
     return spark.read.parquet(sink)
@@ -393,7 +394,7 @@ for minutes in (15, 30, 45, 60):
     query("st_tumbling" if minutes == 15 else f"st_tumbling_{minutes}", M_SQL(BINS.format(minutes, "")))(lambda spark, d, minutes=minutes: final(spark, d, lambda rows: streaming.tumbling(rows, minutes)))
 # rows that come weeks late find their windows final
 query("st_late", M_SQL(BINS.format(60, f", (SELECT min(ts) AS start, max(ts) AS stop FROM m) WHERE NOT ({MOVED})")).replace("time_bucket(INTERVAL 60 MINUTES, ts", "time_bucket(INTERVAL 60 MINUTES, m.ts"))(
-    lambda spark, d: final(spark, d, lambda rows: streaming.tumbling(rows, 60), MOVED)
+    lambda spark, d: final(spark, d, lambda rows: streaming.tumbling(rows, 60), MOVED, 4)
 )
 query("st_session_summary", M_SQL("SELECT session_id, count(*) AS n, round(sum(download), 4) AS download, round(sum(upload), 4) AS upload, round(sum(total), 4) AS total FROM m GROUP BY session_id"))(
     lambda spark, d: final(spark, d, streaming.session_summary)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import features, learners, metrics, neighbours
@@ -269,53 +269,67 @@ query("ev_mse_mae_r2", " SELECT round(avg(pow(x[1] - x[2], 2)), 6) AS mse, round
 )
 
 
-def permutation(spark: SparkSession, d: str, repeats: int = 3) -> DataFrame:
-    """(feature, drop): loss of nearest-centroid accuracy when one component is exchanged between rows, mean of the
-    repeats. A repeat gives every row the component of its successor in the order of a hash, within a block of rows
-    whose number grows with the table."""
-    rows = vectors(spark, d).select("id", "label", "x")
-    means = rows.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect()  # a row per class
-    guess, c = np.array([r.label for r in centres]), np.array([[s.m for s in r.c] for r in centres])
-    block = F.pmod(F.xxhash64("id"), F.lit(8 + rows.count() // 50_000))
-    order = [Window.partitionBy(block).orderBy(F.xxhash64("id", F.lit(r)), "id") for r in range(repeats)]
-    others = [F.coalesce(F.lead("x").over(w), F.first("x").over(w)).alias(f"o{r}") for r, w in enumerate(order)]
+def drawn(what: str, n: int) -> Column:
+    """A number below n from the md5 of the id and a text."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(what))), 1, 6), 16, 10).cast("long"), F.lit(n)).cast("int")
 
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                x, label = np.stack(part["x"]), part["label"].to_numpy()
-                own = (x[:, None, :] - c) ** 2
-                square, out = own.sum(axis=2), []
-                hits = lambda q: int((guess[q.argmin(axis=1)] == label).sum())  # noqa: B023, E731
-                for r in range(repeats):
-                    put = (np.stack(part[f"o{r}"])[:, None, :] - c) ** 2
-                    out += [(i, hits(square - own[:, :, i] + put[:, :, i]), len(part)) for i in range(c.shape[1])]
-                yield pd.DataFrame([(-1, hits(square), len(part)), *out], columns=["feature", "hits", "n"])
-
-    found = rows.select("label", "x", *others).mapInPandas(run, "feature int, hits long, n long")
-    share = found.groupBy("feature").agg((F.sum("hits") / F.sum("n")).alias("a"))
+
+def drawn_sql(what: str, n: int | str) -> str:
+    return f"(('0x' || md5(id || '{what}')[1:6])::BIGINT % {n})::INTEGER"
+
+
+REPEATS = 10
+
+
+def permutation(spark: SparkSession, d: str, repeats: int = REPEATS) -> DataFrame:
+    """(feature, drop, deviation): loss of 5-nearest-neighbour accuracy if test rows exchange one component, mean and
+    deviation over the repeats. A repeat gives a row the component of its successor in the order of a hash, the last one
+    that of the first, within a block of rows; the number of blocks grows with the table."""
+    train, test = split(vectors(spark, d))
+    block = drawn("block", 1 + test.count() // 50_000)
+    order = [Window.partitionBy("block").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{r}"))), "id") for r in range(repeats)]
+    rows = test.withColumn("block", block)
+    rows = rows.select("id", "x", F.array(*[F.coalesce(F.lead("x").over(w), F.first("x").over(w)) for w in order]).alias("others"))
+    found = neighbours.exchanged(train, rows, 5, repeats).join(test.select(F.col("id").alias("test_id"), "label"), "test_id")
+    share = found.groupBy("feature", "repeat").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("a"))
     base = share.where("feature < 0").select(F.col("a").alias("base"))
-    return share.where("feature >= 0").crossJoin(F.broadcast(base)).select("feature", F.round(F.col("base") - F.col("a"), 6).alias("drop"))
+    drop = share.where("feature >= 0").crossJoin(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("a"))
+    return drop.groupBy("feature").agg(F.round(F.avg("drop"), 6).alias("drop"), F.round(F.stddev_pop("drop"), 6).alias("deviation"))
+
+
+query(
+    "ev_permutation",
+    f""", o AS (SELECT id, label, x, r, coalesce(lead(x) OVER w, first(x) OVER w) AS o FROM (SELECT *, {drawn_sql("block", "(SELECT 1 + count(*) // 50000 FROM v WHERE test)")} AS block FROM v WHERE test), range({REPEATS}) t(r) WINDOW w AS (PARTITION BY r, block ORDER BY md5(id || '-' || r), id)),
+    d AS (SELECT a.id, a.label, a.r, a.x, a.o, b.id AS train_id, b.label AS guess, b.x AS y, list_sum(list_transform(range(1, 65), lambda i: pow(a.x[i] - b.x[i], 2))) AS d FROM o a JOIN v b ON NOT b.test),
+    e AS (SELECT id, label, r, i, train_id, guess, CASE WHEN i = 0 THEN d ELSE d - pow(x[i] - y[i], 2) + pow(o[i] - y[i], 2) END AS d FROM d, range(65) t(i)),
+    n AS (SELECT id, label, r, i, unnest(near) AS guess FROM (SELECT id, label, r, i, arg_min(guess, struct_pack(d := d, t := train_id), 5) AS near FROM e GROUP BY id, label, r, i)),
+    g AS (SELECT id, label, r, i, first(guess ORDER BY k DESC, guess) AS guess FROM (SELECT id, label, r, i, guess, count(*) AS k FROM n GROUP BY ALL) GROUP BY ALL),
+    a AS (SELECT r, i, avg((label = guess)::INTEGER) AS a FROM g GROUP BY r, i)
+    SELECT (a.i - 1)::INTEGER AS feature, round(avg(z.a - a.a), 6) AS drop, round(stddev_pop(z.a - a.a), 6) AS deviation FROM a JOIN a z ON z.r = a.r AND z.i = 0 WHERE a.i > 0 GROUP BY a.i""",
+)(permutation)
 
 
-query("ev_permutation")(permutation)
+SHARES = 10
 
 
 def learning_curve(spark: SparkSession, d: str) -> DataFrame:
-    """(share, fold, accuracy) of nearest centroids for growing shares of the training rows, in five folds."""
-    rows = vectors(spark, d).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5)).cast("int")).withColumn("r", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)))
-    grid = spark.createDataFrame([(s, f) for s in range(1, 11, 3) for f in range(5)], "share int, held int")
-    train = rows.join(F.broadcast(grid), (F.col("fold") != F.col("held")) & (F.col("r") < F.col("share") * 100))
-    means = train.select("share", "held", "label", F.posexplode("x").alias("i", "v")).groupBy("share", "held", "label", "i").agg(F.avg("v").alias("m"))
-    centres = means.groupBy("share", "held", F.col("label").alias("guess")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    square = F.aggregate(F.zip_with("x", "c", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda a, b: a + b)
-    best = rows.join(F.broadcast(centres), F.col("fold") == F.col("held")).groupBy("share", "fold", "id", "label").agg(F.min_by("guess", F.struct(square.alias("q"), "guess")).alias("guess"))
-    return best.groupBy("share", "fold").agg(F.round(F.avg((F.col("guess") == F.col("label")).cast("double")), 6).alias("accuracy"))
-
-
-query("ev_learning_curve")(learning_curve)
+    """(share, fold, accuracy) of the five nearest neighbours for ten growing shares of the training rows, in five folds."""
+    rows = vectors(spark, d).select("id", "label", "x", drawn("fold", 5).alias("fold"), (drawn("share", SHARES) + 1).alias("number"))
+    found = neighbours.by_share(rows, 5, SHARES)
+    votes = found.join(rows.select(F.col("id").alias("train_id"), F.col("label").alias("guess")), "train_id").groupBy("share", "test_id", "guess").agg(F.count("*").alias("n"))
+    best = votes.groupBy("share", "test_id").agg(F.max_by("guess", F.struct("n", (-F.col("guess")).alias("l"))).alias("guess"))
+    truth = rows.select(F.col("id").alias("test_id"), "fold", "label")
+    return best.join(truth, "test_id").groupBy("share", "fold").agg(F.round(F.avg((F.col("guess") == F.col("label")).cast("double")), 6).alias("accuracy"))
+
+
+query(
+    "ev_learning_curve",
+    f""", r AS (SELECT id, label, x, {drawn_sql("fold", 5)} AS fold, {drawn_sql("share", SHARES)} + 1 AS number FROM v),
+    d AS (SELECT a.id, a.fold, a.label, b.id AS train_id, b.label AS guess, b.number, {MINKOWSKI[2]} AS d FROM r a JOIN r b ON a.fold <> b.fold),
+    n AS (SELECT share, fold, id, label, unnest(near) AS guess FROM (SELECT share, fold, id, label, arg_min(guess, struct_pack(d := d, t := train_id), 5) AS near FROM d JOIN range(1, {SHARES + 1}) s(share) ON number <= share GROUP BY share, fold, id, label)),
+    g AS (SELECT share, fold, id, label, first(guess ORDER BY k DESC, guess) AS guess FROM (SELECT share, fold, id, label, guess, count(*) AS k FROM n GROUP BY ALL) GROUP BY ALL)
+    SELECT share::INTEGER AS share, fold, round(avg((label = guess)::INTEGER), 6) AS accuracy FROM g GROUP BY share, fold""",
+)(learning_curve)
 
 
 def best_k(spark: SparkSession, d: str) -> DataFrame:

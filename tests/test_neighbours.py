@@ -45,3 +45,43 @@ def test_most_cells_are_not_visited(spark):
     sent = [(r.cell, r.id) for r in neighbours.routed(table(spark, y, 5000), known).collect()]
     share = sum(known.size[c] for c, _ in sent) / (len(x) * len(y))
     assert share < 0.15
+
+
+def votes(d, ids, labels, k):
+    near = [labels[j] for j in np.lexsort((ids, d))[:k]]
+    return min(set(near), key=lambda c: (-near.count(c), c)) if near else None
+
+
+def test_shares_equal_separate_runs(spark):
+    """Gridded vectors tie; every share is what a run on its rows alone gives, the own fold left out."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (90, 3)).astype(float)
+    fold, number = rng.integers(0, 3, 90), rng.integers(1, 5, 90)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(fold[i]), int(number[i])) for i in range(90)], "id long, x array<double>, fold int, number int").repartition(3)
+    found = {(r.share, r.test_id, r["rank"], r.train_id) for r in neighbours.by_share(rows, 4, 4).collect()}
+    want = set()
+    for share in range(1, 5):
+        for i in range(90):
+            held = np.flatnonzero((fold != fold[i]) & (number <= share))
+            d = neighbours.distances(x[i : i + 1], x[held], 2)[0]
+            want |= {(share, i, r + 1, int(held[j])) for r, j in enumerate(np.lexsort((held, d))[:4])}
+    assert found == want
+    assert neighbours.by_share(rows.limit(0), 4, 4).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_exchanged_components_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(neighbours, "ROWS", tile)
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(40, 3)) * 4) / 4, np.round(rng.normal(size=(9, 3)) * 4) / 4
+    labels = rng.integers(0, 3, 40)
+    others = np.stack([np.roll(y, r + 1, axis=0) for r in range(2)], axis=1)
+    train = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels))], "id long, x array<double>, label int").repartition(3)
+    test = spark.createDataFrame([(100 + i, v.tolist(), o.tolist()) for i, (v, o) in enumerate(zip(y, others))], "id long, x array<double>, others array<array<double>>")
+    want = set()
+    for i, v in enumerate(y):
+        variants = {(-1, -1): v} | {(f, r): np.where(np.arange(3) == f, others[i, r], v) for f in range(3) for r in range(2)}
+        want |= {(100 + i, f, r, int(votes(((w - x) ** 2).sum(axis=1), np.arange(40), labels, 5))) for (f, r), w in variants.items()}
+    assert {tuple(r) for r in neighbours.exchanged(train, test, 5, 2).collect()} == want
+    assert neighbours.exchanged(train, test.limit(0), 5, 2).count() == 0
+    assert neighbours.exchanged(train.limit(0), test, 5, 2).count() == 0
