@@ -7,23 +7,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import keys
+from gridloom.operators import gram, keys
 from gridloom.operators.quantiles import quantiles
 
 
 def correlations(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
     """(a, b, r) of every pair of columns, pairs with a missing value left out; null where r has no value."""
-    pairs = list(combinations(columns, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-
-    def r_of(a: str, b: str) -> Column:
-        x, y = F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # corr itself fails on a constant
-
-    row = df.agg(*[r_of(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    out = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p"))
-    r = F.nanvl(F.col("p.r"), F.lit(None).cast("double"))
-    return out.select("p.a", "p.b", (F.round(r, digits) if digits is not None else r).alias("r"))
+    found = gram.correlations(df, columns)
+    return found.withColumn("r", F.round("r", digits)) if digits is not None else found
 
 
 def correlation_filter(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
