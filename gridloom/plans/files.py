@@ -204,17 +204,39 @@ query("src_detect", "SELECT 'pgm' AS kind, count(*) AS n FROM embeddings UNION A
 )
 
 
+def written(spark: SparkSession, rows: DataFrame, colour: bool = False) -> DataFrame:
+    """Rows (name, w, h, planes) written as files by format("netpbm") and read again, with the name of each file; in a folder
+    that this session's processes share."""
+    spark.dataSource.register(netpbm.Netpbm)
+    path = scratch(spark, "netpbm").removeprefix("file://").removeprefix("file:")
+    rows.write.format("netpbm").option("mode", "colour" if colour else "grey").mode("append").save(path)
+    found = spark.read.format("netpbm").option("mode", "colour" if colour else "grey").load(path)
+    return found.withColumn("name", F.regexp_extract("path", r"([^/]*)\.p[gp]m$", 1))
+
+
 @query("snk_pgm", q.listed("v"))
 def snk_pgm(spark: SparkSession, d: str) -> DataFrame:
-    """Written and read again by format("netpbm"), in a folder that this session's processes share."""
-    spark.dataSource.register(netpbm.Netpbm)
-    path = scratch(spark, "pgm").removeprefix("file://").removeprefix("file:")
-    image.from_embeddings(spark, d).select(F.col("image_id").cast("string").alias("name"), "w", "h", "v").write.format("netpbm").mode("append").save(path)
-    rows = spark.read.format("netpbm").load(path)
-    return image.listed(rows.withColumn("image_id", F.regexp_extract("path", r"(\d+)\.pgm$", 1).cast("long")))
+    rows = written(spark, image.from_embeddings(spark, d).select(F.col("image_id").cast("string").alias("name"), "w", "h", "v"))
+    return image.listed(rows.withColumn("image_id", F.col("name").cast("long")))
+
 
+@query("snk_ppm", q.listed("b", "rgb", RGB))
+def snk_ppm(spark: SparkSession, d: str) -> DataFrame:
+    rows = written(spark, image.colour_from_embeddings(spark, d).select(F.col("image_id").cast("string").alias("name"), "w", "h", "r", "g", "b"), True)
+    return image.listed(rows.withColumn("image_id", F.col("name").cast("long")).withColumn("v", F.col("b")))
+
+
+@query("snk_batch")
+def snk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every result of a group of presets in a file of its own, result/result_image.pgm, all from one pass; levels are those
+    of the files."""
+    from gridloom.plans import raster
+
+    found = raster.run_course(image.from_embeddings(spark, d), "grp_c03")
+    name = F.concat("op_name", F.lit("/"), "op_name", F.lit("_"), F.col("image_id").cast("string"))
+    rows = written(spark, found.select(name.alias("name"), "w", "h", "v"))
+    return raster.summary(rows.withColumn("op_name", F.regexp_extract("name", r"^(.*)_\d+$", 1)))
 
-query("snk_ppm", q.listed("b", "rgb", RGB))(QUERIES["src_ppm"])
 
 # --- tables ---------------------------------------------------------------------------------------------------------
 
@@ -350,7 +372,13 @@ def st_append_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-QUERIES["snk_csv_append"], ORACLES["snk_csv_append"] = st_append_sink, ORACLES["st_append_sink"]
+@query("snk_csv_append", M_SQL(f"SELECT {MEASURES} FROM m"))
+def snk_csv_append(spark: SparkSession, d: str) -> DataFrame:
+    """Started twice over the same files and checkpoint: one header, every row once."""
+    path, sink, mark = recorded(spark, d), scratch(spark, "csv"), scratch(spark, "mark")
+    for _ in range(2):
+        streaming.append_csv(streaming.replay(spark, path).select(*MEASURES.split(", ")), sink, mark)
+    return spark.read.schema("event_id long, download double, upload double, total double").csv(sink)
 
 
 @query("st_poll", "SELECT count(*) AS n FROM events")

@@ -647,7 +647,6 @@ def summary(rows: DataFrame) -> DataFrame:
 
 for group in PRESETS:
     register(group, lambda spark, d, group=group: summary(run_course(image.from_embeddings(spark, d), group)))
-register("snk_batch", lambda spark, d: summary(run_course(image.from_embeddings(spark, d), "grp_c03")))
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -69,38 +73,92 @@ def images(files: DataFrame, mode: str = "grey") -> DataFrame:
     return files.select("path", "content").mapInPandas(read, GREY if mode == "grey" else COLOUR)
 
 
+#: Files of a folder that one task reads.
+FILES = 256
+
+
 class _Files(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.mode = options["path"], options.get("mode", "grey")
 
     def partitions(self):
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.lower().endswith((".pgm", ".ppm"))]
+        found = []
+        for folder, inner, files in os.walk(self.path):
+            inner[:] = [x for x in inner if not x.startswith("_")]
+            found += [os.path.join(folder, f) for f in files if f.lower().endswith((".pgm", ".ppm"))]
+        found.sort()
+        return [InputPartition(found[at : at + FILES]) for at in range(0, len(found), FILES)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            found = row(partition.value, f.read(), self.mode)
-        yield tuple(found.values())
+        for path in partition.value:
+            with open(path, "rb") as f:
+                found = row(path, f.read(), self.mode)
+            yield tuple(found.values())
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """The folder that a task has filled."""
+
+    folder: str
 
 
 class _Sink(DataSourceWriter):
-    """Files <name>.pgm or <name>.ppm of rows (name, w, h, v) or (name, w, h, r, g, b)."""
+    """Files <name>.pgm or <name>.ppm of rows (name, w, h, v) or (name, w, h, r, g, b); a name may have folders.
+
+    A task writes into a folder of its own below _stage, which readers pass over. Files move to their places once all tasks
+    are done, those of lost or doubled attempts never; a write that fails leaves the folder as it was.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
-        os.makedirs(self.path, exist_ok=True)
-        if overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith((".pgm", ".ppm")):
-                    os.remove(os.path.join(self.path, f))
+        self.path, self.overwrite = os.path.abspath(options["path"]), overwrite
+        self.stage = os.path.join(self.path, f"_stage-{uuid.uuid4().hex}")
+        os.makedirs(self.stage)
+
+    def _clear(self):
+        """Under another name first, so that a task that still runs finds no folder to write to."""
+        os.replace(self.stage, f"{self.stage}-old")
+        shutil.rmtree(f"{self.stage}-old", ignore_errors=True)
 
     def write(self, iterator):
+        folder = os.path.join(self.stage, str(TaskContext.get().taskAttemptId()))
+        os.mkdir(folder)
+        known = {folder}
         for r in iterator:
             planes = [r["v"]] if "v" in r else [r["r"], r["g"], r["b"]]
-            final = os.path.join(self.path, f"{r['name']}.{'pgm' if len(planes) == 1 else 'ppm'}")
-            with open(f"{final}.tmp", "wb") as f:
+            final = os.path.normpath(os.path.join(folder, f"{r['name']}.{'pgm' if len(planes) == 1 else 'ppm'}"))
+            if not final.startswith(folder + os.sep):
+                raise ValueError(f"the name {r['name']!r} leaves the folder")
+            inner = os.path.dirname(final)
+            missing = []
+            while inner not in known:
+                missing.append(inner)
+                inner = os.path.dirname(inner)
+            for new in reversed(missing):
+                os.mkdir(new)
+                known.add(new)
+            with open(final, "wb") as f:
                 f.write(encode(r["w"], r["h"], planes))
-            os.replace(f"{final}.tmp", final)
-        return WriterCommitMessage()
+        return _Written(folder)
+
+    def commit(self, messages):
+        if self.overwrite:
+            for folder, inner, files in os.walk(self.path):
+                inner[:] = [x for x in inner if not x.startswith("_")]
+                for f in files:
+                    if f.lower().endswith((".pgm", ".ppm")):
+                        os.remove(os.path.join(folder, f))
+        for message in messages:
+            for folder, _, files in os.walk(message.folder):
+                place = os.path.join(self.path, os.path.relpath(folder, message.folder))
+                os.makedirs(place, exist_ok=True)
+                for f in files:
+                    os.replace(os.path.join(folder, f), os.path.join(place, f))
+        self._clear()
+
+    def abort(self, messages):
+        del messages
+        self._clear()
 
 
 class Netpbm(DataSource):

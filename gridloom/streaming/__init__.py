@@ -71,6 +71,20 @@ def drain(rows: DataFrame, sink: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def append_csv(rows: DataFrame, folder: str, checkpoint: str) -> None:
+    """Append what the stream has now to CSV files without headers, each row once however often this is restarted. The
+    columns stand once, in 0-header.csv, written if it is missing: the files in the order of their names, one after another,
+    are one table. Readers that know Spark's log of a stream's files read rows only."""
+    spark = rows.sparkSession
+    header = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/0-header.csv")
+    files = header.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(header):
+        out = files.create(header)
+        out.write(bytearray((",".join(rows.columns) + "\n").encode()))
+        out.close()
+    rows.writeStream.format("csv").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 class _Counters(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"sample": 0}
