@@ -11,12 +11,30 @@ from gridloom.operators import gram, keys
 from gridloom.operators.quantiles import quantiles
 
 
+#: Columns whose pairs are aggregates of one plan; more go by blocks.
+FEW = 12
+
+
 def correlations(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
-    """(a, b, r) of every pair of columns, pairs with a missing value left out; null where r has no value."""
-    found = gram.correlations(df, columns)
+    """(a, b, r) of every pair of columns, pairs with a missing value left out; null where r has no value, no pairs of no
+    rows. Few columns are aggregated in the JVM; with many the plan would grow with their pairs, so blocks are summed."""
+    found = _few_correlations(df, columns) if 2 <= len(columns) <= FEW else gram.correlations(df, columns)
     return found.withColumn("r", F.round("r", digits)) if digits is not None else found
 
 
+def _few_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    pairs = list(combinations(columns, 2))
+
+    def r_of(a: str, b: str) -> Column:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # corr itself fails on a constant
+
+    row = df.agg(F.count("*").alias("rows"), *[r_of(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).where("rows > 0")
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.explode(F.array(*each)).alias("p")).select("p.a", "p.b", F.nanvl("p.r", F.lit(None).cast("double")).alias("r"))
+
+
 def correlation_filter(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
     """(name, kept): a column goes if its |r| with any earlier column exceeds the limit."""
     late = correlations(df, columns).where(F.abs("r") > limit).select(F.col("b").alias("name")).distinct().withColumn("kept", F.lit(False))

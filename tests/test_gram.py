@@ -66,3 +66,15 @@ def test_nothing_and_values_that_are_none(spark):
     assert got["c0", "c2"] is None and abs(got["c0", "c1"] - np.corrcoef([1, 2, 3], [2, 5, 1])[0, 1]) < 1e-12
     assert gram.correlations(rows.where(F.lit(False)), ["c0", "c1"]).count() == 0
     assert {r.kept for r in features.correlation_filter(rows.where(F.lit(False)), ["c0", "c1"], 0.8).collect()} == {True}
+
+
+def test_few_columns_as_many(spark):
+    """The plan for few columns gives what the blocks give."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 5))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 3.0
+    data, names = frame(spark, x), [f"c{i}" for i in range(5)]
+    for found in (features.correlations(data, names), gram.correlations(data, names)):
+        same(found, pairwise(x))
+    assert features.correlations(data.limit(0), names).count() == 0
