@@ -274,10 +274,14 @@ def regress(neighbours: DataFrame, targets: DataFrame) -> DataFrame:
     return sums.select("test_id", F.when(F.col("any_exact"), F.col("at")).otherwise(F.col("a") / F.col("b")).alias("predicted"))
 
 
-def _least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k least distances of each row (fewer, if there are not so many), equal ones by id."""
-    order = np.argsort(ids, kind="stable")
-    return order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least numbers of each row (fewer, if there are not so many), the first of equal ones."""
+    k = min(k, d.shape[1])
+    row, column = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((column, d[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], column[kept]
 
 
 def by_share(rows: DataFrame, k: int, shares: int, p: float = 2) -> DataFrame:
@@ -292,11 +296,14 @@ def by_share(rows: DataFrame, k: int, shares: int, p: float = 2) -> DataFrame:
     def best(q_ids: np.ndarray, q_cells: np.ndarray, ids: np.ndarray, cells_: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = distances(q_cells[:, 2:], cells_[:, 2:], p)
         d[q_cells[:, :1] == cells_[:, 0]] = np.inf
-        take = np.zeros(d.shape, bool)
+        by_id = np.argsort(ids, kind="stable")
+        order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")]
+        number, first = cells_[order, 1], np.zeros(d.shape, bool)
         for share in range(1, shares + 1):
-            held = np.flatnonzero(cells_[:, 1] <= share)
-            near = held[_least(d[:, held], ids[held], k)]
-            np.put_along_axis(take, near, True, axis=1)
+            held = number <= share
+            first |= held & (held.cumsum(axis=1) <= k)
+        take = np.zeros(d.shape, bool)
+        np.put_along_axis(take, order, first, axis=1)
         q, t = np.nonzero(take & np.isfinite(d))
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q_ids[q], ids[t], cells_[t, 1].astype(np.int32), d[q, t])], ["test_id", "train_id", "number", "distance"])
 
@@ -325,16 +332,16 @@ def exchanged(train: DataFrame, test: DataFrame, k: int, repeats: int) -> DataFr
         for at in range(len(q_ids)):
             terms = (own[at] - x) ** 2
             square = terms.sum(axis=1)
-            near = np.argsort(square, kind="stable")[None, :k]
-            parts = [(np.array([-1]), np.array([-1]), near, square[near])]
-            for i in range(n):
-                d = (square - terms[:, i])[None] + (put[at, :, i][:, None] - x[:, i]) ** 2
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                parts.append((np.full(repeats, i), np.arange(repeats), near, np.take_along_axis(d, near, axis=1)))
-            feature, repeat, near, d = (np.concatenate(v) for v in zip(*parts))
-            wide = near.shape[1]
-            columns = [np.full(near.size, q_ids[at]), np.repeat(feature, wide).astype(np.int32), np.repeat(repeat, wide).astype(np.int32), d.ravel(), ids[near].ravel(), label[near].ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["test_id", "feature", "repeat", "d", "train_id", "label"])
+            column = _least(square[None], k)[1]
+            parts = [(np.full(len(column), -1), np.full(len(column), -1), square[column], column)]
+            for lo in range(0, n, 64):  # components at a time
+                old, new = terms[:, lo : lo + 64].T[:, None], (put[at, :, lo : lo + 64].T[:, :, None] - x[:, lo : lo + 64].T[:, None]) ** 2
+                d = (square - old + new).reshape(-1, len(x))
+                row, column = _least(d, k)
+                parts.append((lo + row // repeats, row % repeats, d[row, column], column))
+            feature, repeat, d, column = (np.concatenate(v) for v in zip(*parts))
+            found = [np.full(len(d), q_ids[at]), feature.astype(np.int32), repeat.astype(np.int32), d, ids[column], label[column]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["test_id", "feature", "repeat", "d", "train_id", "label"])
 
     met = _meet(marked, asked, best, "test_id long, feature int, repeat int, d double, train_id long, label int", "id", "x", 1 + repeats)
     key = ["test_id", "feature", "repeat"]
