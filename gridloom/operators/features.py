@@ -57,12 +57,16 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def density(df: DataFrame, column: str, points: int, width: float) -> DataFrame:
-    """Gaussian kernel density on a grid from the least to the largest value; rows meet the grid of so many points."""
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    grid = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1))).alias("x"))
-    near = F.exp(-0.5 * F.pow((F.col("x") - F.col(column)) / width, 2))
+    """Gaussian kernel density on a grid from the least to the largest value. Equal values are counted first; each distinct
+    one adds to the sums of all grid points, which are columns of one aggregate, so no row meets the grid."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = [F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1) for i in range(points)]
+    sums = [F.sum(F.col("n") * F.exp(-0.5 * F.pow((x - F.col("v")) / width, 2))).alias(f"s{i}") for i, x in enumerate(at)]
+    whole = values.crossJoin(F.broadcast(ends)).groupBy("lo", "hi").agg(F.sum("n").alias("n"), *sums)  # one row of ends
     norm = width * (2 * 3.141592653589793) ** 0.5
-    return df.crossJoin(F.broadcast(grid)).groupBy("x").agg(F.round(F.sum(near) / (F.count("*") * norm), 8).alias("density"))
+    rows = F.array(*[F.struct(x.alias("x"), F.round(F.col(f"s{i}") / (F.col("n") * norm), 8).alias("density")) for i, x in enumerate(at)])
+    return whole.select(F.inline(rows)).groupBy("x").agg(F.first("density").alias("density"))  # one value: one point
 
 
 def one_hot(df: DataFrame, column: str, values: list[str], drop_first: bool = False) -> DataFrame:

@@ -41,11 +41,18 @@ def log_loss(p: Column, floor: float = 1e-15) -> Column:
     return F.avg(-F.ln(F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))))
 
 
+#: Blocks into which a curve's scores are parted.
+BLOCKS = 256
+
+
 def roc(df: DataFrame, positive: str, score: str) -> DataFrame:
-    """(score, tpr, fpr) at every threshold, equal scores together. The curve has a row for each score: its running sums
-    go over scores dealt out by range of score, with the sums of earlier ranges added."""
+    """(score, tpr, fpr) at every threshold, equal scores together. The curve has a row for each distinct score: its
+    running sums go over blocks of scores, parted at quantiles of the scores themselves, with the sums of higher blocks
+    added, so the blocks hold about equally many whatever the scores are."""
     points = df.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    points = points.withColumn("block", F.floor(-F.col(score) * 64))
+    edges = points.agg(F.percentile_approx(score, [i / BLOCKS for i in range(1, BLOCKS)], 10 * BLOCKS).alias("edges"))
+    higher = F.size(F.filter("edges", lambda e: e > F.col(score)))
+    points = points.crossJoin(F.broadcast(edges)).withColumn("block", higher).drop("edges")  # one row
     sums = points.groupBy("block").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))

@@ -10,6 +10,7 @@ COLUMNS = {
     "line": ("lineitem", "l_linenumber"),
     "part_key": ("lineitem", "l_partkey"),
     "supp_key": ("lineitem", "l_suppkey"),
+    "cust_key": ("orders", "o_custkey"),
     "price": ("lineitem", "cast(l_extendedprice as decimal(15,2))"),
     "qty": ("lineitem", "cast(l_quantity as int)"),
     "rate": ("lineitem", "cast(cast(l_discount as decimal(5,2)) * 100 as decimal(5,2))"),
@@ -37,19 +38,33 @@ JOINS = {
 }
 
 
-def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """A row per order line with the columns (all by default); joins are inner, on the keys of the tables."""
-    columns = columns or tuple(COLUMNS)
+#: Keys of the view that a table of their own describes.
+KEYS = {"part_key": "part", "cust_key": "customer", "supp_key": "supplier"}
+
+
+def _view(spark: SparkSession, sf_dir: str, root: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The columns, each a (table, expression), of a table with those that hang on it."""
     needed: list[str] = []
-    for column in columns:
-        path, at = [], COLUMNS[column][0]
-        while at != "lineitem":
+    for at, _ in columns.values():
+        path = []
+        while at != root:
             path.append(at)
             at = JOINS[at][0]
         needed += [t for t in reversed(path) if t not in needed]
-    out = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    out = spark.read.parquet(f"{sf_dir}/{root}.parquet")
     for name in needed:
         _, left, right = JOINS[name]
         own = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         out = out.join(own, out[left] == own[right])
-    return out.selectExpr(*[f"{COLUMNS[c][1]} as {c}" for c in columns])
+    return out.selectExpr(*[f"{e} as {c}" for c, (_, e) in columns.items()])
+
+
+def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """A row per order line with the columns (all by default); joins are inner, on the keys of the tables."""
+    return _view(spark, sf_dir, "lineitem", {c: COLUMNS[c] for c in columns or COLUMNS})
+
+
+def members(spark: SparkSession, sf_dir: str, key: str, *columns: str) -> DataFrame:
+    """A row per value of one of KEYS, sold or not, with columns that depend on it."""
+    table = KEYS[key]
+    return _view(spark, sf_dir, table, {key: (table, JOINS[table][2])} | {c: COLUMNS[c] for c in columns})

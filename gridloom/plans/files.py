@@ -21,7 +21,7 @@ from gridloom.operators.series import measurements
 from gridloom.plans import series as series_plans
 from gridloom.plans import sqltext as q
 from gridloom.plans import warehouse as w
-from gridloom.sources import database, delimited, netpbm
+from gridloom.sources import database, delimited, netpbm, probe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,7 +174,14 @@ query("src_max_id", "SELECT coalesce(max(o_orderkey), 0) AS max_id, 0::BIGINT AS
 query("src_lookup", S_SQL("SELECT region_id, region, count(*) AS n FROM sales JOIN (SELECT row_number() OVER (ORDER BY region)::INTEGER AS region_id, region FROM (SELECT DISTINCT region FROM sales)) USING (region) GROUP BY ALL"))(
     lambda spark, d: sales(spark, d, "region").join(w.QUERIES["dim_region"](spark, d), "region").groupBy("region_id", "region").agg(F.count("*").alias("n"))
 )
-query("src_probe", "SELECT event_id, event_type <> 'error' AS connected FROM events")(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_type") != "error").alias("connected")))
+@query("src_probe", "SELECT event_id, event_type <> 'error' AS connected FROM events")
+def src_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Connections tried for the address of each event: the driver's own port, which listens, or for errors port 1 of the
+    same host, which nothing serves."""
+    conf = spark.sparkContext.getConf()
+    port = F.when(F.col("event_type") != "error", F.lit(int(conf.get("spark.driver.port")))).otherwise(F.when(F.col("event_type") == "error", F.lit(1)))
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.lit(conf.get("spark.driver.host")).alias("host"), port.alias("port"))
+    return probe.probe(events).select("event_id", "connected")
 
 # --- rasters --------------------------------------------------------------------------------------------------------
 

@@ -260,8 +260,8 @@ query("ev_report_averages", REPORT + " SELECT 'macro' AS kind, round(avg(precisi
 )
 query("ev_class_acc", REPORT + " SELECT label, round(recall, 6) AS accuracy FROM t")(lambda spark, d: metrics.class_report(matrix(spark, d)).select("label", F.round("recall", 6).alias("accuracy")))
 query("ev_logloss", " SELECT round(avg(-ln(greatest(1e-15, least(1 - 1e-15, score)))), 6) AS loss FROM p")(lambda spark, d: predictions(spark, d).agg(F.round(metrics.log_loss(F.col("score")), 6).alias("loss")))
-positive = lambda spark, d: predictions(spark, d).select("id", (F.col("label") < 5).alias("positive"), F.round("score", 2).alias("score"))
-CURVE = ", c AS (SELECT round(score, 2) AS score, count(*) FILTER (label < 5) AS p, count(*) FILTER (label >= 5) AS n FROM p GROUP BY 1), k AS (SELECT score, p, n, sum(p) OVER o AS cp, sum(n) OVER o AS cn, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM c WINDOW o AS (ORDER BY score DESC))"
+positive = lambda spark, d: predictions(spark, d).select("id", (F.col("label") < 5).alias("positive"), "score")
+CURVE = ", c AS (SELECT score, count(*) FILTER (label < 5) AS p, count(*) FILTER (label >= 5) AS n FROM p GROUP BY 1), k AS (SELECT score, p, n, sum(p) OVER o AS cp, sum(n) OVER o AS cn, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM c WINDOW o AS (ORDER BY score DESC))"
 query("ev_roc_auc", CURVE + " SELECT round(sum(n * (cp - p / 2.0::DOUBLE)) / (any_value(tp) * any_value(tn)), 6) AS auc FROM k")(lambda spark, d: metrics.auc(metrics.roc(positive(spark, d), "positive", "score")).select(F.round("auc", 6).alias("auc")))
 query("ev_roc_curve", CURVE + " SELECT score, round(cp::DOUBLE / tp, 6) AS tpr, round(cn::DOUBLE / tn, 6) AS fpr FROM k")(lambda spark, d: metrics.roc(positive(spark, d), "positive", "score").select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr")))
 query("ev_mse_mae_r2", " SELECT round(avg(pow(x[1] - x[2], 2)), 6) AS mse, round(avg(abs(x[1] - x[2])), 6) AS mae, round(1 - avg(pow(x[1] - x[2], 2)) / var_pop(x[1]), 6) AS r2 FROM v")(

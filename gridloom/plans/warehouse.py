@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import keys
-from gridloom.operators.sales import sales
+from gridloom.operators.sales import KEYS, members, sales
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,22 @@ def _mentions(text: str, word: str) -> bool:
 
 # --- dimensions -----------------------------------------------------------------------------------------------------
 
+#: The key of the sales view that a label depends on; others stand for themselves.
+SOURCE = {"product": "part_key", "category": "part_key", "client": "cust_key", "client_type": "cust_key", "store": "supp_key", "city": "supp_key", "region": "supp_key"}
+
+
+def sold(spark: SparkSession, d: str, labels: list[str]) -> tuple[list[str], DataFrame, Column | None]:
+    """The keys of the sales view behind labels, their values that were sold with the labels (products with their cost),
+    and blocks in the order of the labels, bounded by what the tables of the keys hold. Lines meet no label here."""
+    source, block = list(dict.fromkeys(SOURCE.get(c, c) for c in labels)), None
+    rows = sales(spark, d, *source).distinct()
+    for own in [s for s in source if s in KEYS]:
+        mine = [c for c in labels if SOURCE.get(c) == own]
+        known = members(spark, d, own, *mine, *(["cost"] if own == "part_key" else []))
+        rows, block = rows.join(known, own), keys.blocks(known, mine)
+    return source, rows, block
+
+
 LABELS = {"dim_region": ("region", "region_id"), "dim_categorie": ("category", "category_id"), "dim_typeclient": ("client_type", "type_id"), "dim_canal": ("channel", "channel_id")}
 for name, (label, key) in LABELS.items():
     query(name, f"SELECT CAST(row_number() OVER (ORDER BY {label}) AS INTEGER) AS {key}, {label} FROM (SELECT DISTINCT {label} FROM sales)")(
@@ -75,12 +91,13 @@ for name, (columns, key) in CHILDREN.items():
 
 
 def child(name: str, label: str, parent: str, key: str, parent_key: str) -> None:
-    """A snowflake child: distinct labels with the key of their parent's label."""
+    """A snowflake child: distinct labels with the key of their parent's label, of which there are few."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = sales(spark, d, label, parent).distinct().persist()
-        above = keys.sequence(rows.select(parent).distinct(), [parent], parent_key)
-        return keys.sequence(rows.join(above, parent), [label, parent], key).select(key, label, parent_key)
+        _, rows, block = sold(spark, d, [label, parent])
+        rows = rows.select(label, parent).distinct()
+        above = keys.dimension(rows, [parent], parent_key).withColumn(parent_key, F.col(parent_key).cast("long"))
+        return keys.ranked(rows.join(above, parent), [label, parent], key, block).select(key, label, parent_key)
 
     query(
         name,
@@ -101,9 +118,10 @@ child("dim_client", "client", "client_type", "client_id", "type_id")
     " JOIN (SELECT row_number() OVER (ORDER BY city) AS city_id, city FROM (SELECT DISTINCT city FROM sales)) USING (city)",
 )
 def dim_lieu(spark: SparkSession, d: str) -> DataFrame:
-    rows = sales(spark, d, "store", "city", "channel").distinct().persist()
-    cities = keys.sequence(rows.select("city").distinct(), ["city"], "city_id")
-    return keys.sequence(rows.join(cities, "city"), ["store", "city", "channel"], "place_id").select("place_id", "store", "city_id", "channel")
+    _, rows, block = sold(spark, d, ["store", "city", "channel"])
+    rows = rows.select("store", "city", "channel").distinct()
+    cities = keys.dimension(rows, ["city"], "city_id").withColumn("city_id", F.col("city_id").cast("long"))
+    return keys.ranked(rows.join(cities, "city"), ["store", "city", "channel"], "place_id", block).select("place_id", "store", "city_id", "channel")
 
 
 DATES = "(SELECT DISTINCT sale_date FROM sales)"
@@ -133,12 +151,24 @@ FACT_A_KEYS = {"store_id": ["store", "city"], "product_id": ["product", "categor
 FACT_B_KEYS = {"place_id": ["store", "city", "channel"], "product_id": ["product", "category"], "client_id": ["client", "client_type"], "promo_id": ["promo_name", "rate"]}
 
 
+def key_map(spark: SparkSession, d: str, natural: list[str], key: str, strict: bool = True) -> tuple[list[str], DataFrame]:
+    """The keys of the sales view behind a dimension, and a row for each of their values that was sold with the
+    dimension's key. The dimension is the distinct natural keys; strict=False gives, as a join by label would, the keys
+    of all that share the first of them. Products bring their cost."""
+    source, rows, block = sold(spark, d, natural)
+    numbered = keys.ranked(rows.dropna(subset=natural), natural, key, block)
+    if not strict:
+        numbered = numbered.drop(key).join(numbered.select(natural[0], key).distinct(), natural[0])
+    return source, numbered.drop(*[c for c in natural if c not in source])
+
+
 def fact(spark: SparkSession, d: str, dims: dict[str, list[str]], strict: bool = True) -> DataFrame:
-    """Sales lines with the keys of their dimensions, each of which is the distinct natural keys with a number."""
-    names = list(dict.fromkeys(["ticket", "line", "part_key", "supp_key", "qty", "price", "cost", "rate", "sale_date", *[c for x in dims.values() for c in x]]))
-    rows = sales(spark, d, *names)
-    for key, natural in dims.items():
-        rows = keys.resolve(rows, keys.sequence(sales(spark, d, *natural).distinct(), natural, key, keep=True), natural, strict)
+    """Sales lines with the keys of their dimensions. Lines carry the numbers of products, clients and stores, and meet the
+    maps from these to the dimensions' keys; labels are compared only where the dimensions are made."""
+    maps = [key_map(spark, d, natural, key, strict) for key, natural in dims.items()]
+    rows = sales(spark, d, *dict.fromkeys(["ticket", "qty", "price", "rate", "sale_date", *[c for source, _ in maps for c in source]]))
+    for source, known in maps:
+        rows = rows.join(known, source)
     return rows
 
 
