@@ -26,11 +26,13 @@ from gridloom.llm.urls import url_host
 DECAY = 0.9
 #: Branches go that hold nothing of this importance. A site of few pages tells little: SMOOTH pages are added to the scale.
 LOW, SMOOTH = 0.35, 4
-#: Importance that an element loses, with all below it, by what it declares (a name in passing; to be no article), what
+#: Importance that an element loses, with all below it, by what it declares (a name in passing; inside an article, to be
+#: what a site repeats; to be no article), how much of the second is taken back by many pages, whose entropies then say
+#: whether it is repeated: so much * m / (m + SMOOTH) for m pages. What
 #: lists of links lose outside articles, what all else outside loses where articles hold most of every page of the site,
 #: and what article and main elements add to all that is in them.
-DECLARED, LINKED, OUTSIDE, RAISED = (0.0, 0.3, 1.0), 0.7, 0.7, 0.15
-#: Elements below this depth count as the one above them; their text stays with it.
+DECLARED, BACK, LINKED, OUTSIDE, RAISED = (0.0, 0.3, 1.0, 1.0), 0.4, 0.7, 0.7, 0.15
+#: Elements below this depth count as children of the last one above it, told apart by tag, class and declaration.
 DEPTH = 32
 #: Counts that a task gathers before it passes them on.
 GATHERED = 200_000
@@ -58,6 +60,9 @@ NO_ARTICLE_NAMES = frozenset(
     " sidebar aside footer complementary contentinfo cookie cookies consent gdpr notice notices alert disclaimer comment comments disqus respond reply replies"
     " related recommended share sharing social newsletter subscribe signup login search pagination pager popup modal overlay toolbar widget masthead".split()
 )
+#: Names of what a site repeats on its pages. Inside an article what bears them may also be part of the story, so there
+#: they speak against it, but the tree can overrule them; adverts, forms and comments differ by page, so it cannot there.
+REPEATED_NAMES = frozenset("alert banner disclaimer masthead notice notices share sharing social toolbar widget".split())
 FILLERS = frozenset("area bar block box button buttons container content form inner left links list main outer panel posts right section site slot thread top bottom unit wrap wrapper".split())
 #: What holds the text itself; inside an article, its names declare nothing but a name in passing, and its ids nothing.
 PASSAGES = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption td th".split())
@@ -67,8 +72,8 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 
 
 class Element:
-    """An element of a page; key names it in its site's tree, path holds the keys from the root to it, declared (0, 1, 2)
-    is what it or one around it declares."""
+    """An element of a page; key names it in its site's tree, path holds the keys from the root to it, declared (0 to 3) is
+    what it or one around it declares."""
 
     __slots__ = ("tag", "key", "path", "declared", "hidden", "article", "children")
 
@@ -89,10 +94,11 @@ def _attributes(text: str) -> tuple[str, str, str, bool]:
 
 
 def _declared(tag: str, classes: str, name: str, role: str, inside: bool) -> int:
-    """2 for an element whose tag, or a whole class, role or id of it, says that it is no article; 1 if a word of them
-    does. Inside an article ids count only if they say so wholly, and passages are not declared more than in passing."""
+    """3 for an element whose tag, or a whole class, role or id of it, says that it is no article; 2 if inside an article
+    these only say that it is repeated; 1 if a word of them says either. Inside an article ids count only if they say so
+    wholly, and passages are not declared more than in passing."""
     if tag in NO_ARTICLE_TAGS or (not inside and tag in HEADERS):
-        return 2
+        return 3
     if tag in WHOLE:
         return 0
     names = NO_ARTICLE_NAMES if inside else NO_ARTICLE_NAMES | HEADERS
@@ -101,7 +107,8 @@ def _declared(tag: str, classes: str, name: str, role: str, inside: bool) -> int
         words = {w for w in _WORDS.split(token) if w}
         if not names.isdisjoint(words):
             if words <= names | FILLERS:
-                most = max(most, 1 if inside and tag in PASSAGES else 2) if not (is_id and inside and tag in PASSAGES) else most
+                whole = 2 if inside and words <= REPEATED_NAMES | FILLERS else 3
+                most = max(most, 1 if inside and tag in PASSAGES else whole) if not (is_id and inside and tag in PASSAGES) else most
             elif not (is_id and inside):
                 most = max(most, 1)
     return most
@@ -169,12 +176,10 @@ def parse(html: str) -> tuple[list[tuple[Element, str, bool]], list[Element]]:
                 if stack[i].tag in limits:
                     break
         parent = stack[-1]
-        if len(parent.path) < DEPTH:
-            kind = " ".join(sorted(_DIGITS.sub("0", classes).split()))
-            key = xxhash.xxh64_intdigest(f"{parent.key} {tag} {max(own, around.declared)} {kind}".encode()) >> 1
-            path = (*parent.path, key)
-        else:
-            key, path = parent.key, parent.path
+        above = parent.path[: DEPTH - 1]
+        kind = " ".join(sorted(_DIGITS.sub("0", classes).split()))
+        key = xxhash.xxh64_intdigest(f"{above[-1]} {tag} {max(own, around.declared)} {kind}".encode()) >> 1
+        path = (*above, key)
         parent.children.append(key)
         element = Element(tag, key, path, max(own, around.declared), around.hidden or hidden or tag == "head", inside or tag in ("article", "main"))
         stack.append(element)
@@ -277,6 +282,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     part = F.when(F.col("styles") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(DECAY), F.col("styles")))
     in_article = F.col("flags") % 2 == 1
     loss = F.element_at(F.array(*[F.lit(x) for x in DECLARED]), F.floor(F.col("flags") / 2).cast("int") + 1)
+    loss = loss - F.when(F.floor(F.col("flags") / 2) == 2, BACK * F.col("m") / (F.col("m") + SMOOTH)).otherwise(0.0)
     loss = loss + F.when(in_article, 0.0).otherwise(OUTSIDE * F.coalesce("articles", F.lit(0)) / F.col("m"))
     loss = loss + F.when(~in_article & (F.col("blocks") > 0) & (F.col("prose") == 0), F.lit(LINKED)).otherwise(F.lit(0.0))
     rated = sums.select("host", "element", "parent", ((1 - part) * below + part * own - loss + F.when(in_article, RAISED).otherwise(0.0)).alias("importance"))

@@ -156,7 +156,7 @@ def brute_low(texts):
         own = sum(-n / sum(styles) * math.log(n / sum(styles)) for n in styles) / scale
         part = html.DECAY ** len(styles) if styles else 0
         declared, article = flags[key]
-        value[key] = (1 - part) * below + part * own - html.OUTSIDE * share * (not article) - html.DECLARED[declared] + html.RAISED * article - html.LINKED * (not article and bool(content[key]) and key not in prose)
+        value[key] = (1 - part) * below + part * own - html.OUTSIDE * share * (not article) - html.DECLARED[declared] + html.BACK * m / (m + html.SMOOTH) * (declared == 2) + html.RAISED * article - html.LINKED * (not article and bool(content[key]) and key not in prose)
     return {key for key in flags if max(v for k, v in value.items() if key in above[k]) < html.LOW}
 
 
@@ -191,6 +191,29 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert html.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_html_entropies_overrule_names(spark):
+    """Inside articles what is named a notice stays if it differs by page and goes if the site repeats it; comments and
+    adverts go either way. On a page alone the name decides."""
+    def page(i, notice, share):
+        return f"<body><nav><li><a href=/>Home</a></li></nav><article><p>story {i} begins like no other {i * 7}</p><section class='notice'><p>{notice}</p></section><div class='share'><p>{share}</p></div><div class='comments'><p>reader {i} says {i * 3}</p></div><div class='ad'>buy {i * 11}</div></article></body>"
+
+    rows = [("https://a.example/x", page(i, f"the second half of story {i} too", "Share this with your friends")) for i in range(30)]
+    rows += [("https://b.example/x", page(i, "All prices are without tax", f"The share of votes rose to {i}")) for i in range(30)]
+    rows += [("https://c.example/x", page(1, "Mind the gap", "Share this"))]
+    found = [r.text.split("\n") for r in sorted(html.extract(pages(spark, rows)).collect(), key=lambda r: r.id)]
+    story = [f"story {i} begins like no other {i * 7}" for i in range(30)]
+    assert found[:30] == [[story[i], f"the second half of story {i} too"] for i in range(30)]
+    assert found[30:60] == [[story[i], f"The share of votes rose to {i}"] for i in range(30)]
+    assert found[60] == [story[1]]
+
+
+@pytest.mark.parametrize("deep", [20, 40, 3000])
+def test_html_deep_text_stays_beside_other_text(spark, deep):
+    rows = [("https://a.example/x", f"<body><div class=by>By writer {i}</div>{'<div>' * deep}<p>story {i} unlike others {i * 7}</p><nav><li>Home</li><li>News</li></nav>{'</div>' * deep}</body>") for i in range(30)]
+    found = {r.id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert found == {i: f"By writer {i}\nstory {i} unlike others {i * 7}" for i in range(30)}
+
+
 def test_style_tree_decides_in_articles(spark):
     """What a site repeats goes from articles too; a page whose articles are teasers keeps its story."""
     rows = []
