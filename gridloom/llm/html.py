@@ -256,8 +256,6 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("host", "html").mapInArrow(gather, "host string, element long, kind string, feature long, n long")
     counts = rows.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n"))
-    articles = counts.where("kind = 'h'").select("host", F.col("n").alias("articles"))
-    number = pages.groupBy("host").agg(F.count("*").alias("m")).join(articles, "host", "left")
     style, content, declared = (F.col("kind") == k for k in "scd")
     n = F.col("n").cast("double")
     own_sums = counts.groupBy("host", "element").agg(
@@ -269,21 +267,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.count(F.when(F.col("kind") == "l", 1)).alias("prose"),
         F.max(F.when(declared, F.col("feature"))).alias("flags"),
         F.max(F.when(F.col("kind") == "p", F.col("feature"))).alias("parent"),
+        F.sum(F.when(declared, n)).alias("pages"),
+        F.coalesce(F.max(F.when(F.col("kind") == "h", n)), F.lit(0.0)).alias("articles"),
         F.collect_set(F.when(F.col("kind") == "a", F.col("feature"))).alias("above"),
     )
     own_sums, _ = spool(own_sums, "elements")
+    number = own_sums.where("element = 0").select("host", F.col("pages").alias("m"), "articles")  # every page has the root
+    own_sums = own_sums.drop("pages", "articles")
     above = own_sums.select("host", "element", F.explode("above").alias("ancestor"))
     lower = own_sums.where("blocks > 0").select("host", F.explode("above").alias("element"), F.col("blocks").alias("all_blocks"), F.col("blocks_log").alias("all_log"))
     lower = lower.groupBy("host", "element").agg(F.sum("all_blocks").alias("all_blocks"), F.sum("all_log").alias("all_log"))
     sums = own_sums.drop("blocks_log", "above").join(lower, ["host", "element"], "left").join(number, "host")
-    scale = F.log(F.col("m").cast("double") + SMOOTH)
+    scale = F.log(F.col("m") + SMOOTH)
     own = F.coalesce((F.log("seen") - F.col("seen_log") / F.col("seen")) / scale, F.lit(0.0))
     below = F.coalesce(1 - F.col("all_log") / F.col("all_blocks") / scale, F.lit(0.0))  # 0: nothing is below
     part = F.when(F.col("styles") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(DECAY), F.col("styles")))
     in_article = F.col("flags") % 2 == 1
     loss = F.element_at(F.array(*[F.lit(x) for x in DECLARED]), F.floor(F.col("flags") / 2).cast("int") + 1)
     loss = loss - F.when(F.floor(F.col("flags") / 2) == 2, BACK * F.col("m") / (F.col("m") + SMOOTH)).otherwise(0.0)
-    loss = loss + F.when(in_article, 0.0).otherwise(OUTSIDE * F.coalesce("articles", F.lit(0)) / F.col("m"))
+    loss = loss + F.when(in_article, 0.0).otherwise(OUTSIDE * F.col("articles") / F.col("m"))
     loss = loss + F.when(~in_article & (F.col("blocks") > 0) & (F.col("prose") == 0), F.lit(LINKED)).otherwise(F.lit(0.0))
     rated = sums.select("host", "element", "parent", ((1 - part) * below + part * own - loss + F.when(in_article, RAISED).otherwise(0.0)).alias("importance"))
     best = above.join(rated.select("host", "element", "importance"), ["host", "element"])
