@@ -1,12 +1,13 @@
 """Operator 3: quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The words of the model are characters, folded to an alphabet of 64 symbols, so that a model of order four has at most
-64^4 entries however much text it is trained on. A word model would have to move every n-gram of every document to its
-counts; this one comes to the documents, as a broadcast with that bound. Counts are summed, continued to lower orders,
-discounted and interpolated by grouping and joining tables that are dealt out by n-gram.
+The words of the model are characters, of any number and unfolded but for the digits; counts, probabilities and costs are tables dealt out
+by n-gram, which the n-grams of all texts join (ngrams.py).
 
 Texts are dealt to FOLDS by a hash, and each is scored by the model of the trusted texts of the other folds: neither a
 text nor its copies teach the model that scores it, so trusted and unlabelled documents are measured alike.
+
+The second half of this module, from alphabet on, is a closed model over 64 folded symbols that one process can hold
+whole. Neither classify nor kept uses it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridloom.llm.common import spool
+from gridloom.llm.ngrams import FOLDS, costed, fold_of
 
-ORDER, SIZE, FOLDS = 4, 64, 2
+ORDER, SIZE = 4, 64
 #: Texts are read in runs of so many characters.
 RUN = 1 << 20
 #: Symbols at the median of the language that every text gets besides its own: short texts prove little.
@@ -32,6 +34,62 @@ _SPACE, _BREAK, _UPPER, _DIGIT, _OTHER, _LETTERS, _SIGNS, _FOREIGN = 0, 1, 2, 3,
 _MARKS = ".,;:!?'\"()-|#$%&*/@="
 
 
+def thresholds(found: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """(lang, middle, threshold) of the trusted documents of each language, from a table with _cost and _symbols."""
+    good = trusted_ids(labels, id_col)
+    rows = found.join(good, id_col, "left_semi").select(F.col(lang_col).alias("lang"), "_cost", "_symbols")
+    middle = rows.where("_symbols > 0").groupBy("lang").agg(F.percentile_approx(F.col("_cost") / F.col("_symbols"), 0.5, 100_000).alias("middle"))
+    both = rows.join(middle.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
+    return both.groupBy("lang", "middle").agg(F.percentile_approx(smoothed(), quantile, 100_000).alias("threshold"))
+
+
+def smoothed() -> Column:
+    return (F.col("_cost") + PRIOR * F.col("middle")) / (F.col("_symbols") + PRIOR)
+
+
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
+
+
+def judge(found: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """Adds middle, threshold and _keep to a table with _cost and _symbols."""
+    limits = limits.withColumnRenamed("lang", "_lang")
+    out = found.join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return out.withColumn("_keep", F.coalesce(smoothed() <= F.col("threshold"), F.lit(True)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """(id, lang, _digest, _cost, _symbols) of all rows by the folds' models of the documents labelled quality 1, and the
+    languages' thresholds."""
+    found, _ = spool(costed(docs, trusted_ids(labels, id_col), id_col, text_col, lang_col), "costs")
+    limits, _ = spool(thresholds(found, labels, quantile, id_col, lang_col), "thresholds")
+    return found, limits
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, perplexity, threshold, keep) of every row.
+
+    A text's perplexity is taken over its characters and PRIOR more at the median of its language; it is rejected above
+    the quantile of that among the trusted documents of the language. Languages without trusted documents, null being
+    one of its own, reject nothing; empty and null texts have the median and stay. Repeated rows stay repeated.
+    """
+    found, limits = learn(docs, labels, quantile, id_col, text_col, lang_col)
+    out = judge(found, limits, lang_col)
+    return out.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.exp(F.coalesce(smoothed(), F.col("_cost") / F.greatest(F.col("_symbols"), F.lit(1)))).alias("perplexity"), F.exp("threshold").alias("threshold"), F.col("_keep").alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that classify keeps, with their columns. Equal texts of a language are judged alike, so those that
+    are rejected are left out by language and MD5."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name pass through under plain ones
+    place = {c: names[docs.columns.index(c)] for c in (id_col, text_col, lang_col)}
+    found, limits = learn(docs, labels, quantile, id_col, text_col, lang_col)
+    rejected, _ = spool(judge(found, limits, lang_col).where("NOT _keep").select("_digest", F.col(lang_col).alias("_lang")).distinct(), "rejected")
+    rows = docs.toDF(*names)
+    same = (F.unhex(F.md5(F.coalesce(F.col(place[text_col]), F.lit("")))) == F.col("_digest")) & F.col(place[lang_col]).eqNullSafe(F.col("_lang"))
+    return rows.join(rejected, same, "left_anti").select(*names).toDF(*docs.columns)
+
+
 def alphabet() -> np.ndarray:
     """Symbol of each character of the basic plane: blanks, breaks, capitals and digits are one each, a-z and common
     marks have their own, other letters share thirteen, all else is one."""
@@ -70,10 +128,6 @@ def codes(text: str, table: np.ndarray, order: int = ORDER) -> Iterator[np.ndarr
         tail = s[len(s) - order + 1 :]
 
 
-def fold_of(text_col: str, folds: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(folds)).cast("int")
-
-
 def count(texts: DataFrame, text_col: str = "text", folds: int = 1) -> DataFrame:
     """(fold, code, n) of the n-grams of all texts of each fold."""
 
@@ -185,58 +239,3 @@ def scored(docs: DataFrame, models: list[Model], text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], schema.names)
 
     return docs.select("*", fold_of(text_col, len(models)).alias("_fold")).mapInArrow(run, schema)
-
-
-def thresholds(found: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """(lang, middle, threshold) of the trusted documents of each language, from a table with _cost and _symbols."""
-    good = trusted_ids(labels, id_col)
-    rows = found.join(good, id_col, "left_semi").select(F.col(lang_col).alias("lang"), "_cost", "_symbols")
-    middle = rows.where("_symbols > 0").groupBy("lang").agg(F.percentile_approx(F.col("_cost") / F.col("_symbols"), 0.5, 100_000).alias("middle"))
-    both = rows.join(middle.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")))
-    return both.groupBy("lang", "middle").agg(F.percentile_approx(smoothed(), quantile, 100_000).alias("threshold"))
-
-
-def smoothed() -> Column:
-    return (F.col("_cost") + PRIOR * F.col("middle")) / (F.col("_symbols") + PRIOR)
-
-
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-
-
-def judge(found: DataFrame, limits: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Adds middle, threshold and _keep to a table with _cost and _symbols."""
-    limits = limits.withColumnRenamed("lang", "_lang")
-    out = found.join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    return out.withColumn("_keep", F.coalesce(smoothed() <= F.col("threshold"), F.lit(True)))
-
-
-def learn(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[Model], DataFrame, DataFrame]:
-    """The folds' models of the documents labelled quality 1, (id, lang, _cost, _symbols) of all, and the languages' thresholds."""
-    trusted = trusted_ids(labels, id_col).hint("merge")  # labels grow with the documents: never broadcast, at no size
-    models = train_folds(docs.select(id_col, text_col).join(trusted, id_col, "left_semi"), text_col)
-    narrow = docs.select(id_col, lang_col, text_col)
-    found, _ = spool(scored(narrow, models, text_col).drop(text_col), "costs")
-    limits, _ = spool(thresholds(found, labels, quantile, id_col, lang_col), "thresholds")
-    return models, found, limits
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, perplexity, threshold, keep) of every row.
-
-    A text's perplexity is taken over its characters and PRIOR more at the median of its language; it is rejected above
-    the quantile of that among the trusted documents of the language. Languages without trusted documents, null being
-    one of its own, reject nothing; empty and null texts have the median and stay. Repeated rows stay repeated.
-    """
-    _, found, limits = learn(docs, labels, quantile, id_col, text_col, lang_col)
-    out = judge(found, limits, lang_col)
-    return out.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.exp(F.coalesce(smoothed(), F.col("_cost") / F.greatest(F.col("_symbols"), F.lit(1)))).alias("perplexity"), F.exp("threshold").alias("threshold"), F.col("_keep").alias("keep"))
-
-
-def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that classify keeps, with their columns; texts are scored again where they lie, not moved."""
-    names = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name pass through under plain ones
-    place = {c: names[docs.columns.index(c)] for c in (id_col, text_col, lang_col)}
-    models, _, limits = learn(docs, labels, quantile, id_col, text_col, lang_col)
-    rows = judge(scored(docs.toDF(*names), models, place[text_col]), limits, place[lang_col]).where("_keep")
-    return rows.select(*names).toDF(*docs.columns)
