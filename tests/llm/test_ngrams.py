@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from test_text_ops import brute_probability
 
+import corpus_pipeline
 from gridloom.llm import ngrams, quality
 
 
@@ -59,3 +60,15 @@ def test_letters_are_not_folded(spark):
     table = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts + shifted)], "doc_id long, text string, lang string")
     found = {r.id: r.keep for r in quality.classify(table, table.where("doc_id < 60").selectExpr("doc_id", "1 AS quality")).collect()}
     assert sum(found[i] for i in range(60)) >= 58 and not any(found[60 + i] for i in range(5))
+
+
+def test_pipeline_does_not_fold_letters(spark, tmp_path):
+    """The stage leaves out the texts of other letters, copies too, and keeps rows and columns as they are."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("абвг ", k=200)) for _ in range(60)]
+    shifted = ["".join(chr(ord(x) + 13) if x != " " else x for x in texts[k]) for k in (0, 1, 1)]
+    table = spark.createDataFrame([(i, t, "ru", 7) for i, t in enumerate(texts + shifted)], "doc_id long, text string, lang string, middle int")
+    table.where("doc_id < 60").selectExpr("doc_id", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_stage(spark, table, str(tmp_path))
+    assert kept.columns == table.columns and kept.subtract(table).count() == 0
+    assert kept.where("doc_id < 60").count() >= 58 and kept.where("doc_id >= 60").count() == 0
