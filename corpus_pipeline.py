@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, mixing, packing, quality, simhash
-from gridloom.llm.common import scratch, shared_dir, table, unspool
+from gridloom.llm.common import scratch, shared_dir, spool, table, unspool, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +24,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; texts are linked by shingles of five words, of which they
     share 0.8 or more. Rows are told apart by id and text."""
-    dropped = simhash.verified_duplicates(docs, shingle=5, similarity=0.8).where("NOT kept").select("node", "digest")
+    dropped, _ = spool(simhash.verified_duplicates(docs, shingle=5, similarity=0.8).where("NOT kept").select("node", "digest"), "dropped")
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name pass through under plain ones
     rows = docs.toDF(*names)
     place = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
     keyed = rows.select("*", *simhash.row_keys(place["doc_id"], place["text"]))
-    return keyed.join(dropped, ["node", "digest"], "left_anti").select(*names).toDF(*docs.columns)
+    return without(keyed, dropped, ["node", "digest"], F.col("node"), F.col("node")).select(*names).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm.common import spool
+from gridloom.llm.common import spool, without
 from gridloom.llm.ngrams import FOLDS, costed, fold_of
 
 ORDER, SIZE = 4, 64
@@ -86,8 +86,9 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col:
     found, limits = learn(docs, labels, quantile, id_col, text_col, lang_col)
     rejected, _ = spool(judge(found, limits, lang_col).where("NOT _keep").select("_digest", F.col(lang_col).alias("_lang")).distinct(), "rejected")
     rows = docs.toDF(*names)
-    same = (F.unhex(F.md5(F.coalesce(F.col(place[text_col]), F.lit("")))) == F.col("_digest")) & F.col(place[lang_col]).eqNullSafe(F.col("_lang"))
-    return rows.join(rejected, same, "left_anti").select(*names).toDF(*docs.columns)
+    digest = F.unhex(F.md5(F.coalesce(F.col(place[text_col]), F.lit(""))))
+    same = (digest == F.col("_digest")) & F.col(place[lang_col]).eqNullSafe(F.col("_lang"))
+    return without(rows, rejected, same, F.xxhash64(digest), F.xxhash64("_digest")).toDF(*docs.columns)
 
 
 def alphabet() -> np.ndarray:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, spool, unspool
+from gridloom.llm.common import connected_components, membership, spool, unspool
 
 SEED = 42
 #: Texts are cut into words in runs of about so many bytes, so that a very long one needs little memory.
@@ -150,7 +150,7 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int | None = None, tile:
     blocks = blocks or choose_blocks(distance, nodes.count())
     assert comb(blocks, distance) < 1 << 20
     keyed = with_pivots(nodes).select(F.explode(block_keys(distance, blocks)).alias("key"), "node", "fp", "pivots")
-    hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    hot, _ = spool(keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot")  # few: the planner knows its size
     others = _tile_pairs(F.col("node"), F.col("tiles"))
     dealt = (
         keyed.join(hot, "key", "left")
@@ -350,10 +350,11 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
     small = families.join(large, "component", "left_anti").select("component", none.alias("pair"), none.alias("own_i"), none.alias("own_j"), "node")
     families, _ = spool(families.join(large.select("component"), "component", "left_semi").select("component", "node"), "large")
     sized, _ = spool(families.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    rest, past, measured = families, [], []
-    for step in range(0 if rest.isEmpty() else leaders):
+    rest, past, measured, some = families, [], [], not families.isEmpty()
+    held = spool(sets.join(families.select(F.col("node").alias("id")), "id", "left_semi"), "held")[0] if some else sets
+    for step in range(leaders if some else 0):
         leader = rest.groupBy("component").agg(F.min("node").alias("leader")).join(sized, "component")
-        found, _ = spool(_distances(families, leader, sets).withColumn("step", F.lit(step)), "leaders")
+        found, _ = spool(_distances(families, leader, held).withColumn("step", F.lit(step)), "leaders")
         measured.append(found)
         rest, path = spool(rest.join(found.where(F.col("d") <= reach).select("node"), "node", "left_anti").select("component", "node"), "rest")
         for done in past:
@@ -414,6 +415,8 @@ def _family_links(families: DataFrame, sets: DataFrame, similarity: float, tile:
 SAMPLE, HOT, SHARD = 5000, 50, 1 << 20
 #: The order of the hot shingles, above any count.
 LAST = 1 << 62
+#: Bytes of a hash that move to its shard, which the others choose.
+LOW = 5
 
 
 def _shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -435,24 +438,34 @@ def _hot_shingles(plain: DataFrame, size: int, texts: int) -> np.ndarray:
 
 def _ranked_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, n, hash, df) of the shingles that a text of n distinct ones shares with another one, df being the number of
-    texts that hold the shingle, or LAST for hot ones. Hashes move to their counts packed into arrays, by shard; hot
-    ones, which would meet in one task, are not counted and are dealt by text."""
+    texts that hold the shingle, or LAST for hot ones. Hashes move to their counts packed into arrays, by shard, a text's
+    node and n once a shard; hot ones, which would meet in one task, are not counted and are dealt by text.
+
+    hash is a number made of the shard and the low bytes of the shingle's hash, of hot ones -1 - their place. Shingles
+    that share one count as one, everywhere alike: a text may then have a key too many, but lacks none.
+    """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
     texts, volume = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
     shards, hot = 1 + volume // (6 * SHARD), _hot_shingles(plain, size, texts)
 
     def pack(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         flat, sizes = np.concatenate([x for _, x in held]), np.array([len(x) for _, x in held])
-        owner = np.repeat(np.array([i for i, _ in held], "<i8"), sizes)
-        n = np.repeat(sizes, sizes).astype("<i4")
-        shard = ((flat >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        common = np.isin(flat, hot)
-        shard[common] = -1 - owner[common] % shards
+        nodes, owner = np.array([i for i, _ in held], "<i8"), np.repeat(np.arange(len(held)), sizes)
+        shard = ((flat >> np.uint64(8 * LOW)) % np.uint64(shards)).astype(np.int64)
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+            common = hot[place] == flat
+            shard[common] = -1 - nodes[owner[common]] % shards
+            flat = np.where(common, place.astype("<u8"), flat)
+        low = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]
         order = np.argsort(shard, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
-        parts = np.split(order, starts[1:])
-        columns = [pa.array([x[part].tobytes() for part in parts], pa.binary()) for x in (owner, n, flat)]
-        return pa.RecordBatch.from_arrays([pa.array(shard[order[starts]]), *columns], ["shard", "node", "n", "hash"])
+        columns = [[], [], [], []]
+        for part in np.split(order, starts[1:]):
+            who, times = np.unique(owner[part], return_counts=True)
+            for column, x in zip(columns, (nodes[who], sizes[who].astype("<i4"), times.astype("<i4"), low[part])):
+                column.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(shard[order[starts]]), *[pa.array(x, pa.binary()) for x in columns]], ["shard", "node", "n", "times", "hash"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -469,20 +482,23 @@ def _ranked_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
             yield pack(held)
 
     def count(shard: int, held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
-        node, n, flat = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<i8", "<i4", "<i8")))
+        node, n, times, low = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), ("<i8", "<i4", "<i4", np.uint8)))
+        flat = np.zeros((len(low) // LOW, 8), np.uint8)
+        flat[:, :LOW] = low.reshape(-1, LOW)
+        flat = flat.view("<i8").reshape(-1)
         if shard < 0:
-            df = np.full(len(flat), LAST)
+            df, flat = np.full(len(flat), LAST), -1 - flat
         else:
             _, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
-            df = seen[inverse]
+            df, flat = seen[inverse], flat + (shard << 8 * LOW)
         more = df > 1
-        columns = [pa.array(x[more]) for x in (node, n, flat, df.astype(np.int64))]
+        columns = [pa.array(x[more]) for x in (np.repeat(node, times), np.repeat(n, times), flat, df.astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["node", "n", "hash", "df"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for shard, *row in zip(*(batch.column(i) for i in range(4))):
+            for shard, *row in zip(*(batch.column(i) for i in range(5))):
                 if shard.as_py() != key:
                     if held:
                         yield count(key, held)
@@ -491,7 +507,7 @@ def _ranked_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
         if held:
             yield count(key, held)
 
-    dealt = plain.mapInArrow(deal, "shard long, node binary, n binary, hash binary")
+    dealt = plain.mapInArrow(deal, "shard long, node binary, n binary, times binary, hash binary")
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(tally, "node long, n int, hash long, df long")
 
 
@@ -542,7 +558,9 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, "node", "text", shingle, similarity, short))
     pairs, _ = spool(found.groupBy("a", "b").agg(F.max("whole").alias("whole"), F.max("partial").alias("partial")), "candidates")
     members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _shingle_sets(named.join(members.hint("merge"), "node", "left_semi"), shingle).groupBy("node").agg(F.min_by(F.struct("digest", "id", "hashes"), "digest").alias("row"))
+    members, _ = spool(members, "members")
+    some = named.where(membership(members.select(F.col("node").alias("h")))(F.col("node")))  # texts of few others move with them
+    sets = _shingle_sets(some.join(members.hint("merge"), "node", "left_semi"), shingle).groupBy("node").agg(F.min_by(F.struct("digest", "id", "hashes"), "digest").alias("row"))
     known, _ = spool(sets.select("node", "row.digest", "row.id", "row.hashes"), "sets")  # of rows with equal hashes, one
     sets, known = known.select(F.col("node").alias("id"), "hashes"), known.drop("hashes")
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
