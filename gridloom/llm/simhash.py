@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import connected_components, membership, spool, unspool
+from gridloom.llm.common import batches_of, connected_components, membership, spool, unspool
 
 SEED = 42
 #: Texts are cut into words in runs of about so many bytes, so that a very long one needs little memory.
@@ -542,17 +542,12 @@ def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.xxhash64(F.col(id_col).cast("long"), text).alias("node"), F.unhex(F.md5(text)).alias("digest")]
 
 
-def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
-    """(node, digest, id, component, kept) of the rows that are near copies: texts whose sets of shingles of so many words
-    have that Jaccard similarity. component is the smallest id that a chain of such pairs reaches, and kept marks the row
-    that has it. Others have no row; node and digest are those of row_keys.
+#: Rows with texts or sets in an Arrow batch, which the JVM and the Python worker hold whole.
+ROWS = 1000
 
-    Candidates come from prefixes of the texts' rarest shingles, which miss no pair with the similarity, and also from
-    fingerprints over the distinct words; every candidate is then verified on whole texts. Keys with few texts give all
-    their candidate pairs. Larger ones give a forest, whose trees are families, in which links are sought anew. Every
-    row is a text of its own, with a null id too, and rows that share an id are not confused; null ids come last. Rows
-    that repeat both id and text are one node. An empty table gives an empty result.
-    """
+
+def _verified_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, distance: int, short: int, tile: int, leaders: int) -> DataFrame:
+    """(node, component, digest, id) of the rows that are near copies, written; component is a node."""
     named = docs.select(*row_keys(id_col, text_col), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     nodes, _ = spool(fingerprints(named, "node", "text", 1, distinct=True).select(F.col("id").alias("node"), "fp"), "words")
     found = links(nodes, distance, short=short).where("a <> b").union(prefix_pairs(named, "node", "text", shingle, similarity, short))
@@ -566,7 +561,22 @@ def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = _similar(pairs.where("whole"), sets, similarity).where("same").select("a", "b")
     families, _ = spool(connected_components(pairs.where("partial").select("a", "b")), "families")
     found = found.union(_family_links(families, sets, similarity, tile, leaders))
-    groups, _ = spool(connected_components(found).join(known, "node"), "groups")
+    return spool(connected_components(found).join(known, "node"), "groups")[0]
+
+
+def verified_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 6, short: int = SHORT, tile: int = FAMILY_TILE, leaders: int = LEADERS) -> DataFrame:
+    """(node, digest, id, component, kept) of the rows that are near copies: texts whose sets of shingles of so many words
+    have that Jaccard similarity. component is the smallest id that a chain of such pairs reaches, and kept marks the row
+    that has it. Others have no row; node and digest are those of row_keys.
+
+    Candidates come from prefixes of the texts' rarest shingles, which miss no pair with the similarity, and also from
+    fingerprints over the distinct words; every candidate is then verified on whole texts. Keys with few texts give all
+    their candidate pairs. Larger ones give a forest, whose trees are families, in which links are sought anew. Every
+    row is a text of its own, with a null id too, and rows that share an id are not confused; null ids come last. Rows
+    that repeat both id and text are one node. An empty table gives an empty result.
+    """
+    with batches_of(docs.sparkSession, ROWS):
+        groups = _verified_groups(docs, id_col, text_col, shingle, similarity, distance, short, tile, leaders)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first"))
     out = groups.join(first, "component")
     return out.select("node", "digest", "id", F.col("first.id").alias("component"), (F.col("node") == F.col("first.node")).alias("kept"))
