@@ -24,9 +24,11 @@ HELD_BYTES = 16 << 20
 FAN = 16
 #: Document ranges that are opened at once.
 OPENED = 128
-#: A term, for Spark; bytes that are no part of one become spaces, A to Z small letters. All of UTF-8 beyond ASCII is kept.
+#: A term, for SQL; bytes that are no part of one become spaces, A to Z small letters. All of UTF-8 beyond ASCII is kept.
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _PLAIN = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
+#: The same with one letter for all that is kept.
+_MARKS = bytes(32 if c == 32 else 97 for c in _PLAIN)
 #: Children of a cell below a quadrant, by its mask: the number of bits set.
 _BITS = np.array([bin(m).count("1") for m in range(16)], np.int32)
 
@@ -35,6 +37,24 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+def size_of(text: bytes) -> int:
+    """The number of its terms."""
+    marks = text.translate(_MARKS)
+    return marks.count(b" a") + marks.startswith(b"a")
+
+
+def totals(texts: DataFrame) -> tuple[int, int]:
+    """How many texts, the only column, have terms, and how many terms they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [size_of(x.as_py() or b"") for x in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"docs": [sum(n > 0 for n in sizes)], "terms": [sum(sizes)]})
+
+    sums = texts.select(F.col(texts.columns[0]).cast("binary")).mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return sums[0] or 0, sums[1] or 0
+
+
 def impacts(tf: np.ndarray, n: np.ndarray, docs: int, terms: int) -> np.ndarray:
     """What an occurrence count adds per unit of weight, in a document of n terms, docs and terms being the corpus's sums."""
     m = 75 + (25 * n * docs) // terms
@@ -207,9 +227,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grid_
     from a first pass without a shuffle.
     """
     text = F.col(text_col)
-    size = F.regexp_count(text, F.lit(TERM)).cast("long")
-    sums = docs.select(size.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_docs, n_terms = int(sums[0]), int(sums[1])
+    n_docs, n_terms = totals(docs.select(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = Grid()

@@ -94,3 +94,16 @@ def test_descent_leaves_most_of_a_large_grid(monkeypatch):
     best = lexical.Best(1)
     t.top(np.arange(40), np.ones(40, np.int64), best, lexical.Ids(np.arange(1 << depth), 0))
     assert best.id.tolist() == [77] and sum(opened) < 2 * (1 << depth) / 4
+
+
+def test_corpus_sums_need_no_regular_expression(spark, monkeypatch):
+    """The first pass cost three quarters of the query: Spark's expression ran twice over each text."""
+    monkeypatch.setattr(lexical.F, "regexp_count", None)
+    odd = [None, "", " ", "a", "-a", "a-", "É", "\0é\x7f\U0001d518_x", "Zz9 zZ", "x" * 70_000, "a " * 40_000, *(t for _, t in corpus(8, 200))]
+    assert [lexical.size_of((t or "").encode()) for t in odd] == [len(words(t)) for t in odd]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert lexical.index(table)[1:] == lexical.totals(table.select("text")) == (sum(bool(words(t)) for t in odd), sum(len(words(t)) for t in odd))
+    assert lexical.totals(table.select("text").limit(0)) == (0, 0)
+    rng = random.Random(2)
+    raw = [bytes(rng.randrange(256) for _ in range(rng.randrange(60))) for _ in range(500)]
+    assert [lexical.size_of(x) for x in raw] == [len(lexical.terms_of(x)) for x in raw]
