@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import spool
+from gridloom.llm.common import batches_of, lean, spool
 
 ORDER, FOLDS = 4, 2
 #: Texts (a power of two, at most 2^16) and characters of a block; texts are cut into runs, which overlap.
 BLOCK, CHARS, RUN = 2048, 1 << 22, 1 << 20
 #: Blocks that meet a copy of a shard's costs; bytes of text for which there is a shard more than SHARDS.
 GROUP, SHARDS, VOLUME = 64, 8, 32 << 30
+#: Characters whose n-grams are numbered at once; texts and bags of an Arrow batch.
+PIECE, TEXTS, BAGS = 1 << 18, 1000, 16
 #: Of the compression of bags.
 LEVEL = 6
 #: Costs are whole multiples of this, so that sums do not depend on the order of their parts.
@@ -60,38 +62,50 @@ def _shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return (h % np.uint64(shards)).astype(np.int64)
 
 
+def _pairs(runs: list[np.ndarray], places: list[int], seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two ranks in one number for each point of some runs but the last, with the places of all these points."""
+    base, ends = int(seen.max()) + 1, np.cumsum([len(x) for x in runs])
+    cuts = np.unique(np.minimum(np.searchsorted(ends, np.arange(PIECE, ends[-1] + PIECE, PIECE)) + 1, len(runs)))
+    for lo, hi in zip([0, *cuts], cuts):
+        rank = seen[np.concatenate(runs[lo:hi])]
+        owner = np.repeat(np.array(places[lo:hi], np.int32), [len(x) for x in runs[lo:hi]])
+        yield rank[:-1].astype(np.int64) * base + rank[1:], owner
+
+
 def bags(runs: list[np.ndarray], places: list[int], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(shard, grams, sizes, places, counts) of runs of code points, each after ORDER - 1 others: the different n-grams, a
-    row of points each, the number of texts that hold each, and for each n-gram these texts, ascending, with counts."""
-    points = np.concatenate(runs)
-    owner = np.repeat(np.array(places, np.int32), [len(x) for x in runs])
+    row of points each, the number of texts that hold each, and for each n-gram these texts, ascending, with counts. Empties
+    runs, and beside them holds one number of 64 bits for each point."""
     seen = np.zeros(0x110000, np.int32)
-    seen[points] = 1
+    for x in runs:
+        seen[x] = 1
     alphabet = np.flatnonzero(seen)
     seen[alphabet] = np.arange(len(alphabet))
-    rank, base = seen[points], len(alphabet)
-    del points
-    pair, wide, kinds = rank[:-1].astype(np.int64), base * base, None
-    pair *= base
-    pair += rank[1:]
-    del rank
+    base, kinds = len(alphabet), None
+    wide = base * base
     if wide * wide * BLOCK >= 1 << 62:
-        kinds, pair = np.unique(pair, return_inverse=True)
+        kinds = np.unique(np.concatenate([np.unique(pair) for pair, _ in _pairs(runs, places, seen)]))
         wide = len(kinds)
-    key = pair[:-2] * wide
-    key += pair[2:]
-    del pair
-    key *= BLOCK
-    key += owner[3:]
-    key = key[owner[3:] == owner[:-3]]
-    del owner
+    key, at = np.empty(sum(len(x) - ORDER + 1 for x in runs), np.int64), 0
+    for pair, owner in _pairs(runs, places, seen):
+        pair = pair if kinds is None else np.searchsorted(kinds, pair)
+        own = ((pair[:-2] * wide + pair[2:]) * BLOCK + owner[3:])[owner[3:] == owner[:-3]]
+        key[at : at + len(own)] = own
+        at += len(own)
+    runs.clear()
+    del seen
     key.sort()
-    edges = np.flatnonzero(np.diff(key, prepend=-1))
-    counts = np.diff(edges, append=len(key))
-    code, place = np.divmod(key[edges], BLOCK)
-    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.empty(len(edges), np.uint32)
+    counts[:-1], counts[-1] = edges[1:] - edges[:-1], len(key) - edges[-1]
+    code = key[edges]
+    del key, edges
+    place = (code % BLOCK).astype(np.uint16)
+    code //= BLOCK
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     sizes = np.diff(starts, append=len(code))
     first, last = np.divmod(code[starts], wide)
+    del code
     if kinds is not None:
         first, last = kinds[first], kinds[last]
     grams = alphabet[np.stack([*np.divmod(first, base), *np.divmod(last, base)], axis=1)]
@@ -141,7 +155,9 @@ def deal(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int
             if not some:
                 return
             fold = _packed(np.array(owners)[order], "u1")
-            out = [(s, _packed(g.reshape(-1), "<u4"), _packed(n, "<u2"), _packed(_steps(p, n), "<u2"), _packed(c, "<u4"), fold) for s, g, n, p, c in bags([runs[order[k]] for k in some], some, shards)]
+            ordered = [runs[order[k]] for k in some]
+            runs.clear()
+            out = [(s, _packed(g.reshape(-1), "<u4"), _packed(n, "<u2"), _packed(_steps(p, n), "<u2"), _packed(c, "<u4"), fold) for s, g, n, p, c in bags(ordered, some, shards)]
             bag = [pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out))]
             blank = [pa.nulls(len(out), t) for t in (pa.int32(), pa.int64(), *(c.type for c in columns), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *blank, *bag], DOC + BAG)
@@ -164,7 +180,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int
         if found:
             yield from block_rows()
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def counted(bag: DataFrame, marks: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -185,7 +201,7 @@ def counted(bag: DataFrame, marks: DataFrame, folds: int = FOLDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), s.as_py(), np.int32)), pa.array(names_, pa.string()), *[pa.array(x.astype(np.int64)) for x in sums]], names)
 
     rows = bag.join(marks, "block", "left").select("shard", "grams", "sizes", "places", "counts", "folds", "marks")
-    found = rows.mapInArrow(run, ", ".join(["shard int", "gram string", *[f"n{f} long" for f in range(folds)]]))
+    found = rows.mapInArrow(lean(run), ", ".join(["shard int", "gram string", *[f"n{f} long" for f in range(folds)]]))
     return found.groupBy("shard", "gram").agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in range(folds)])
 
 
@@ -258,11 +274,13 @@ def costed(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """(id, lang, _digest, _cost, _symbols) of every row of docs: the MD5 of its text, the sum of -log p over the whole text
     by the model of the other folds' trusted texts, and its length. trusted has the ids of these under id_col. Each text is
     in the fold of its hash, so neither it nor its copies teach the model that scores it."""
-    dealt, _ = spool(deal(docs, id_col, text_col, lang_col, folds), "bags")
+    with batches_of(docs.sparkSession, TEXTS):
+        dealt, _ = spool(deal(docs, id_col, text_col, lang_col, folds), "bags")
     runs, bag = dealt.where("place IS NOT NULL").select(*DOC), dealt.where("shard IS NOT NULL").select("block", *BAG)
     good = runs.join(trusted.select(F.col(id_col).alias("id")), "id", "left_semi")
     marks, _ = spool(good.groupBy("block").agg(F.sort_array(F.collect_list(F.col("place").cast("short"))).alias("marks")), "marks")
-    grams, _ = spool(counted(bag, marks, folds), "counts")
+    with batches_of(docs.sparkSession, BAGS):
+        grams, _ = spool(counted(bag, marks, folds), "counts")
     by_fold = F.transform(F.sort_array(F.collect_list(F.struct("fold", (-F.log(F.greatest("p", F.lit(LEAST))) / UNIT).cast("long").alias("cost")))), lambda x: x["cost"])
     costs, _ = spool(grams.select("shard", "gram").join(probabilities(grams, folds).groupBy("gram").agg(by_fold.alias("costs")), "gram"), "costs")
     blocks = runs.select("block").distinct().count()

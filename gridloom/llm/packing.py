@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import spool
+from gridloom.llm.common import batches_of, lean, spool
 
 CAPACITY, END_ID = 1024, 2
 #: Entries of a worker's table of tokenized words.
 CACHE = 500_000
+#: Texts of an Arrow batch.
+TEXTS = 1000
 #: Runs of white space or of other characters that are left to `tokenizers`, whose matching needs no stack for them.
 LONG = re.compile(r"\s{256}|\S{2048}")
 
@@ -129,7 +131,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "crc", "task", "place"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, piece int, start long, length long, crc long, task int, place long")
+    return plain.mapInArrow(lean(run), "id long, piece int, start long, length long, crc long, task int, place long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -205,7 +207,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     and repeated rows are documents like any other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    cut, _ = spool(pieces(docs, id_col, text_col, capacity, end_id, vocabulary), "pieces")
+    with batches_of(spark, TEXTS):
+        cut, _ = spool(pieces(docs, id_col, text_col, capacity, end_id, vocabulary), "pieces")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tasks, _ = spool(cut.groupBy("length", "task").agg(F.count("*").alias("n")).withColumn("before", before), "tasks")
     counts = {r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}

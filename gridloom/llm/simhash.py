@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches_of, connected_components, membership, spool, unspool
+from gridloom.llm.common import batches_of, connected_components, lean, membership, spool, unspool
 
 SEED = 42
 #: Texts are cut into words in runs of about so many bytes, so that a very long one needs little memory.
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    return plain.mapInArrow(run, "id long, fp long")
+    return plain.mapInArrow(lean(run), "id long, fp long")
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "digest", "id", "hashes"])
 
     plain = texts.select("node", "digest", "id", F.col("text").cast("binary").alias("raw"))
-    return plain.mapInArrow(run, "node long, digest binary, id long, hashes binary")
+    return plain.mapInArrow(lean(run), "node long, digest binary, id long, hashes binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -264,7 +264,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     # pairs grow with the documents: merged at every size, never broadcast
     first, second = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")).hint("merge") for c in "ab")
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb")
-    return rows.mapInArrow(run, "a long, b long, same boolean")
+    return rows.mapInArrow(lean(run), "a long, b long, same boolean")
 
 
 #: Texts of a family that one task compares come from two tiles of this size; shared hashes are counted so many at a time.
@@ -431,7 +431,7 @@ def _hot_shingles(plain: DataFrame, size: int, texts: int) -> np.ndarray:
             for x in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x.as_py(), size).view("<i8"))], ["hash"])
 
-    some = plain.where(F.pmod(F.xxhash64("id"), F.lit(max(1, texts // SAMPLE))) == 0).mapInArrow(run, "hash long")
+    some = plain.where(F.pmod(F.xxhash64("id"), F.lit(max(1, texts // SAMPLE))) == 0).mapInArrow(lean(run), "hash long")
     found = some.groupBy("hash").count().where(F.col("count") >= HOT).select("hash").collect()
     return np.sort(np.array([r.hash for r in found], "<i8").view("<u8"))
 
@@ -507,8 +507,8 @@ def _ranked_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
         if held:
             yield count(key, held)
 
-    dealt = plain.mapInArrow(deal, "shard long, node binary, n binary, times binary, hash binary")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(tally, "node long, n int, hash long, df long")
+    dealt = plain.mapInArrow(lean(deal), "shard long, node binary, n binary, times binary, hash binary")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(tally), "node long, n int, hash long, df long")
 
 
 def prefix_pairs(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, short: int = SHORT) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -27,6 +28,33 @@ def test_bags_hold_every_ngram():
         assert found == Counter((g, p) for t, p in zip(texts, (1, 2, 5, 9)) for g in grams_of(t))
 
 
+def test_bags_of_many_pieces(monkeypatch):
+    monkeypatch.setattr(ngrams, "PIECE", 50)
+    rng = random.Random(4)
+    for letters in ("ab", "".join(map(chr, range(0x4E00, 0x9000))) * 4 + "𝔘"):
+        texts = ["".join(rng.choices(letters, k=rng.choice([1, 2, 30, 49, 50, 51, 300]))) for _ in range(60)] + ["".join(rng.choices(letters, k=40_000))]
+        runs = [np.frombuffer(("\n\n\n" + t).encode("utf-32-le"), np.uint32) for t in texts]
+        found = Counter()
+        for _, grams, sizes, places, counts in ngrams.bags(runs, list(range(61)), 3):
+            for g, p, n in zip(np.repeat(grams, sizes, axis=0).tolist(), places.tolist(), counts.tolist()):
+                found[tuple(map(chr, g)), p] += n
+        assert found == Counter((g, p) for p, t in enumerate(texts) for g in grams_of(t))
+
+
+def test_bags_hold_few_bytes_a_character():
+    """A whole block is in a worker at once, beside the executor's heap: 37 bytes a character of this
+    text, where it was 74."""
+    rng = np.random.default_rng(1)
+    runs = [rng.integers(97, 123, 1003).astype(np.uint32) for _ in range(ngrams.BLOCK)]
+    points = sum(map(len, runs))
+    tracemalloc.start()
+    for _ in ngrams.bags(runs, list(range(ngrams.BLOCK)), ngrams.SHARDS):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48 * points, most / points
+
+
 def test_costs_match_brute_force(spark, monkeypatch):
     """In small blocks and runs, with repeated and null rows; characters are told apart, in every plane."""
     for name, value in (("BLOCK", 4), ("CHARS", 60), ("RUN", 16), ("GROUP", 2)):
