@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridloom.operators.raster import fourier, image, point, regions, stencil
+from gridloom.plans import raster as plans
 from gridloom.sources import netpbm
 
 
@@ -158,3 +159,25 @@ def test_netpbm(tmp_path, spark):
     (tmp_path / "x.pgm").write_bytes(grey)
     spark.dataSource.register(netpbm.Netpbm)
     assert [r.v for r in spark.read.format("netpbm").load(str(tmp_path)).collect()] == [[5, 6]]
+
+
+def test_large_results_leave_in_small_batches(spark):
+    """A plot of 51,200 levels an image: no stack of results, and no Arrow batch, has more than about LEVELS levels."""
+    seen = []
+    pieces = list(image.in_pieces(lambda a: seen.append(len(a)) or plans.histogram_plot(a), np.arange(200 * 4).reshape(200, 2, 2) % 256))
+    assert [p[:2] for p in pieces] == [(0, 1), (1, 41), (41, 81), (81, 121), (121, 161), (161, 200)] and max(seen) * 51200 <= image.LEVELS
+    rows = spark.range(90).selectExpr("id AS image_id", "2 AS w", "1 AS h", "IF(id % 10 = 3, NULL, ARRAY(CAST(id AS SMALLINT), 7S)) AS v").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")
+    sizes = image.run(rows, plans.histogram_plot).mapInPandas(lambda bs: (b.groupby("w", as_index=False).agg(n=("h", "size")) for b in bs), "w int, n int")
+    assert sum(r.n for r in sizes.collect()) == 90
+    found = {r.image_id: (r.w, r.h, r.v) for r in image.run(rows, plans.histogram_plot).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[13] == (2, 1, None)
+    for i in (0, 44, 89):
+        assert found[i] == (256, 200, plans.histogram_plot(np.array([[[i, 7]]]))[0].ravel().tolist())
+
+
+def test_summary_of_a_group_in_the_tasks(spark):
+    images = image.from_embeddings(spark, "/root/testdata/sf0.001")
+    for group in ("grp_c02", "grp_c03"):
+        assert sorted(map(tuple, plans.course_summary(images, group).collect())) == sorted(map(tuple, plans.summary(plans.run_course(images, group)).collect()))
