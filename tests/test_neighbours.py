@@ -85,3 +85,21 @@ def test_exchanged_components_against_brute_force(spark, monkeypatch, tile):
     assert {tuple(r) for r in neighbours.exchanged(train, test, 5, 2).collect()} == want
     assert neighbours.exchanged(train, test.limit(0), 5, 2).count() == 0
     assert neighbours.exchanged(train.limit(0), test, 5, 2).count() == 0
+
+
+def test_variants_are_measured_on_few_rows(monkeypatch):
+    """Of the pairs of a variant and a row a small share is measured, and the k nearest are those of all of them."""
+    rng = np.random.default_rng(8)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(4000, 32)), rng.normal(size=(9, 32))))
+    others = np.stack([np.roll(q, r, axis=0) for r in (1, 2)], axis=1)
+    measured, plain = [], neighbours._Exchanged.measure
+    monkeypatch.setattr(neighbours._Exchanged, "measure", lambda self, i, v, *rest: measured.append(len(v)) or plain(self, i, v, *rest))
+    fold = neighbours._Exchanged(np.arange(9), np.c_[q, others.reshape(9, -1)], 5, 2)
+    for at in range(0, 4000, 1000):
+        fold.read(np.arange(at, at + 1000), np.c_[np.zeros(1000), x[at : at + 1000]])
+    assert sum(measured) < 0.05 * 9 * 65 * 4000
+    for i in (0, 4):
+        for f in range(32):
+            for r in (0, 1):
+                d = ((np.where(np.arange(32) == f, others[i, r], q[i]) - x) ** 2).sum(axis=1)
+                assert fold.id[i, 1 + 2 * f + r].tolist() == np.argsort(d)[:5].tolist()
