@@ -6,6 +6,7 @@ import os
 import re
 import shutil
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,27 +74,44 @@ def images(files: DataFrame, mode: str = "grey") -> DataFrame:
     return files.select("path", "content").mapInPandas(read, GREY if mode == "grey" else COLOUR)
 
 
-#: Files of a folder that one task reads.
-FILES = 256
+#: Files of a folder that one task reads, about, and the most tasks of a folder, for each lists all of it.
+FILES, LISTINGS = 256, 64
+
+
+def _is_picture(entry: os.DirEntry) -> bool:
+    return entry.name.lower().endswith((".pgm", ".ppm")) and entry.is_file()
 
 
 class _Files(DataSourceReader):
+    """A task is (folder, number, of how many): it lists the folder itself and takes the files whose names hash to its
+    number, so the driver counts files but holds no names."""
+
     def __init__(self, options: dict):
         self.path, self.mode = options["path"], options.get("mode", "grey")
 
     def partitions(self):
-        found = []
-        for folder, inner, files in os.walk(self.path):
-            inner[:] = [x for x in inner if not x.startswith("_")]
-            found += [os.path.join(folder, f) for f in files if f.lower().endswith((".pgm", ".ppm"))]
-        found.sort()
-        return [InputPartition(found[at : at + FILES]) for at in range(0, len(found), FILES)]
+        found, waiting = [], [self.path]
+        while waiting:
+            folder, n = waiting.pop(), 0
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        if not entry.name.startswith("_"):
+                            waiting.append(entry.path)
+                    else:
+                        n += _is_picture(entry)
+            tasks = min(-(-n // FILES), LISTINGS)
+            found += [InputPartition((folder, i, tasks)) for i in range(tasks)]
+        return found
 
     def read(self, partition):
-        for path in partition.value:
-            with open(path, "rb") as f:
-                found = row(path, f.read(), self.mode)
-            yield tuple(found.values())
+        folder, number, tasks = partition.value
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if zlib.crc32(os.fsencode(entry.name)) % tasks == number and _is_picture(entry):
+                    with open(entry.path, "rb") as f:
+                        found = row(entry.path, f.read(), self.mode)
+                    yield tuple(found.values())
 
 
 @dataclass
@@ -143,11 +161,16 @@ class _Sink(DataSourceWriter):
 
     def commit(self, messages):
         if self.overwrite:
-            for folder, inner, files in os.walk(self.path):
-                inner[:] = [x for x in inner if not x.startswith("_")]
-                for f in files:
-                    if f.lower().endswith((".pgm", ".ppm")):
-                        os.remove(os.path.join(folder, f))
+            waiting = [self.path]
+            while waiting:
+                folder = waiting.pop()
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        if entry.is_dir(follow_symlinks=False):
+                            if not entry.name.startswith("_"):
+                                waiting.append(entry.path)
+                        elif _is_picture(entry):
+                            os.remove(entry.path)
         for message in messages:
             for folder, _, files in os.walk(message.folder):
                 place = os.path.join(self.path, os.path.relpath(folder, message.folder))

@@ -77,3 +77,15 @@ def test_csv_files_with_one_header(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.schema("n long, s string").csv(folder, escape="\\").collect()) == [(1, "a,b"), (2, None), (3, 'q"')]
     lines = [line for f in sorted(os.listdir(folder)) if f.endswith(".csv") for line in open(os.path.join(folder, f))]
     assert lines[0] == "n,s\n" and len(lines) == 4
+
+
+def test_tasks_list_their_files_themselves(spark, tmp_path, save, monkeypatch):
+    """A partition's description does not grow with the number of files; each file is read once, in folders too."""
+    monkeypatch.setattr(netpbm, "FILES", 10)
+    save(pictures(spark, 95))
+    save(pictures(spark, 7).withColumn("name", F.concat(F.lit("b/"), "name")))
+    reader = netpbm._Files({"path": str(tmp_path / "out")})
+    parts = reader.partitions()
+    assert len(parts) == 11 and all(len(str(p.value)) < len(str(tmp_path)) + 30 for p in parts)
+    found = [os.path.relpath(r[0], tmp_path / "out") for p in parts for r in reader.read(p)]
+    assert sorted(found) == files(tmp_path / "out") and len(found) == 102
