@@ -103,3 +103,18 @@ def test_variants_are_measured_on_few_rows(monkeypatch):
             for r in (0, 1):
                 d = ((np.where(np.arange(32) == f, others[i, r], q[i]) - x) ** 2).sum(axis=1)
                 assert fold.id[i, 1 + 2 * f + r].tolist() == np.argsort(d)[:5].tolist()
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_nearest_rows_measure_few_pairs(monkeypatch, p):
+    """The k nearest of all, with the distances of all pairs; for p of 2 and 3 few pairs are measured."""
+    rng = np.random.default_rng(11)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(20, 64)), rng.normal(size=(3000, 64))))
+    y[7] = y[2000]
+    d = neighbours.distances(x, y, p)
+    seen, plain = [], neighbours._pairs
+    monkeypatch.setattr(neighbours, "_pairs", lambda *a: seen.append(len(a[2])) or plain(*a))
+    near, found = neighbours.nearest_rows(x, y, 5, p)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert (near == want).all() and (found == np.take_along_axis(d, want, axis=1)).all()
+    assert p == 1 or sum(seen) < 0.2 * d.size
